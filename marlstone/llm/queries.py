@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, suffix_tree, toxicity, warc_fixity
 from marlstone.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a fixity drill: pages against a replica with known damage."""
+    pages = table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged(pages))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -34,12 +40,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"), suffix_tree.learn_rows())
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_classifier.learn_rows())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op4_embedding_dedup, op5_quality_rules, op6_language_id, op8_packing, op10_quality_classifier)
+    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_warc_fixity, op4_embedding_dedup, op5_quality_rules, op6_language_id, op8_packing, op9_suffix_tree, op10_quality_classifier)
 }
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_fixity": warc_fixity.DRILL_SQL}
