@@ -1,0 +1,51 @@
+"""Price strings to values, as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+FREE = r"(?i)\b(free|no charge|zdarma|gratis)\b"
+NUMBER = r"(\d{1,3}(?:[ .]\d{3})+(?:,\d+)?|\d+(?:,\d+)?)"
+
+
+def amount(x: Column) -> Column:
+    """0 for free, else the first number, with spaces and dots as thousand separators and a decimal comma."""
+    n = F.regexp_extract(x, NUMBER, 1)
+    return F.when(x.rlike(FREE), F.lit(0.0)).when(n != "", F.replace(F.regexp_replace(n, "[ .]", ""), F.lit(","), F.lit(".")).cast("double"))
+
+
+def currency(x: Column) -> Column:
+    return F.when(x.rlike("(?i)czk|kč") | x.rlike(FREE), "CZK").when(x.rlike("(?i)eur|€"), "EUR").otherwise("")
+
+
+def period(x: Column, fee: Column) -> Column:
+    """Named in the value, else guessed from the fee's label."""
+    return F.when(x.rlike("(?i)year|annual"), "yearly").when(x.rlike("(?i)month"), "monthly").when(F.lower(fee).rlike("maintenance|management"), "monthly").when(F.lower(fee).rlike("withdrawal|payment|transfer"), "per_use").otherwise("")
+
+
+def label(x: Column) -> Column:
+    return F.when(x.rlike("(?i)\\bif\\b|provided|condition"), "conditional").when(x.rlike(FREE), "free").when(F.regexp_extract(x, NUMBER, 1) != "", "amount").otherwise("unknown")
+
+
+def row_confidence(product: Column, fee: Column, value: Column, unit: Column, when: Column) -> Column:
+    """Weights of the parts that are there; a row under the threshold loses 0.40."""
+    have = lambda c: (F.coalesce(c, F.lit("")) != "").cast("double")
+    s = 0.25 * have(product) + 0.25 * have(fee) + 0.25 * have(value) + 0.15 * have(unit) + 0.10 * have(when)
+    return F.round(F.greatest(F.lit(0.0), F.when(s < 0.5, s - 0.40).otherwise(s)), 4)
+
+
+def reject_reason(product: Column, fee: Column, value: Column, confidence: Column) -> Column:
+    """The first failing rule of a price row; null if none fails."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return (
+        F.when(F.lower(fee).isin("fee", "price", "item") & F.lower(value).isin("value", "price", "amount"), "header_artifact")
+        .when(empty(fee) | empty(value), "missing_fields")
+        .when(F.length(fee) > 160, "merged_column")
+        .when(fee.rlike(r"[\x{E000}-\x{F8FF}]"), "broken_unicode")
+        .when(~value.rlike(FREE) & (F.regexp_extract(value, NUMBER, 1) == ""), "missing_pricing_value")
+        .when(confidence < 0.70, "low_confidence")
+        .when(empty(product), "orphan_product_context")
+        .when(amount(value).isNull(), "missing_amount")
+        .when(currency(value) == "", "missing_currency")
+    )

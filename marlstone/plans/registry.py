@@ -1,4 +1,8 @@
 """The registered queries and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from marlstone.plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL}
