@@ -53,7 +53,7 @@ def percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
 def sessions(events: DataFrame, gap: int, user: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Session numbers by user: a new one after more than gap seconds."""
     w = Window.partitionBy(user).orderBy(ts, order)
-    s = F.col(ts).cast("double")
+    s = F.col(ts).cast("timestamp").cast("double")
     new = F.coalesce((s - F.lag(s).over(w) > gap).cast("int"), F.lit(0))
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import text_queries
+from marlstone.plans import corpus_queries, retrieval_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL}
+QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL}

@@ -13,7 +13,7 @@ def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user
 
     A key's events pass through a task in order, in Arrow batches sorted by key; the state is the last `limit` times.
     """
-    d = events.select(key, order, F.unix_micros(ts).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
+    d = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -37,7 +37,7 @@ def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user
 
 def ttl_cache(events: DataFrame, seconds: float, key: str = "cache_key", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """events with `hit`: the key was stored less than so many seconds ago; a miss stores it, a hit doesn't extend it."""
-    d = events.select(key, order, F.unix_micros(ts).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
+    d = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
