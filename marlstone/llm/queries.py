@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, suffix_tree, toxicity, warc_fixity
+from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_lattice, suffix_tree, toxicity, warc_fixity
 from marlstone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(table(spark, sf_dir, "documents"), language_id.learn_rows())
 
 
+def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_warc_fixity, op4_embedding_dedup, op5_quality_rules, op6_language_id, op8_packing, op9_suffix_tree, op10_quality_classifier)
+    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_warc_fixity, op4_embedding_dedup, op5_quality_rules, op6_language_id, op7_sentencepiece_lattice, op8_packing, op9_suffix_tree, op10_quality_classifier)
 }
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force, round trips or held-out rows.
 ORACLE_SQL: dict[str, str] = {"op3_warc_fixity": warc_fixity.DRILL_SQL}
