@@ -20,6 +20,11 @@ class Page(HTMLParser):
         self.sections, self.links, self.tables, self.faq = [["", 0, []]], [], [], []
         self.into, self.cell, self.question = None, None, None
 
+    def close_cell(self):
+        if self.cell is not None:
+            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "link" and "canonical" in (a.get("rel") or ""):
@@ -38,8 +43,10 @@ class Page(HTMLParser):
         elif tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
+            self.close_cell()
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.close_cell()
             self.cell = []
         elif tag == "summary":
             self.question = []
@@ -51,9 +58,8 @@ class Page(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag in HEADINGS or tag == "title":
             self.into = None
-        elif tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        elif tag in ("td", "th", "tr", "table"):
+            self.close_cell()
         elif tag == "summary" and self.question is not None:
             if self.faq:
                 self.faq[-1][0] = " ".join("".join(self.question).split())
