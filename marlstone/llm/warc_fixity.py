@@ -58,16 +58,16 @@ def _hash(*order: str) -> Column:
 
 
 def tree(leaf_rows: DataFrame, height: int) -> list[DataFrame]:
-    """Nodes by level: leaf ranges, files' parts, files, then FANOUT to one; every group is bounded."""
-    ranges = leaf_rows.groupBy("file", "part", "leaf").agg(_hash("page_id", "digest", "copies", "length"))
-    parts = ranges.groupBy("file", "part").agg(_hash("leaf", "hash"))
+    """Nodes by level: leaf ranges, files' parts, files, then FANOUT to one; every group is bounded, every level staged."""
+    ranges = staged(leaf_rows.groupBy("file", "part", "leaf").agg(_hash("page_id", "digest", "copies", "length")), "warc-ranges")
+    parts = staged(ranges.groupBy("file", "part").agg(_hash("leaf", "hash")), "warc-parts")
     # A file has few parts but for a split one: those are first hashed by FANOUT, too.
     bundles = parts.groupBy("file", F.floor(F.col("part") / FANOUT).alias("bundle")).agg(_hash("part", "hash"))
-    files = bundles.groupBy("file").agg(_hash("bundle", "hash")).select(F.col("file").alias("node"), "hash")
+    files = staged(bundles.groupBy("file").agg(_hash("bundle", "hash")).select(F.col("file").alias("node"), "hash"), "warc-files")
     levels = [ranges, parts, files]
     for _ in range(height):
         up = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(_hash("node", "hash"))
-        levels.append(up.select(F.col("up").alias("node"), "hash"))
+        levels.append(staged(up.select(F.col("up").alias("node"), "hash"), "warc-level"))
     return levels
 
 
@@ -89,14 +89,13 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     while reach <= (top or 0):
         height, reach = height + 1, reach * FANOUT
     ta, tb = tree(a, height + 1), tree(b, height + 1)
-    bad = _differing(ta[-1], tb[-1], ["node"])
+    bad = staged(_differing(ta[-1], tb[-1], ["node"]), "warc-bad")
     for x, y in zip(ta[-2:1:-1], tb[-2:1:-1], strict=True):
         under = lambda t, bad=bad: t.join(bad.select(F.col("node").alias("up")), F.floor(F.col("node") / FANOUT) == F.col("up"), "left_semi")
-        bad = _differing(under(x), under(y), ["node"])
+        bad = staged(_differing(under(x), under(y), ["node"]), "warc-bad")
     bad = bad.select(F.col("node").alias("file"))
     for k, keys in ((1, ["file", "part"]), (0, ["file", "part", "leaf"])):
-        bad = _differing(ta[k].join(bad, keys[:-1], "left_semi"), tb[k].join(bad, keys[:-1], "left_semi"), keys)
-    bad = staged(bad, "warc-bad")
+        bad = staged(_differing(ta[k].join(bad, keys[:-1], "left_semi"), tb[k].join(bad, keys[:-1], "left_semi"), keys), "warc-bad")
     keys = ["file", "part", "leaf"]
     cols = ["page_id", "file", "part", "offset", "length", "digest", "copies"]
     fine = a.join(bad, keys, "left_anti").select(*cols, F.lit("ok").alias("status"))
