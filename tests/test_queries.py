@@ -1,6 +1,7 @@
 """Every registered query with a twin against DuckDB on the smallest tables."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -19,7 +20,7 @@ def rows(df):
     def same(v):  # pandas holds integers with nulls as floats or with its own null, by where they come from
         if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
-        return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+        return round(float(v), 5) if isinstance(v, numbers.Real) and not isinstance(v, bool) else v
 
     return sorted(repr(tuple(map(same, r))) for r in df.itertuples(index=False))
 
