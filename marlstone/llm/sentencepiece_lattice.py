@@ -1,17 +1,18 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 Spaces become U+2581, one is put in front, and the text is cut before every U+2581 that follows another character and
-around line ends and tabs; no piece of the model spans such a cut (checked when the model is read). Each distinct word
-is encoded once: its substrings of up to the longest piece's length are exploded and equi-joined to the piece table
-(a broadcast of the vocabulary's fixed size), the edges are grouped by word (no further shuffle: the words are already
-dealt by word), and a higher-order aggregate folds them into a segmentation. For a BPE model that fold takes the edges
-by rank and keeps the boundaries as bits of a long: an edge is merged if both its ends are boundaries and exactly one
-lies between. A Viterbi fold of BPE scores would not give a BPE model's ids; `viterbi` is the fold for unigram models.
-Words longer than MAX_WORD characters (more boundaries than a long has bits) take the same fold in Python.
-Characters without a piece become their UTF-8 bytes.
-
-Texts then take their words' ids: the TOP most frequent words' from a broadcast table of that bound, those of all other
-words by joining the text's open places to the words, keyed by a hash of the text, so that equal texts ask once.
+around line ends and tabs; such words are cut again into atoms wherever two neighbouring characters stand side by side
+in no piece of the model. No piece spans a cut, so encoding the atoms apart is exact. Each distinct atom is encoded
+once: its substrings of up to the longest piece's length are exploded and equi-joined to the piece table (a broadcast of
+the vocabulary's fixed size), the edges are grouped by atom (no further shuffle: the atoms are already dealt by atom),
+and a higher-order aggregate folds them into a segmentation. For a BPE model that fold takes the edges by rank and keeps
+the boundaries as bits of a long: an edge is merged if both its ends are boundaries and exactly one lies between. A
+Viterbi fold of BPE scores would not give a BPE model's ids; `viterbi` is the fold for unigram models. Atoms longer than
+MAX_WORD characters (more boundaries than a long has bits) take the same fold in Python. Characters without a piece
+become their UTF-8 bytes.
+
+Texts then take their atoms' ids: the TOP most frequent atoms' from a broadcast table of that bound, those of all other
+atoms by joining the text's open places to the atoms, keyed by a hash of the text, so that equal texts ask once.
 
 Defined results: a null or empty text has no ids; decoding gives back the text (null gives an empty one); repeated
 rows are encoded each; other columns are never read.
@@ -58,6 +59,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+@functools.cache
+def joined_pairs(path: str) -> frozenset[str]:
+    """Every two characters that stand side by side in a piece."""
+    return frozenset(p[i : i + 2] for p in vocabulary(path)[0] for i in range(len(p) - 1))
+
+
+def atoms(word: str, joined: frozenset[str]) -> list[str]:
+    """The word cut between characters that no piece joins."""
+    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
+
 def encode_word(word: str, path: str) -> list[int]:
     """The BPE fold in Python, for words of any length."""
     pieces, byte, _ = vocabulary(path)
@@ -91,26 +104,24 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.items()], "piece string, id int, score double")
 
 
-def lattice(found: DataFrame, path: str) -> DataFrame:
-    """found with edges: array of (rank, s, e, id, ends, inner) of each word's substrings that are pieces."""
+def edges(found: DataFrame, path: str) -> DataFrame:
+    """(word, s, e, id, score): the substrings of two and more characters that are pieces, and every word's first
+    character whatever it is (id 0), so that no word is lost."""
     longest = max(map(len, vocabulary(path)[0]))
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.struct((i - 1).alias("s"), (i + k - 1).alias("e"), F.substring(F.col("word"), i, k).alias("piece")))))
-    rows = found.select("word", "n", F.inline(spans)).join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left")
-    # An edge without a piece is kept for single characters only: they may have to be bytes.
-    rows = rows.where("id is not null or e = s + 1")
-    ends = F.expr("shiftleft(1L, s) | shiftleft(1L, e)")
-    inner = F.expr("(shiftleft(1L, e) - 1L) & ~(shiftleft(1L, s + 1) - 1L)")
-    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", ends.alias("ends"), inner.alias("inner"))
-    return rows.groupBy("word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-def merges(edges: Column, word: Column) -> Column:
-    """The boundaries that a BPE model leaves, as bits."""
-    start = F.expr("shiftleft(1L, length(word) + 1) - 1L")
-    long_ = F.filter(edges, lambda e: e["id"].isNotNull() & (e["e"] > e["s"] + 1))
+    starts = found.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    room = F.least(F.lit(longest), F.length("word") - F.col("i") + 1)
+    first = F.when(F.col("i") == 1, 1).otherwise(2)
+    spans = starts.where((F.col("i") == 1) | (room >= 2)).select("word", "n", "i", F.explode(F.sequence(first, room)).alias("k"))
+    spans = spans.select("word", "n", (F.col("i") - 1).alias("s"), (F.col("i") + F.col("k") - 1).alias("e"), F.expr("substring(word, i, k)").alias("piece"))
+    rows = spans.join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left").where("id is not null or e = 1")
+    return rows.select("word", "n", "s", "e", F.when(F.col("e") - F.col("s") > 1, F.col("id")).otherwise(0).alias("id"), "score")
+
+
+def merges(ranked: Column, word: Column) -> Column:
+    """The boundaries that a BPE model leaves, as bits; ranked: array of (rank, ends, inner) in order."""
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 1) - 1
     ok = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
-    return F.aggregate(long_, start, lambda m, e: F.when(ok(m, e), m.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(m))
+    return F.aggregate(ranked, start, lambda m, e: F.when(ok(m, e), m.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(m))
 
 
 def viterbi(edges: Column, size: Column) -> Column:
@@ -134,43 +145,63 @@ def viterbi(edges: Column, size: Column) -> Column:
 
 def encoded_words(found: DataFrame, path: str) -> DataFrame:
     """(word, n, ids) of a table of distinct words with counts that is dealt by word."""
-    byte = vocabulary(path)[1]
-    e = lattice(found.where(F.length("word") <= MAX_WORD), path)
-    e = e.withColumn("m", merges(F.col("edges"), F.col("word")))
-    used = F.filter("edges", lambda x: (F.col("m").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("m").bitwiseAND(x["inner"]) == 0))
-    code = F.array(*(F.lit(b) for b in byte))
+    ends = F.expr("shiftleft(1L, s) | shiftleft(1L, e)")
+    inner = F.expr("(shiftleft(1L, e) - 1L) & ~(shiftleft(1L, s + 1) - 1L)")
+    e = edges(found.where(F.length("word") <= MAX_WORD), path)
+    e = e.select("word", "n", F.struct((-F.col("score")).alias("rank"), ends.alias("ends"), inner.alias("inner"), (F.col("id") > 0).alias("real")).alias("edge"))
+    # The placeholder of a word's first character has nothing inside and merges nothing.
+    e = e.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    e = e.select("word", "n", merges(F.col("edges"), F.col("word")).alias("m"))
 
-    def ids(x: Column) -> Column:
-        hexed = F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "utf-8"))
-        raw = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.get(code, F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(raw)
+    def ids(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    ordered = F.array_sort(F.transform(used, lambda x: F.struct(x["s"].alias("s"), ids(x).alias("ids"))))
-    e = e.select("word", "n", F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+        pieces, byte, _ = vocabulary(path)
 
-    def long_words(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        def one(word: str, m: int | None) -> list[int]:
+            if m is None:
+                return encode_word(word, path)
+            out, i = [], 0
+            for j in range(1, len(word) + 1):
+                if m >> j & 1:
+                    p = pieces.get(word[i:j])
+                    out += [p[0]] if p else [byte[b] for b in word[i:j].encode()]
+                    i = j
+            return out
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode_word(w, path) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            out = [one(w, m) for w, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    long_words = found.where(F.length("word") > MAX_WORD).select("word", "n", F.lit(None).cast("long").alias("m"))
+    return e.unionByName(long_words).mapInArrow(ids, "word string, n long, ids array<int>")
 
-    return e.unionByName(found.where(F.length("word") > MAX_WORD).select("word", "n").mapInArrow(long_words, "word string, n long, ids array<int>"))
 
+def distinct_words(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n): the atoms of all texts."""
 
-def distinct_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
 
         import pyarrow as pa
 
+        joined = joined_pairs(path)
+
+        def sent(c: Counter) -> pa.RecordBatch:
+            cut: Counter = Counter()
+            for w, n in c.items():
+                for x in atoms(w, joined):
+                    cut[x] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(cut), pa.string()), pa.array(list(cut.values()), pa.int64())], names=["word", "n"])
+
         c: Counter = Counter()
         for b in batches:
-            for i, t in enumerate(b.column(0).to_pylist()):
+            for t in b.column(0).to_pylist():
                 c.update(words(t))
                 if len(c) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+                    yield sent(c)
                     c = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        yield sent(c)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -178,7 +209,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and key (a hash of the text) of every document."""
     path, spark = model or default_model(), docs.sparkSession
-    known = staged(encoded_words(distinct_words(docs), path), "piece-words")
+    known = staged(encoded_words(distinct_words(docs, path), path), "piece-words")
     often = known.orderBy(F.desc("n"), "word").limit(top).select("word", "ids").toArrow()
     table = dict(zip(often["word"].to_pylist(), (np.asarray(i.values, np.uint32).tobytes() for i in often["ids"]), strict=True))
     shared = spark.sparkContext.broadcast(table)
@@ -190,12 +221,20 @@ def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP)
         import pyarrow as pa
         import xxhash
 
-        get = shared.value.get
+        get, joined = shared.value.get, joined_pairs(path)
         for b in batches:
             for a in range(0, b.num_rows, 512):
+                cut: dict[str, list[str]] = {}
                 keys, sent, rare = [], [], []
                 for t in b.column(1).slice(a, 512).to_pylist():
-                    ws = words(t)
+                    ws = []
+                    for w in words(t):
+                        if w in shared.value:
+                            ws.append(w)
+                        else:
+                            if w not in cut:
+                                cut[w] = atoms(w, joined)
+                            ws += cut[w]
                     ids = [get(w, hole) for w in ws]
                     keys.append(int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"))).view(np.int64)))
                     rare.append([w for w, i in zip(ws, ids, strict=True) if i is hole])
