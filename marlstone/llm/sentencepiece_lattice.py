@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import staged
 
 SPACE = "▁"
-TOP, MAX_WORD, OPEN = 400_000, 62, 0xFFFFFFFF
+TOP, MAX_WORD, OPEN, HELD = 200_000, 62, 0xFFFFFFFF, 100_000
 _WORD = re.compile(SPACE + "*[^" + SPACE + "\n\t]+|[\n\t]|" + SPACE + "+")
 
 
@@ -109,7 +109,8 @@ def edges(found: DataFrame, path: str) -> DataFrame:
     character whatever it is (id 0), so that no word is lost."""
     longest = max(map(len, vocabulary(path)[0]))
     starts = found.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
-    room = F.least(F.lit(longest), F.length("word") - F.col("i") + 1)
+    fits = F.when(F.length("word") > MAX_WORD, 1).otherwise(longest)  # a longer word keeps its placeholder only
+    room = F.least(fits, F.length("word") - F.col("i") + 1)
     first = F.when(F.col("i") == 1, 1).otherwise(2)
     spans = starts.where((F.col("i") == 1) | (room >= 2)).select("word", "n", "i", F.explode(F.sequence(first, room)).alias("k"))
     spans = spans.select("word", "n", (F.col("i") - 1).alias("s"), (F.col("i") + F.col("k") - 1).alias("e"), F.expr("substring(word, i, k)").alias("piece"))
@@ -147,11 +148,11 @@ def encoded_words(found: DataFrame, path: str) -> DataFrame:
     """(word, n, ids) of a table of distinct words with counts that is dealt by word."""
     ends = F.expr("shiftleft(1L, s) | shiftleft(1L, e)")
     inner = F.expr("(shiftleft(1L, e) - 1L) & ~(shiftleft(1L, s + 1) - 1L)")
-    e = edges(found.where(F.length("word") <= MAX_WORD), path)
+    e = edges(found, path)
     e = e.select("word", "n", F.struct((-F.col("score")).alias("rank"), ends.alias("ends"), inner.alias("inner"), (F.col("id") > 0).alias("real")).alias("edge"))
     # The placeholder of a word's first character has nothing inside and merges nothing.
     e = e.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    e = e.select("word", "n", merges(F.col("edges"), F.col("word")).alias("m"))
+    e = e.select("word", "n", F.when(F.length("word") <= MAX_WORD, merges(F.col("edges"), F.col("word"))).alias("m"))
 
     def ids(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,8 +174,7 @@ def encoded_words(found: DataFrame, path: str) -> DataFrame:
             out = [one(w, m) for w, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    long_words = found.where(F.length("word") > MAX_WORD).select("word", "n", F.lit(None).cast("long").alias("m"))
-    return e.unionByName(long_words).mapInArrow(ids, "word string, n long, ids array<int>")
+    return e.mapInArrow(ids, "word string, n long, ids array<int>")
 
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
@@ -196,9 +196,9 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
 
         c: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words(t))
-                if len(c) > 300_000:
+            for t in b.column(0):
+                c.update(words(t.as_py()))
+                if len(c) > HELD:
                     yield sent(c)
                     c = Counter()
         yield sent(c)
