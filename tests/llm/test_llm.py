@@ -200,3 +200,20 @@ def test_ftrl_separates():
     ex = [(np.array([int(y), 2 + int(rng.integers(0, 5))]), np.ones(2), int(y)) for y in rng.integers(0, 2, 200)]
     w = ftrl.train(ex, 8)[:, 0]
     assert w[1] > 0 > w[0]
+
+
+def test_viterbi_fold_against_every_path(spark):
+    pieces = {"a": -3.0, "b": -3.0, "c": -3.0, "ab": -2.5, "bc": -2.0, "abc": -5.5, "ca": -9.0}
+    rows = []
+    for w in ("abc", "abcab", "cab", "a"):
+        spans = [(w[i:j], i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if w[i:j] in pieces]
+        rows.append((w, [(-pieces[p], i, j, list(pieces).index(p)) for p, i, j in spans]))
+    df = spark.createDataFrame(rows, "word string, edges array<struct<rank:double,s:int,e:int,id:int>>")
+    got = df.select("word", sentencepiece_lattice.viterbi(F.col("edges"), F.length("word")).alias("path")).collect()
+
+    def best(w):
+        return max((pieces[w[:k]] + best(w[k:]) for k in range(1, len(w) + 1) if w[:k] in pieces), default=0.0 if not w else float("-inf"))
+
+    for r in got:
+        names = [list(pieces)[x["id"]] for x in r["path"]]
+        assert "".join(names) == r["word"] and abs(sum(pieces[n] for n in names) - best(r["word"])) < 1e-9
