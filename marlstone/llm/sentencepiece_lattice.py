@@ -2,17 +2,17 @@
 
 Spaces become U+2581, one is put in front, and the text is cut before every U+2581 that follows another character and
 around line ends and tabs; such words are cut again into atoms wherever two neighbouring characters stand side by side
-in no piece of the model. No piece spans a cut, so encoding the atoms apart is exact. Each distinct atom is encoded
-once: its substrings of up to the longest piece's length are exploded and equi-joined to the piece table (a broadcast of
-the vocabulary's fixed size), the edges are grouped by atom (no further shuffle: the atoms are already dealt by atom),
-and a higher-order aggregate folds them into a segmentation. For a BPE model that fold takes the edges by rank and keeps
-the boundaries as bits of a long: an edge is merged if both its ends are boundaries and exactly one lies between. A
-Viterbi fold of BPE scores would not give a BPE model's ids; `viterbi` is the fold for unigram models. Atoms longer than
-MAX_WORD characters (more boundaries than a long has bits) take the same fold in Python. Characters without a piece
-become their UTF-8 bytes.
-
-Texts then take their atoms' ids: the TOP most frequent atoms' from a broadcast table of that bound, those of all other
-atoms by joining the text's open places to the atoms, keyed by a hash of the text, so that equal texts ask once.
+in no piece of the model. No piece spans a cut, so encoding the atoms apart is exact. An atom's substrings of up to the
+longest piece's length are exploded and equi-joined to the piece table (a broadcast of the vocabulary's fixed size), the
+edges are grouped by atom, and a higher-order aggregate folds them into a segmentation. For a BPE model that fold takes
+the edges by rank and keeps the boundaries as bits of a long: an edge is merged if both its ends are boundaries and
+exactly one lies between. A Viterbi fold of BPE scores would not give a BPE model's ids; `viterbi` is the fold for
+unigram models. Atoms longer than MAX_WORD characters (more boundaries than a long has bits) take the same fold in
+Python. Characters without a piece become their UTF-8 bytes.
+
+The TOP most frequent atoms of a sample of about SAMPLE documents go through the lattice first and are broadcast: a table
+of fixed size, which spares work and changes no result. The texts are read once, cut, and shuffled once by id and text
+with the ids found so far and their other atoms; everything after, lattice included, stays in that partitioning.
 
 Defined results: a null or empty text has no ids; decoding gives back the text (null gives an empty one); repeated
 rows are encoded each; other columns are never read.
@@ -29,10 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
-
 SPACE = "▁"
-TOP, MAX_WORD, OPEN, HELD = 200_000, 62, 0xFFFFFFFF, 100_000
+TOP, SAMPLE, MAX_WORD, HELD = 200_000, 20_000, 62, 100_000
 _WORD = re.compile(SPACE + "*[^" + SPACE + "\n\t]+|[\n\t]|" + SPACE + "+")
 
 
@@ -105,17 +103,18 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edges(found: DataFrame, path: str) -> DataFrame:
-    """(word, s, e, id, score): the substrings of two and more characters that are pieces, and every word's first
-    character whatever it is (id 0), so that no word is lost."""
+    """found with s, e and score: a word's substrings of two and more characters that are pieces, and every word's first
+    character whatever it is (no score), so that no row is lost; a null word has that edge only."""
     longest = max(map(len, vocabulary(path)[0]))
-    starts = found.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
-    fits = F.when(F.length("word") > MAX_WORD, 1).otherwise(longest)  # a longer word keeps its placeholder only
-    room = F.least(fits, F.length("word") - F.col("i") + 1)
+    size = F.coalesce(F.length("word"), F.lit(1))
+    starts = found.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)))))
+    fits = F.when(size > MAX_WORD, 1).otherwise(longest)  # a longer word keeps its placeholder only
+    room = F.least(fits, size - F.col("i") + 1)
     first = F.when(F.col("i") == 1, 1).otherwise(2)
-    spans = starts.where((F.col("i") == 1) | (room >= 2)).select("word", "n", "i", F.explode(F.sequence(first, room)).alias("k"))
-    spans = spans.select("word", "n", (F.col("i") - 1).alias("s"), (F.col("i") + F.col("k") - 1).alias("e"), F.expr("substring(word, i, k)").alias("piece"))
+    spans = starts.where((F.col("i") == 1) | (room >= 2)).withColumn("k", F.explode(F.sequence(first, room)))
+    spans = spans.select(*found.columns, (F.col("i") - 1).alias("s"), (F.col("i") + F.col("k") - 1).alias("e"), F.expr("substring(word, i, k)").alias("piece"))
     rows = spans.join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left").where("id is not null or e = 1")
-    return rows.select("word", "n", "s", "e", F.when(F.col("e") - F.col("s") > 1, F.col("id")).otherwise(0).alias("id"), "score")
+    return rows.select(*found.columns, "s", "e", "score")
 
 
 def merges(ranked: Column, word: Column) -> Column:
@@ -144,37 +143,31 @@ def viterbi(edges: Column, size: Column) -> Column:
     return F.get(F.aggregate(order, first, step), size)["path"]
 
 
-def encoded_words(found: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of a table of distinct words with counts that is dealt by word."""
+def folded(found: DataFrame, path: str, by: list[str], carried: list[Column]) -> DataFrame:
+    """by, word, m (see merges; null for words over MAX_WORD) and the carried aggregates.
+
+    found has word and the columns named by `by`; where it is dealt by one of these, nothing is shuffled.
+    """
     ends = F.expr("shiftleft(1L, s) | shiftleft(1L, e)")
     inner = F.expr("(shiftleft(1L, e) - 1L) & ~(shiftleft(1L, s + 1) - 1L)")
-    e = edges(found, path)
-    e = e.select("word", "n", F.struct((-F.col("score")).alias("rank"), ends.alias("ends"), inner.alias("inner"), (F.col("id") > 0).alias("real")).alias("edge"))
+    e = edges(found, path).withColumn("edge", F.struct((-F.col("score")).alias("rank"), ends.alias("ends"), inner.alias("inner")))
     # The placeholder of a word's first character has nothing inside and merges nothing.
-    e = e.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    e = e.select("word", "n", F.when(F.length("word") <= MAX_WORD, merges(F.col("edges"), F.col("word"))).alias("m"))
-
-    def ids(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    e = e.groupBy(*by, "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *carried)
+    return e.withColumn("m", F.when(F.length("word") <= MAX_WORD, merges(F.col("edges"), F.col("word")))).drop("edges")
 
-        pieces, byte, _ = vocabulary(path)
 
-        def one(word: str, m: int | None) -> list[int]:
-            if m is None:
-                return encode_word(word, path)
-            out, i = [], 0
-            for j in range(1, len(word) + 1):
-                if m >> j & 1:
-                    p = pieces.get(word[i:j])
-                    out += [p[0]] if p else [byte[b] for b in word[i:j].encode()]
-                    i = j
-            return out
-
-        for b in batches:
-            out = [one(w, m) for w, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    return e.mapInArrow(ids, "word string, n long, ids array<int>")
+def pieces_of(word: str, m: int | None, path: str) -> list[int]:
+    """The ids of a word whose boundaries are the bits of m."""
+    if m is None:
+        return encode_word(word, path)
+    pieces, byte, _ = vocabulary(path)
+    out, i = [], 0
+    for j in range(1, len(word) + 1):
+        if m >> j & 1:
+            p = pieces.get(word[i:j])
+            out += [p[0]] if p else [byte[b] for b in word[i:j].encode()]
+            i = j
+    return out
 
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
@@ -206,61 +199,94 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP) -> DataFrame:
+def frequent_atoms(docs: DataFrame, path: str, top: int, sample: int) -> dict[str, list[int]]:
+    """The ids of the `top` most frequent atoms of about `sample` documents, chosen by a hash of the id.
+
+    These save work and change no result: atoms that are not among them go through the lattice with their document.
+    """
+    every = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    found = distinct_words(some, path).orderBy(F.desc("n"), "word").limit(top).select("word").repartition("word")
+    rows = folded(found, path, [], []).select("word", "m").toArrow()
+    return {w: pieces_of(w, m, path) for w, m in zip(rows["word"].to_pylist(), rows["m"].to_pylist(), strict=True)}
+
+
+def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and key (a hash of the text) of every document."""
     path, spark = model or default_model(), docs.sparkSession
-    known = staged(encoded_words(distinct_words(docs, path), path), "piece-words")
-    often = known.orderBy(F.desc("n"), "word").limit(top).select("word", "ids").toArrow()
-    table = dict(zip(often["word"].to_pylist(), (np.asarray(i.values, np.uint32).tobytes() for i in often["ids"]), strict=True))
+    kind16 = len(vocabulary(path)[2]) < 0xFFFF
+    unit = np.uint16 if kind16 else np.uint32
+    hole = np.array([np.iinfo(unit).max], unit)
+    table = {w: np.array(i, unit).tobytes() for w, i in frequent_atoms(docs, path, top, sample).items()}
     shared = spark.sparkContext.broadcast(table)
     d = docs.select("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    hole = np.array([OPEN], np.uint32).tobytes()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
+        import zstandard
 
-        get, joined = shared.value.get, joined_pairs(path)
+        known, joined, mark = shared.value, joined_pairs(path), hole.tobytes()
+        get, pack = known.get, zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 cut: dict[str, list[str]] = {}
-                keys, sent, rare = [], [], []
+                keys, sent, asked, rare = [], [], [], []
                 for t in b.column(1).slice(a, 512).to_pylist():
-                    ws = []
+                    ids, place, order = [], {}, []
                     for w in words(t):
-                        if w in shared.value:
-                            ws.append(w)
-                        else:
-                            if w not in cut:
-                                cut[w] = atoms(w, joined)
-                            ws += cut[w]
-                    ids = [get(w, hole) for w in ws]
+                        x = get(w)
+                        if x is not None:
+                            ids.append(x)
+                            continue
+                        ws = cut.get(w)
+                        if ws is None:
+                            ws = cut[w] = atoms(w, joined)
+                        for y in ws:
+                            x = get(y)
+                            if x is None:
+                                order.append(place.setdefault(y, len(place)))
+                                x = mark
+                            ids.append(x)
                     keys.append(int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"))).view(np.int64)))
-                    rare.append([w for w, i in zip(ws, ids, strict=True) if i is hole])
-                    sent.append(zlib.compress(b"".join(ids), 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 512), pa.array(keys, pa.int64()), pa.array(sent, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "key", "sent", "rare"])
-
-    part = d.mapInArrow(run, f"doc_id {kind}, key long, sent binary, rare array<string>")
-    ask = part.select("key", F.posexplode("rare").alias("pos", "word")).groupBy("word", "key", "pos").agg(F.lit(1).alias("one")).drop("one")
-    patch = ask.join(known.select("word", "ids"), "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("patch"))
-    j = part.select("doc_id", "key", "sent").join(patch, "key", "left").select("doc_id", "key", "sent", F.transform("patch", lambda p: p["ids"]).alias("patch"))
+                    sent.append(pack(b"".join(ids)))
+                    asked.append(pack(np.array(order, np.uint32).tobytes()))
+                    rare.append(list(place))
+                columns = [b.column(0).slice(a, 512), pa.array(keys, pa.int64()), pa.array(sent, pa.binary()), pa.array(asked, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "sent", "asked", "rare"])
+
+    part = d.mapInArrow(run, f"doc_id {kind}, key long, sent binary, asked binary, rare array<string>")
+    # The one shuffle. A copy of a text under another id has another place, so groups of copies are spread.
+    part = part.withColumn("deal", F.xxhash64("doc_id", "key")).repartition("deal")
+    own = F.struct(F.lit(-1).alias("r"), F.lit(None).cast("string").alias("word"), F.struct("key", "sent", "asked").alias("doc"))
+    atom = lambda w, r: F.struct(r.alias("r"), w.alias("word"), F.lit(None).cast(part.select(F.struct("key", "sent", "asked").alias("doc")).schema["doc"].dataType).alias("doc"))
+    rows = part.select("deal", "doc_id", F.explode(F.concat(F.array(own), F.transform("rare", atom))).alias("x")).select("deal", "doc_id", "x.r", "x.word", "x.doc")
+    m = folded(rows, path, ["deal", "doc_id", "r"], [F.first("doc", ignorenulls=True).alias("doc"), F.sum(F.col("doc").isNotNull().cast("int")).alias("copies")])
+    patch = F.collect_list(F.when(F.col("r") >= 0, F.struct("r", "word", "m")))
+    j = m.groupBy("deal", "doc_id").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("copies").alias("copies"), patch.alias("patch"))
+    j = j.select("doc_id", "doc.key", "doc.sent", "doc.asked", "copies", "patch")
 
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                out = []
-                for s, p in zip(b.column(2).slice(a, 512).to_pylist(), b.column(3).slice(a, 512).to_pylist(), strict=True):
-                    ids = np.frombuffer(zlib.decompress(s), np.uint32)
+            for a in range(0, b.num_rows, 256):
+                rows, places, out = b.slice(a, 256), [], []
+                for k, (s, o, c, p) in enumerate(zip(*(rows.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)):
+                    ids = np.frombuffer(unpack(s), unit).astype(np.uint32)
                     if p:
-                        at = np.flatnonzero(ids == OPEN)
+                        of = {x["r"]: np.array(pieces_of(x["word"], x["m"], path), np.uint32) for x in p}
+                        at = np.flatnonzero(ids == hole[0])
                         cuts = [0, *(at + 1)]
-                        parts = [x for k, w in enumerate(p) for x in (ids[cuts[k] : at[k]], np.array(w, np.uint32))]
+                        parts = [x for i, r in enumerate(np.frombuffer(unpack(o), np.uint32).tolist()) for x in (ids[cuts[i] : at[i]], of[r])]
                         ids = np.concatenate([*parts, ids[cuts[-1] :]])
-                    out.append(ids.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 512), b.column(1).slice(a, 512), pa.array(out, pa.binary())], names=["doc_id", "key", "ids"])
+                    places += [k] * c
+                    out += [ids.tobytes()] * c
+                took = pa.array(places, pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(took), rows.column(1).take(took), pa.array(out, pa.binary())], names=["doc_id", "key", "ids"])
 
     return j.mapInArrow(fill, f"doc_id {kind}, key long, ids binary")
 
