@@ -23,7 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,10 +89,17 @@ def encode_word(word: str, path: str) -> list[int]:
     return out
 
 
-def decode(ids: list[int], path: str) -> str:
+@functools.cache
+def piece_bytes(path: str) -> list[bytes]:
     _, byte, names = vocabulary(path)
-    back = {i: b for b, i in enumerate(byte)}
-    raw = b"".join(bytes([back[i]]) if i in back else names[i].encode() for i in ids)
+    out = [p.encode() for p in names]
+    for b, i in enumerate(byte):
+        out[i] = bytes([b])
+    return out
+
+
+def decode(ids: list[int], path: str) -> str:
+    raw = b"".join(map(piece_bytes(path).__getitem__, ids))
     text = raw.decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
@@ -211,9 +218,20 @@ def frequent_atoms(docs: DataFrame, path: str, top: int, sample: int) -> dict[st
     return {w: pieces_of(w, m, path) for w, m in zip(rows["word"].to_pylist(), rows["m"].to_pylist(), strict=True)}
 
 
+def text_key(text: str | None) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))).view(np.int64))
+
+
 def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and key (a hash of the text) of every document."""
-    path, spark = model or default_model(), docs.sparkSession
+    return encoded(docs, model or default_model(), top, sample, lambda key, ids: (key, ids.tobytes()), "key long, ids binary")
+
+
+def encoded(docs: DataFrame, path: str, top: int, sample: int, finish: Callable[[int, np.ndarray], tuple], columns: str) -> DataFrame:
+    """doc_id and the columns that finish(key, ids) makes, in the process that puts the ids together."""
+    spark = docs.sparkSession
     kind16 = len(vocabulary(path)[2]) < 0xFFFF
     unit = np.uint16 if kind16 else np.uint32
     hole = np.array([np.iinfo(unit).max], unit)
@@ -224,7 +242,6 @@ def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP,
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
         import zstandard
 
         known, joined, mark = shared.value, joined_pairs(path), hole.tobytes()
@@ -249,7 +266,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP,
                                 order.append(place.setdefault(y, len(place)))
                                 x = mark
                             ids.append(x)
-                    keys.append(int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"))).view(np.int64)))
+                    keys.append(text_key(t))
                     sent.append(pack(b"".join(ids)))
                     asked.append(pack(np.array(order, np.uint32).tobytes()))
                     rare.append(list(place))
@@ -267,15 +284,19 @@ def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP,
     j = m.groupBy("deal", "doc_id").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("copies").alias("copies"), patch.alias("patch"))
     j = j.select("doc_id", "doc.key", "doc.sent", "doc.asked", "copies", "patch")
 
+    made = spark.createDataFrame([], columns).schema
+
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, target = zstandard.ZstdDecompressor().decompress, to_arrow_schema(made)
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                rows, places, out = b.slice(a, 256), [], []
-                for k, (s, o, c, p) in enumerate(zip(*(rows.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)):
+            for a in range(0, b.num_rows, 64):
+                rows, places, out = b.slice(a, 64), [], []
+                for k in range(rows.num_rows):
+                    key, s, o, c, p = (rows.column(i)[k].as_py() for i in range(1, 6))
                     ids = np.frombuffer(unpack(s), unit).astype(np.uint32)
                     if p:
                         of = {x["r"]: np.array(pieces_of(x["word"], x["m"], path), np.uint32) for x in p}
@@ -284,11 +305,11 @@ def encode_documents(docs: DataFrame, model: str | None = None, top: int = TOP,
                         parts = [x for i, r in enumerate(np.frombuffer(unpack(o), np.uint32).tolist()) for x in (ids[cuts[i] : at[i]], of[r])]
                         ids = np.concatenate([*parts, ids[cuts[-1] :]])
                     places += [k] * c
-                    out += [ids.tobytes()] * c
-                took = pa.array(places, pa.int32())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(took), rows.column(1).take(took), pa.array(out, pa.binary())], names=["doc_id", "key", "ids"])
+                    out += [finish(key, ids)] * c
+                values = [pa.array([x[i] for x in out], f.type) for i, f in enumerate(target)]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(places, pa.int32())), *values], names=["doc_id", *target.names])
 
-    return j.mapInArrow(fill, f"doc_id {kind}, key long, ids binary")
+    return j.mapInArrow(fill, f"doc_id {kind}, {columns}")
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -307,19 +328,11 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
-def digest_documents(docs: DataFrame, model: str | None = None, top: int = TOP) -> DataFrame:
+def digest_documents(docs: DataFrame, model: str | None = None, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and round_trip (whether the ids decode to the text) of every document."""
     path = model or default_model()
-    e = encode_documents(docs, path, top)
-    kind = e.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import xxhash
-
-        for b in batches:
-            ids = b.column(2).to_pylist()
-            keys = [int(np.uint64(xxhash.xxh3_64_intdigest(decode(np.frombuffer(i, np.uint32).tolist(), path).encode())).view(np.int64)) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([k == w for k, w in zip(keys, b.column(1).to_pylist(), strict=True)], pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+    def finish(key: int, ids: np.ndarray) -> tuple:
+        return len(ids), zlib.crc32(ids.tobytes()), text_key(decode(ids.tolist(), path)) == key
 
-    return e.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean")
+    return encoded(docs, path, top, sample, finish, "n_pieces long, ids_crc32 long, round_trip boolean")
