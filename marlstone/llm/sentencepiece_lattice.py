@@ -21,6 +21,8 @@ rows are encoded each; other columns are never read.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-TOP, SAMPLE, MAX_WORD, HELD = 200_000, 20_000, 62, 100_000
+TOP, SAMPLE, MAX_WORD, HELD, MEMO = 300_000, 20_000, 62, 100_000, 50_000
 _WORD = re.compile(SPACE + "*[^" + SPACE + "\n\t]+|[\n\t]|" + SPACE + "+")
 
 
@@ -65,8 +67,11 @@ def joined_pairs(path: str) -> frozenset[str]:
 
 def atoms(word: str, joined: frozenset[str]) -> list[str]:
     """The word cut between characters that no piece joins."""
-    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+    whole = list(map(joined.__contains__, map(operator.add, word, word[1:])))
+    if all(whole):
+        return [word]
+    cuts = [i for i, x in enumerate(whole, 1) if not x]
+    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
 
 def encode_word(word: str, path: str) -> list[int]:
@@ -168,12 +173,16 @@ def pieces_of(word: str, m: int | None, path: str) -> list[int]:
     if m is None:
         return encode_word(word, path)
     pieces, byte, _ = vocabulary(path)
-    out, i = [], 0
-    for j in range(1, len(word) + 1):
-        if m >> j & 1:
-            p = pieces.get(word[i:j])
-            out += [p[0]] if p else [byte[b] for b in word[i:j].encode()]
-            i = j
+    out, i, m = [], 0, m ^ 1
+    while m:
+        low = m & -m
+        j = low.bit_length() - 1
+        p = pieces.get(word[i:j])
+        if p:
+            out.append(p[0])
+        else:
+            out += [byte[b] for b in word[i:j].encode()]
+        i, m = j, m ^ low
     return out
 
 
@@ -245,7 +254,8 @@ def encoded(docs: DataFrame, path: str, top: int, sample: int, finish: Callable[
         import zstandard
 
         known, joined, mark = shared.value, joined_pairs(path), hole.tobytes()
-        get, pack = known.get, zstandard.ZstdCompressor(level=3).compress
+        get, pack = known.get, zstandard.ZstdCompressor(level=1).compress
+        memo: dict[str, bytes] = {}  # words of several known atoms
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 cut: dict[str, list[str]] = {}
@@ -253,13 +263,20 @@ def encoded(docs: DataFrame, path: str, top: int, sample: int, finish: Callable[
                 for t in b.column(1).slice(a, 512).to_pylist():
                     ids, place, order = [], {}, []
                     for w in words(t):
-                        x = get(w)
+                        x = get(w) or memo.get(w)
                         if x is not None:
                             ids.append(x)
                             continue
                         ws = cut.get(w)
                         if ws is None:
-                            ws = cut[w] = atoms(w, joined)
+                            ws = atoms(w, joined)
+                            if len(ws) > 1 and all(map(known.__contains__, ws)):
+                                if len(memo) >= MEMO:
+                                    memo.clear()
+                                memo[w] = x = b"".join(map(get, ws))
+                                ids.append(x)
+                                continue
+                            cut[w] = ws
                         for y in ws:
                             x = get(y)
                             if x is None:
@@ -295,11 +312,14 @@ def encoded(docs: DataFrame, path: str, top: int, sample: int, finish: Callable[
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 rows, places, out = b.slice(a, 64), [], []
+                patches = rows.column(5)
+                first = [0, *itertools.accumulate(n or 0 for n in patches.value_lengths().to_pylist())]
+                rs, ws, ms = (patches.flatten().field(i).to_pylist() for i in range(3))
                 for k in range(rows.num_rows):
-                    key, s, o, c, p = (rows.column(i)[k].as_py() for i in range(1, 6))
+                    key, s, o, c = (rows.column(i)[k].as_py() for i in range(1, 5))
                     ids = np.frombuffer(unpack(s), unit).astype(np.uint32)
-                    if p:
-                        of = {x["r"]: np.array(pieces_of(x["word"], x["m"], path), np.uint32) for x in p}
+                    if first[k + 1] > first[k]:
+                        of = {rs[x]: np.array(pieces_of(ws[x], ms[x], path), np.uint32) for x in range(first[k], first[k + 1])}
                         at = np.flatnonzero(ids == hole[0])
                         cuts = [0, *(at + 1)]
                         parts = [x for i, r in enumerate(np.frombuffer(unpack(o), np.uint32).tolist()) for x in (ids[cuts[i] : at[i]], of[r])]
