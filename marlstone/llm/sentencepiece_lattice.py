@@ -1,8 +1,8 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-Spaces become U+2581, one is put in front, and the text is cut before every U+2581 that follows another character and
-around line ends and tabs; such words are cut again into atoms wherever two neighbouring characters stand side by side
-in no piece of the model. No piece spans a cut, so encoding the atoms apart is exact. An atom's substrings of up to the
+Spaces become U+2581, one is put in front, and the text is cut into atoms wherever two neighbouring characters stand side
+by side in no piece of the model (for this model, before every U+2581 that follows another character, around line ends
+and tabs, and inside words). No piece spans a cut, so encoding the atoms apart is exact. An atom's substrings of up to the
 longest piece's length are exploded and equi-joined to the piece table (a broadcast of the vocabulary's fixed size), the
 edges are grouped by atom, and a higher-order aggregate folds them into a segmentation. For a BPE model that fold takes
 the edges by rank and keeps the boundaries as bits of a long: an edge is merged if both its ends are boundaries and
@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import operator
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,8 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-TOP, SAMPLE, MAX_WORD, HELD, MEMO = 300_000, 20_000, 62, 100_000, 50_000
-_WORD = re.compile(SPACE + "*[^" + SPACE + "\n\t]+|[\n\t]|" + SPACE + "+")
+TOP, SAMPLE, MAX_WORD, HELD, NEAR, BLOCK = 300_000, 20_000, 62, 100_000, 0x250, 1_000_000
 
 
 def default_model() -> str:
@@ -50,28 +47,39 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[int, float]], list[int], list
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [sp.id_to_piece(i) for i in range(len(sp))]
     pieces = {names[i]: (i, sp.get_score(i)) for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    if any(re.search(f"[^{SPACE}]{SPACE}|[\n\t]", p) for p in pieces if len(p) > 1):
-        raise ValueError("the model has pieces that span words")
     return pieces, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], names
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 @functools.cache
-def joined_pairs(path: str) -> frozenset[str]:
-    """Every two characters that stand side by side in a piece."""
-    return frozenset(p[i : i + 2] for p in vocabulary(path)[0] for i in range(len(p) - 1))
-
-
-def atoms(word: str, joined: frozenset[str]) -> list[str]:
-    """The word cut between characters that no piece joins."""
-    whole = list(map(joined.__contains__, map(operator.add, word, word[1:])))
-    if all(whole):
-        return [word]
-    cuts = [i for i, x in enumerate(whole, 1) if not x]
-    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+def joined_pairs(path: str) -> tuple[frozenset[str], np.ndarray]:
+    """Every two characters that stand side by side in a piece, as text and as a table over the characters below NEAR,
+    U+2581 and all others: 1 joined, 0 not, 2 to be looked up by text."""
+    joined = frozenset(p[i : i + 2] for p in vocabulary(path)[0] for i in range(len(p) - 1))
+    table = np.zeros((NEAR + 2, NEAR + 2), np.uint8)
+    table[NEAR + 1, :] = table[:, NEAR + 1] = 2
+    place = lambda c: NEAR if c == SPACE else min(ord(c), NEAR + 1)
+    for pair in joined:
+        x, y = map(place, pair)
+        if NEAR + 1 not in (x, y):
+            table[x, y] = 1
+    return joined, table.ravel()
+
+
+def atoms(text: str | None, path: str) -> list[str]:
+    """The text with U+2581 for spaces and one in front, cut between characters that no piece joins."""
+    if not text:
+        return []
+    joined, table = joined_pairs(path)
+    t, cuts = SPACE + text.replace(" ", SPACE), [0]
+    for a in range(0, len(t), BLOCK):
+        c = np.frombuffer(t[a : a + BLOCK + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        near = np.minimum(c, NEAR + 1)
+        near[c == ord(SPACE)] = NEAR
+        state = table.take(near[:-1] * np.uint32(NEAR + 2) + near[1:])
+        for k in np.flatnonzero(state == 2).tolist():
+            state[k] = t[a + k : a + k + 2] in joined
+        cuts += (np.flatnonzero(state == 0) + (a + 1)).tolist()
+    return [t[i:j] for i, j in zip(cuts, [*cuts[1:], len(t)], strict=True)]
 
 
 def encode_word(word: str, path: str) -> list[int]:
@@ -194,19 +202,13 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
 
         import pyarrow as pa
 
-        joined = joined_pairs(path)
-
         def sent(c: Counter) -> pa.RecordBatch:
-            cut: Counter = Counter()
-            for w, n in c.items():
-                for x in atoms(w, joined):
-                    cut[x] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(cut), pa.string()), pa.array(list(cut.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                c.update(words(t.as_py()))
+                c.update(atoms(t.as_py(), path))
                 if len(c) > HELD:
                     yield sent(c)
                     c = Counter()
@@ -253,36 +255,18 @@ def encoded(docs: DataFrame, path: str, top: int, sample: int, finish: Callable[
         import pyarrow as pa
         import zstandard
 
-        known, joined, mark = shared.value, joined_pairs(path), hole.tobytes()
-        get, pack = known.get, zstandard.ZstdCompressor(level=1).compress
-        memo: dict[str, bytes] = {}  # words of several known atoms
+        get, mark = shared.value.get, hole.tobytes()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for a in range(0, b.num_rows, 512):
-                cut: dict[str, list[str]] = {}
                 keys, sent, asked, rare = [], [], [], []
                 for t in b.column(1).slice(a, 512).to_pylist():
-                    ids, place, order = [], {}, []
-                    for w in words(t):
-                        x = get(w) or memo.get(w)
-                        if x is not None:
-                            ids.append(x)
-                            continue
-                        ws = cut.get(w)
-                        if ws is None:
-                            ws = atoms(w, joined)
-                            if len(ws) > 1 and all(map(known.__contains__, ws)):
-                                if len(memo) >= MEMO:
-                                    memo.clear()
-                                memo[w] = x = b"".join(map(get, ws))
-                                ids.append(x)
-                                continue
-                            cut[w] = ws
-                        for y in ws:
-                            x = get(y)
-                            if x is None:
-                                order.append(place.setdefault(y, len(place)))
-                                x = mark
-                            ids.append(x)
+                    ws = atoms(t, path)
+                    ids, place = list(map(get, ws)), {}
+                    at = [i for i, x in enumerate(ids) if x is None]
+                    order = [place.setdefault(ws[i], len(place)) for i in at]
+                    for i in at:
+                        ids[i] = mark
                     keys.append(text_key(t))
                     sent.append(pack(b"".join(ids)))
                     asked.append(pack(np.array(order, np.uint32).tobytes()))
