@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, and on empty, null, repeated and odd rows."""
 
 import collections
+import itertools
 import math
 import zlib
 
@@ -217,3 +218,30 @@ def test_viterbi_fold_against_every_path(spark):
     for r in got:
         names = [list(pieces)[x["id"]] for x in r["path"]]
         assert "".join(names) == r["word"] and abs(sum(pieces[n] for n in names) - best(r["word"])) < 1e-9
+
+
+def test_atoms_cut_where_no_piece_joins(monkeypatch):
+    path = sentencepiece_lattice.default_model()
+    pieces = sentencepiece_lattice.vocabulary(path)[0]
+    joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    text = "One  two,three\n\tfour—five 日本語 äöü \U0001f600x " * 5
+    t = "▁" + text.replace(" ", "▁")
+    want = [t[0]]
+    for a, b in itertools.pairwise(t):
+        if a + b in joined:
+            want[-1] += b
+        else:
+            want.append(b)
+    for block in (1, 2, 7, 1_000_000):
+        monkeypatch.setattr(sentencepiece_lattice, "BLOCK", block)
+        assert sentencepiece_lattice.atoms(text, path) == want
+    assert sentencepiece_lattice.atoms("", path) == sentencepiece_lattice.atoms(None, path) == []
+
+
+def test_pieces_do_not_depend_on_the_frequent_atoms(docs):
+    got = [sorted(map(tuple, sentencepiece_lattice.digest_documents(docs, top=top, sample=sample).collect()), key=repr) for top, sample in ((0, 1), (5, 2), (1000, 100))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(ROWS) and all(r[3] for r in got[0])
+
+
+def test_pieces_of_an_empty_table(spark):
+    assert sentencepiece_lattice.digest_documents(spark.createDataFrame([], DOCS)).count() == 0
