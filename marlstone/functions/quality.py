@@ -84,3 +84,15 @@ def first_rule(x: Column, rules: list[tuple[str, tuple[str, ...]]], other: str)
             any_ = any_ | F.contains(F.lower(x), F.lit(t))
         out = F.when(any_, F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit(other))
+
+
+def meaningful_length(x: Column) -> Column:
+    """Digits and Latin letters of the text; a null text has none."""
+    return F.coalesce(F.length(F.regexp_replace(x, "[^0-9A-Za-z\\u00C0-\\u024F]", "")), F.lit(0))
+
+
+def ocr_garbage(x: Column) -> Column:
+    """Share of other characters in ten-thousandths, halves up (in whole numbers, so exact); 1 for an empty or null text."""
+    n = F.length(x).cast("long")
+    half_up = F.floor((F.lit(20000) * (n - meaningful_length(x)) + n).cast("decimal(38,0)") / (2 * n).cast("decimal(38,0)"))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 1.0).otherwise(half_up.cast("double") / 10000)

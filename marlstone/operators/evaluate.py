@@ -67,3 +67,27 @@ def last_before(turns: DataFrame, role: str, conv: str = "conv_id", turn: str =
     """The last turn number of that role before each turn."""
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("last_turn", F.last(F.when(F.col("role") == role, F.col(turn)), ignorenulls=True).over(w))
+
+
+def regression_deltas(base: DataFrame, cand: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(name, baseline, candidate, delta, bound, failed) of two tables of (name, value).
+
+    A negative bound is the largest fall allowed, another one the largest rise; a metric that either lacks has no delta
+    and doesn't fail.
+    """
+    j = bounds.join(base.select("name", F.col("value").alias("baseline")), "name", "left").join(cand.select("name", F.col("value").alias("candidate")), "name", "left")
+    j = j.withColumn("delta", F.round(F.col("candidate") - F.col("baseline"), 4))
+    bad = F.when(F.col("bound") < 0, F.col("delta") < F.col("bound")).otherwise(F.col("delta") > F.col("bound"))
+    return j.select("name", "baseline", "candidate", "delta", "bound", F.coalesce(bad, F.lit(False)).alias("failed"))
+
+
+def scenario_stats(df: DataFrame, by: str, ts: str, ok: Column, hit: Column, recovered: Column) -> DataFrame:
+    """Requests, requests a second, error percentage, hit ratio (unknown excluded) and recovery frequency by scenario;
+    no rate for a scenario without duration."""
+    at = F.col(ts).cast("timestamp").cast("double")
+    out = df.groupBy(by).agg(
+        F.count("*").alias("requests"), (F.max(at) - F.min(at)).alias("_span"), ratio(~F.coalesce(ok, F.lit(False))).alias("_bad"),
+        ratio(hit, hit.isNotNull()).alias("hit_ratio"), ratio(F.coalesce(recovered, F.lit(False))).alias("recovery_frequency"),
+    )
+    rate = F.when(F.col("_span") > 0, F.round(F.col("requests") / F.col("_span"), 6))
+    return out.select(by, "requests", rate.alias("rps"), F.round(F.col("_bad") * 100, 4).alias("error_rate"), "hit_ratio", "recovery_frequency")

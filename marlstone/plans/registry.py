@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import answer_queries, corpus_queries, retrieval_queries, text_queries
+from marlstone.plans import answer_queries, corpus_queries, report_queries, retrieval_queries, text_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **corpus_queries.QUERIES, **answer_queries.QUERIES}
-ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL}
+QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **corpus_queries.QUERIES, **answer_queries.QUERIES, **report_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL, **report_queries.ORACLE_SQL}
