@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-TOP, SAMPLE, MAX_WORD, HELD, NEAR, BLOCK = 300_000, 20_000, 62, 100_000, 0x250, 1_000_000
+TOP, SAMPLE, MAX_WORD, HELD, NEAR, BLOCK = 400_000, 20_000, 62, 100_000, 0x250, 1_000_000
 
 
 def default_model() -> str:
