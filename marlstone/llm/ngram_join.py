@@ -212,15 +212,15 @@ def _table(counts: list[tuple], links: list[tuple]):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, known): rows are doc_id, k1, k2, cid of every document; known has cid, class_id and n_links of every class
+    """(rows, known): rows are doc_id, k1, k2, cid of every document; known has cid, component, class_id and n_links of every class
     with more than one document or with links."""
     rows = staged(keyed(docs), "ngram-rows")
     classes = rows.where("k1 is not null").groupBy("k1", "k2", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    classes = staged(classes.select(F.xxhash64("k1", "k2").alias("cid"), "rep", "m", "sig"), "ngram-classes")
+    classes = staged(classes.select(F.xxhash64("k1", "k2").alias("cid"), "k1", "rep", "m", "sig"), "ngram-classes")
     bands = classes.select("cid", "sig").mapInArrow(_bands, "band long, cid long")
     hubs = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     part = components(bands.join(hubs, "band").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")), "ngram-part")
-    active = staged(part.withColumnRenamed("node", "cid").join(classes.select("cid", "rep", "m"), "cid"), "ngram-active")
+    active = staged(part.withColumnRenamed("node", "cid").join(classes.select("cid", "k1", "rep", "m"), "cid"), "ngram-active")
     sizes = active.groupBy("component").agg(F.count("*").alias("size"))
     links = staged(_compared(docs, active, sizes, threshold, block), "ngram-links")
     comp = components(links.where("v is not null and u <> v"), "ngram")
@@ -229,15 +229,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> t
     known = some.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = staged(known.select("cid", "component", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "ngram-known")
     least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return rows.select("doc_id", "k1", "k2", F.xxhash64("k1", "k2").alias("cid")), staged(known.join(least, "component").select("cid", "class_id", "n_links"), "ngram-final")
+    return rows.select("doc_id", "k1", "k2", F.xxhash64("k1", "k2").alias("cid")), staged(known.join(least, "component").select("cid", "component", "class_id", "n_links"), "ngram-final")
 
 
 def _compared(docs: DataFrame, active: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
     """(u, v, n): n further links of class u (v null), or a link of the forest (n 0)."""
     total = sizes.agg(F.sum("size")).first()[0] or 0
     bins = max(1, total // block)
-    words = bloom.build(active, "rep")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    # A class's text is that of a row with its smallest id; if all its ids are null, of a row without id, found by its key.
+    shared = docs.sparkSession.sparkContext.broadcast((bloom.build(active, "rep"), bloom.build(active.where("rep is null"), "k1")))
     d = docs.select("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
 
@@ -245,16 +245,23 @@ def _compared(docs: DataFrame, active: DataFrame, sizes: DataFrame, threshold: f
         import pyarrow as pa
 
         for b in batches:
+            by_id, by_key = shared.value
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(bloom.maybe(shared.value, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            hit = np.where(null, by_key.any(), bloom.maybe(by_id, ids))
+            b, null = b.filter(pa.array(hit)), null[hit]
             got = list(shingles(b.column(1)))
             keys = [set_key(s) for s in got]
+            k = np.flatnonzero(~null | bloom.maybe(by_key, np.array([k[0] or 0 for k in keys], np.int64)))
+            again: set = set()  # copies without id in a batch stand for each other
+            k = [i for i in k if not null[i] or (keys[i] not in again and not again.add(keys[i]))]
+            b, got, keys = b.take(pa.array(k, pa.int64())), [got[i] for i in k], [keys[i] for i in k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["doc_id", "k1", "k2", "shingles"])
 
     texts = d.mapInArrow(possible, f"doc_id {kind}, k1 long, k2 long, shingles binary").where("k1 is not null")
     texts = texts.select(F.col("doc_id").alias("rep"), F.xxhash64("k1", "k2").alias("cid"), "shingles")
     tasks = active.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    ready = texts.join(tasks, ["cid", "rep"]).dropDuplicates(["cid"])
+    ready = texts.withColumnRenamed("rep", "id").join(tasks, "cid").where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"])
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     # A part of one block shares a task with other small parts; a larger one has a task for each pair of blocks.
     many = F.col("blocks") > 1
@@ -294,8 +301,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Only rows that may go are shuffled: the others pass a Bloom filter of the ids with links.
     """
     rows, known = join(docs, threshold)
-    grouped = staged(known.join(rows, "cid").select("doc_id", "k1", "k2", "cid", "class_id"), "ngram-grouped")
-    best = grouped.groupBy("class_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(True)), F.col("doc_id"), F.col("k1"), F.col("k2"))).alias("b")).select(F.col("b.k1").alias("k1"), F.col("b.k2").alias("k2"), F.col("b.doc_id").alias("doc_id"))
+    grouped = staged(known.join(rows, "cid").select("doc_id", "k1", "k2", "component", "class_id"), "ngram-grouped")
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(True)), F.col("doc_id"), F.col("k1"), F.col("k2"))).alias("b")).select(F.col("b.k1").alias("k1"), F.col("b.k2").alias("k2"), F.col("b.doc_id").alias("doc_id"))
     words = bloom.build(grouped, "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(words)
     own = [spare_name(docs, c) for c in ("ngram_maybe", "ngram_k1", "ngram_k2")]

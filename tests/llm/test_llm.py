@@ -73,6 +73,20 @@ def test_ngram_join_equals_brute_force(docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 6, 8, 9, 10]
 
 
+def test_ngram_join_verifies_texts_without_id(spark):
+    base, other, third = ([f"{c}{i}" for i in range(100)] for c in "abc")
+    near = lambda w: [*w[:-1], "changed"]
+    texts = [(1, base), (None, near(base)), (None, near(base)), (None, other), (None, near(other)), (None, third), (None, third), (2, third + base)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in texts]
+    links = [sum(1 for k, t in enumerate(sets) if k != i and len(s & t) >= 0.8 * len(s | t)) for i, s in enumerate(sets)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = ngram_join.near_duplicates(d).collect()
+    assert links == [2, 2, 2, 1, 1, 1, 1, 0] and sorted((str(r["doc_id"]), r["n_links"]) for r in got) == sorted((str(i), n) for (i, _), n in zip(texts, links))
+    assert sum(r["class_id"] == 1 for r in got) == 3
+    kept = sorted((str(r["doc_id"]), r["text"].split()[0]) for r in ngram_join.keep_one(d).collect())
+    assert kept == [("1", "a0"), ("2", "c0"), ("None", "b0"), ("None", "c0")]
+
+
 def test_bayes_bound_keeps_pairs_at_the_threshold():
     need = ngram_join.least_equal(0.8)
     assert all(m <= 0.8 * n for m, n in zip(need, range(16, 129, 16))) and need[-1] > 0.45 * 128
