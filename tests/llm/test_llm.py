@@ -175,6 +175,67 @@ def test_suffix_tree_base_scores(docs):
         assert r["score"] < 0
 
 
+def suffix_tree_scores(texts, learned):
+    """Each text's log10 probability by a plain suffix tree of all contexts, and the lengths of the kept contexts."""
+    mu, least, follows = suffix_tree.MU, suffix_tree.CONTEXT, collections.defaultdict(collections.Counter)
+    words = collections.Counter(w for t in learned for w in [*t, None])
+    n, v = sum(words.values()), len(words)
+    for t in learned:
+        for i, w in enumerate([*t, None]):
+            for k in range(1, i + 1):
+                follows[tuple(t[i - k : i])][w] += 1
+    kept = {}
+
+    def prob(w, ctx):
+        if not ctx:
+            return (words[w] + 0.5) / (n + 0.5 * (v + 1))
+        below = prob(w, ctx[1:])
+        if ctx not in kept:
+            return below
+        total, explicit, rest = kept[ctx]
+        return (explicit.get(w, 0) + (rest + mu) * below) / (total + mu)
+
+    for level in itertools.count(1):
+        found = {}
+        for ctx, c in follows.items():
+            total, explicit = sum(c.values()), {w: m for w, m in c.items() if m >= suffix_tree.SUCCESSOR}
+            if len(ctx) != level or total < least or not explicit:
+                continue
+            rest = total - sum(explicit.values())
+            gain = rest * math.log((rest + mu) / (total + mu))
+            for w, m in explicit.items():
+                below = prob(w, ctx[1:])
+                gain += m * math.log((m + (rest + mu) * below) / (total + mu) / below)
+            if gain > 0.5 * math.log(n) * len(explicit):
+                found[ctx] = (total, explicit, rest)
+        if not found:
+            break
+        kept |= found
+    return [sum(math.log10(prob(w, tuple(t[:i]))) for i, w in enumerate([*t, None])) for t in texts], {len(c) for c in kept}
+
+
+@pytest.mark.parametrize(("word", "alone"), [(suffix_tree.WORD, suffix_tree.ALONE), (0.02, 1)])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, word, alone):
+    monkeypatch.setattr(suffix_tree, "WORD", word)
+    monkeypatch.setattr(suffix_tree, "ALONE", alone)
+    rng = np.random.default_rng(7)
+    # What follows d depends on words one to four before it, so each level diverges from the one below.
+    rows, after = [], {}
+    for i in range(600):
+        t = [f"n{x}" for x in rng.integers(0, 40, 6)]
+        for _ in range(3):
+            run = tuple(rng.choice(["a", "b"], 4))
+            near = after.setdefault(run, f"{'xy'[run[3] == 'a']}{rng.integers(0, 2)}{len(after) % 5}")
+            t += [*run, "d", near if rng.random() < 0.9 else "z"]
+        rows.append((i, " ".join(t)))
+    rows += [(1000, ""), (1001, None), (1002, "a new word d"), (1003, "d")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    want, lengths = suffix_tree_scores([(t or "").split() for _, t in rows], [(t or "").split() for i, t in rows if not held(i)])
+    assert max(lengths) > 3
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.learn_rows()).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want)
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 12))
