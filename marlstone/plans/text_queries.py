@@ -31,7 +31,7 @@ def text_clean(spark, d):
 
 def cache_keys(spark, d):
     x = F.col("text")
-    return _docs(spark, d).select("doc_id", F.md5(T.cache_key(x)).alias("cache_key"), F.md5(T.governed_key(F.substring(x, 1, 10**9))).alias("governed_key"), F.md5(T.cascade(F.lower(x), REPLACEMENTS)).alias("cascaded"))
+    return _docs(spark, d).select("doc_id", F.md5(T.cache_key(x)).alias("cache_key"), F.md5(T.governed_key(x)).alias("governed_key"), F.md5(T.cascade(F.lower(x), REPLACEMENTS)).alias("cascaded"))
 
 
 def tokenize(spark, d):
@@ -55,7 +55,7 @@ def document_dates(spark, d):
 
 
 def quality_flags(spark, d):
-    x = F.substring(F.col("text"), 1, 1000000)
+    x = F.col("text")
     return _docs(spark, d).select("doc_id", Q.low_information(x).alias("low_information"), Q.navigation(x).alias("navigation"), Q.low_alpha(x).alias("low_alpha"), Q.broken_marks(x).alias("broken_marks"), Q.symbol_noise(x).alias("symbol_noise"))
 
 
