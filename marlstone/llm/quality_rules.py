@@ -2,9 +2,10 @@
 
 Base rules are fixed. The further rules compare one ratio of a document with a cutoff. Cutoffs are chosen per stratum
 (language) from labelled documents: for each rule the cutoffs are tested from the most lenient to the strictest, and a
-cutoff is certified while the exact binomial test rejects "this rule turns away more than EPSILON of the stratum's good
-documents" at level DELTA / (rules * strata). Testing stops at the first failure, so a whole sequence costs one test's
-level, and Bonferroni covers rules and strata: with probability 1 - DELTA no rule in any stratum goes beyond EPSILON.
+cutoff is certified while the exact binomial test rejects "this rule turns away more than EPSILON / rules of the stratum's
+good documents" at level DELTA / (rules * strata). Testing stops at the first failure, so a whole sequence costs one test's
+level, and Bonferroni covers rules and strata: with probability 1 - DELTA the further rules together turn away at most
+EPSILON of the good documents of any stratum that pass the base rules.
 Among the certified cutoffs the one that turns away the most bad less good documents (as shares) is used, the most
 lenient on ties. A stratum with too few labels to certify anything gets no rule.
 
@@ -122,6 +123,7 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 def choose(counts: dict[tuple[str, str], dict[int, tuple[int, int]]], epsilon: float = EPSILON, delta: float = DELTA) -> dict[tuple[str, str], int]:
     """(stratum, rule) -> smallest rejected bin, from (stratum, rule) -> bin -> (good, bad) counts."""
     level, cutoffs = delta / max(1, len(counts)), {}
+    epsilon /= len(RULES)  # the union of a stratum's rules is at most their sum
     for key, by_bin in counts.items():
         good, bad = (sum(x[i] for x in by_bin.values()) for i in (0, 1))
         best, off_good, off_bad = (0.0, None), 0, 0

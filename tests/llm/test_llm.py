@@ -113,6 +113,14 @@ def test_exact_binomial_and_cutoffs():
     assert quality_rules.choose(few) == {} and quality_rules.choose(many) == {("en", "symbols"): 150}
 
 
+def test_quality_rules_together_stay_within_epsilon():
+    n = 100_000
+    for off in (100, 800):  # good documents that each rule turns away, none of them twice
+        got = quality_rules.choose({("en", r): {0: (n - off, 0), 150: (off, 500)} for r in quality_rules.RULES})
+        assert sum(off for _ in got) <= quality_rules.EPSILON * n
+        assert bool(got) == (off == 100)
+
+
 def test_maximal_segments_equal_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):
