@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -22,9 +21,13 @@ def id_bucket(col: str | Column, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the driver
+    is the only machine (tests). A cluster without the setting is an error: its executors share no temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
         where = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
         shared_dir.own = where
     return where.rstrip("/")
@@ -39,8 +42,8 @@ def _drop_staged() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean
-            return
+        except Exception:  # noqa: BLE001, S112  the session may be gone; the folder is the cluster's to clean
+            continue
 
 
 atexit.register(_drop_staged)
@@ -78,13 +81,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     ids = lab.where("y = 0").orderBy(*order).limit(per_class).unionByName(lab.where("y = 1").orderBy(*order).limit(per_class))
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     return d.join(F.broadcast(ids), "_id").select("_id", "text", "y")
-
-
-def n_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def local_file(path: str) -> str:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return path

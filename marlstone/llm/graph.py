@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
 
+HELD = 1 << 19
 
-def forest(batches: Iterator) -> Iterator:
-    """Of each partition's links (u, v) a star forest with the same components: (node, smallest node)."""
+
+def forest(batches: Iterator, held: int = HELD) -> Iterator:
+    """Star forests (node, smallest node) with the same components as a partition's links (u, v).
+
+    Past `held` nodes what is known goes out and a new forest begins, so a partition of any size fits.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -22,14 +27,19 @@ def forest(batches: Iterator) -> Iterator:
             parent[x] = x = parent.get(p, p)
         return x
 
+    def stars():
+        out = np.array([(n, r) for n in list(parent) if (r := root(n)) != n], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             a, c = root(u), root(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    nodes = list(parent)
-    out = np.array([(n, r) for n in nodes if (r := root(n)) != n], np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
+        if len(parent) > held:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def _star(e: DataFrame, small: bool) -> DataFrame:

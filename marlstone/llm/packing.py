@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
 
-CAPACITY, GROUP, END, CACHE = 2048, 8192, 1, 200_000
+CAPACITY, GROUP, END, CACHE = 2048, 8192, 1, 50_000
 #: Fixed value: the pattern that splits text before merges, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
@@ -53,7 +53,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -61,11 +60,17 @@ class Encoder:
         letter = byte_letters()
         ranks = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
-        self.added = added
+        self.path, self.added = path, added
         self.inner, self.first = _Words(self.fast, " "), _Words(self.fast, "")
         self.newline = self.encode_plain("\n")
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, for the few texts that hold an added token's text."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode_plain(self, text: str) -> bytes:
         return array.array("I", self.fast.encode_ordinary(text)).tobytes()
 

@@ -328,3 +328,78 @@ def test_pieces_do_not_depend_on_the_frequent_atoms(docs):
 
 def test_pieces_of_an_empty_table(spark):
     assert sentencepiece_lattice.digest_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def near_texts(groups, size, words=60, seed=4):
+    """Texts in groups whose members differ from their group's first by up to seven words."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(words)]
+        for _ in range(size):
+            w = list(base)
+            for i in rng.choice(words, int(rng.integers(0, 3)), False):
+                w[i] = f"x{rng.integers(0, 10**9)}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_ngram_join_in_blocks_and_with_text_ids(spark):
+    texts = [*near_texts(2, 40), *near_texts(1, 1, seed=5)[:1] * 30, None, None, ""]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for t in texts)]
+    links = [sum(1 for k, t in enumerate(sets) if k != i and s and t and len(s & t) >= 0.8 * len(s | t)) for i, s in enumerate(sets)]
+    d = spark.createDataFrame([(f"id{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    known = {(r["k1"], r["k2"]): r["n_links"] for r in ngram_join.join(d, block=8)[1].collect()}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(d).collect()}
+    assert [got[f"id{i:03}"] for i in range(len(texts))] == links
+    rows = ngram_join.keyed(d).collect()
+    assert [known.get((r["k1"], r["k2"]), 0) for r in sorted(rows, key=lambda r: r["doc_id"])] == links
+    assert max(links) > 40
+
+
+def test_comparison_equals_brute_force():
+    rng = np.random.default_rng(0)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 40))):
+            x = base.copy()
+            at = rng.choice(60, int(rng.integers(0, 14)), False)
+            x[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+            sets.append(np.unique(x))
+    n, plain = len(sets), [set(s.tolist()) for s in sets]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in plain] for a in plain]) & ~np.eye(n, dtype=bool)
+    sig, cid, m = np.stack([ngram_join.signature(s) for s in sets]), np.arange(n) * 7, rng.integers(1, 4, n)
+    for left, right in ((np.arange(n), np.arange(n)), (np.arange(0, n, 2), np.arange(1, n, 2))):
+        same = len(left) == n
+        use = np.zeros((n, n), bool)
+        use[np.ix_(left, right)] = True
+        want = ((near & (use | use.T)) * m[None, :]).sum(1)
+        for dense in (8, 10**9):
+            ngram_join.DENSE, before = dense, ngram_join.DENSE
+            x, y = ngram_join.compare(cid, m, sets, sig, left, right, same, 0.8)
+            ngram_join.DENSE = before
+            got = np.zeros(n, int)
+            got[x[:, 0] // 7] = x[:, 1]
+            assert (got == want).all() and len(y) <= n
+    low, band = (sig & 255).astype(np.uint8), np.sort(rng.integers(0, 5, n))
+    tree = ngram_join.band_forest(low, band, None, 0.8).parent
+    assert all(tree[i] == tree[j] for i in range(n) for j in range(i) if near[i, j] and band[i] == band[j])
+    assert all(band[i] == band[p] for i, p in enumerate(tree))
+
+
+def test_forest_goes_out_in_parts():
+    import pyarrow as pa
+
+    from marlstone.llm import graph
+
+    rng = np.random.default_rng(1)
+    links = rng.integers(0, 300, (400, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"]) for x in np.split(links, 8)]
+    trees = []
+    for held in (10, 10**6):
+        f = ngram_join.Forest(300)
+        for b in graph.forest(iter(batches), held):
+            f.link(b.column(0).to_numpy(), b.column(1).to_numpy())
+        trees.append(f.parent)
+    assert (trees[0] == trees[1]).all()
