@@ -6,12 +6,14 @@ cosine >= t lie within sqrt(2 - 2t) of each other, so on a grid of that width ov
 adjoining cells can hold partners; a vector goes only to adjoining cells whose box is that near. Cells with many
 vectors are split into blocks; every task compares two blocks. In a tile, products of the leading dimensions are summed
 first; the product of the suffix norms bounds the rest, and a pair stops once sum + bound < t. Pairs that pass all
-dimensions are decided by the cosine of the original vectors in double precision. A task returns each vector's link
-count and a spanning forest of its links, not the pairs.
-
-Defined results: a null, empty or zero vector, or one with a null or non-finite component, links with nothing; vectors
-of different lengths don't link; repeated rows are vectors of their own; a null id is a vector, and components take the
-smallest id that isn't null; extra columns are never read.
+dimensions are decided by the cosine of the original vectors in double precision, and where rounding could turn that,
+by exact arithmetic, so that none below the threshold links. A task returns each vector's link count and a spanning
+forest of its links, not the pairs.
+
+Defined results: a null, empty or zero vector, or one with a null or non-finite component, links with nothing, however
+small or large its components else are; vectors of different lengths don't link; repeated rows are vectors of their own;
+a null id is a vector, and components take the smallest id that isn't null; an empty table gives no row; ids may be of
+any type that has an order; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import staged
 from marlstone.llm.graph import components
 
-SAMPLE, BLOCK, STEPS = 4096, 2048, (8, 16, 32)
+SAMPLE, BLOCK, STEPS, HOT = 4096, 2048, (8, 16, 32), 1e-4
 
 
 def clean(batches: Iterator) -> Iterator:
@@ -40,22 +43,28 @@ def clean(batches: Iterator) -> Iterator:
             x = None
             if v and all(c is not None for c in v):
                 a = np.asarray(v, np.float64) + 0.0  # no negative zero
-                with np.errstate(over="ignore"):
-                    n = float(np.sqrt((a * a).sum())) if np.isfinite(a).all() else 0.0
-                    if n and not math.isfinite(n):
-                        a = a / np.abs(a).max()
-                        n = 1.0
-                x = a.tobytes() if n > 0 else None
+                x = a.tobytes() if np.isfinite(a).all() and a.any() else None
             out.append(x)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
 
-def unit(vecs: list[bytes]) -> np.ndarray:
-    a = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+def matrix(vecs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+
+
+def unit(a: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component goes first, so that no square over- or underflows."""
     a = a / np.abs(a).max(1, keepdims=True)
     return a / np.sqrt((a * a).sum(1, keepdims=True))
 
 
+def reaches(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
+    """Whether the cosine of two vectors is at least t (positive), without rounding."""
+    x, y = ([Fraction(float(c)) for c in v] for v in (a, b))
+    dot = sum(p * q for p, q in zip(x, y, strict=True))
+    return dot > 0 and dot * dot >= t * t * sum(p * p for p in x) * sum(q * q for q in y)
+
+
 def rotation(x: np.ndarray) -> np.ndarray:
     """Columns are the principal axes of unit vectors, the strongest first."""
     _, axes = np.linalg.eigh(x.T @ x)
@@ -75,8 +84,9 @@ def near_cells(q: np.ndarray, width: float, known: dict[tuple, int]) -> list[tup
     return out
 
 
-def link_tile(a: np.ndarray, b: np.ndarray, axes: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each pair of unit vectors with cosine >= t; of one block with itself, row < column."""
+def link_tile(raw_a: np.ndarray, raw_b: np.ndarray, axes: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each pair of vectors with cosine >= t; of one block with itself, row < column."""
+    a, b = unit(raw_a), unit(raw_b)
     pa_, pb = a @ axes, b @ axes
     d, rows, cols = a.shape[1], [], []
     steps = [s for s in STEPS if s < d]
@@ -102,10 +112,9 @@ def link_tile(a: np.ndarray, b: np.ndarray, axes: np.ndarray, t: float, same: bo
                 keep = sums + (suffix(x, e)[r] * suffix(pb, e)[c] if e < d else 0) >= t - 1e-9
                 r, c, sums = r[keep], c[keep], sums[keep]
         exact = np.einsum("ij,ij->i", a[i + r], b[c])
-        close = np.flatnonzero(np.abs(exact - t) < 1e-9)
-        for k in close:  # at the threshold, sum exactly
-            exact[k] = math.fsum(a[i + r[k]] * b[c[k]])
-        keep = exact >= t - 2e-16
+        keep = exact >= t
+        for k in np.flatnonzero(np.abs(exact - t) < 1e-12):
+            keep[k] = reaches(raw_a[i + r[k]], raw_b[c[k]], Fraction(str(t)))
         rows.append(r[keep] + i)
         cols.append(c[keep])
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
@@ -128,11 +137,17 @@ def spanning(ids: np.ndarray, r: np.ndarray, c: np.ndarray) -> list[tuple[int, i
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    rows = vectors.select("vec_id", "embedding").mapInArrow(clean, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, vec binary")
-    rows = staged(rows, "vectors")
-    classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = staged(classes.select(F.xxhash64("vec").alias("cid"), "rep", "m", "vec"), "vector-classes")
+    """vec_id, n_links, component_id and kept of every row.
+
+    Vectors that can't link don't take part in the last join. Classes with a share of HOT of all rows are broadcast
+    (1 / HOT of them at most), so that none of them is one task's.
+    """
+    kind = vectors.schema["vec_id"].dataType
+    rows = vectors.select("vec_id", "embedding").mapInArrow(clean, f"vec_id {kind.simpleString()}, vec binary")
+    # 128 bits stand for a vector. A class's number is unique, and stays as it is once written.
+    rows = staged(rows.withColumn("key", F.md5("vec")), "vectors")
+    classes = rows.where("vec is not null").groupBy("key", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     found = [staged(_links(classes.where(F.octet_length("vec") == 8 * d), d, n, threshold, block), "vector-links") for d, n in ((r["d"], r["n"]) for r in classes.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).collect())]
     empty = classes.sparkSession.createDataFrame([], "u long, v long, n long")
     links = found[0] if found else empty
@@ -140,18 +155,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
         links = links.unionByName(x)
     comp = components(links.where("v is not null and u <> v"), "vector")
     counts = links.where("n > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
-    known = classes.select("cid", "rep", "m").join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    known = staged(known.select("cid", "component", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "vector-known")
+    known = classes.select("cid", "key", "rep", "m").join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    known = staged(known.select("key", "m", "component", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "vector-known")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("cid", "n_links", "component_id")
-    out = rows.select("vec_id", F.xxhash64("vec").alias("cid"), F.col("vec").isNotNull().alias("ok")).join(known, "cid", "left")
-    comp_id = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("ok"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))
+    known = staged(known.join(least, "component").select("key", "m", "n_links", "component_id"), "vector-final")
+    some = rows.where("vec is not null").select("vec_id", "key")
+    often = max(2, math.ceil(HOT * rows.count()))
+    hot = some.join(F.broadcast(known.where(F.col("m") >= often)), "key", "left")
+    cold = hot.where("m is null").select("vec_id", "key").join(known.where(F.col("m") < often), "key")
+    cols = ["vec_id", "n_links", "component_id"]
+    none = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = hot.where("m is not null").select(*cols).unionByName(cold.select(*cols)).unionByName(none)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _links(classes: DataFrame, d: int, n: int, t: float, block: int) -> DataFrame:
     """(u, v, n): n further links of class u (v null), or a link of the forest (n 0)."""
-    sample = unit([r["vec"] for r in classes.orderBy(F.xxhash64("cid")).limit(max(64, min(SAMPLE, (1 << 22) // d))).select("vec").collect()])
+    sample = unit(matrix([r["vec"] for r in classes.orderBy("key").limit(max(64, min(SAMPLE, (1 << 22) // d))).select("vec").collect()]))
     axes = rotation(sample)
     width = math.sqrt(max(2 - 2 * t, 1e-6))
     # More axes for more vectors; the grid has at most (2 / width + 2) ** axes cells, whatever their number.
@@ -161,7 +181,7 @@ def _links(classes: DataFrame, d: int, n: int, t: float, block: int) -> DataFram
         import pyarrow as pa
 
         for b in batches:
-            q = np.floor(unit(b.column(0).to_pylist()) @ axes[:, :k] / width).astype(np.int32) if b.num_rows else np.zeros((0, k), np.int32)
+            q = np.floor(unit(matrix(b.column(0).to_pylist())) @ axes[:, :k] / width).astype(np.int32) if b.num_rows else np.zeros((0, k), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(list(q), pa.list_(pa.int32()))], names=["cell"])
 
     sizes = {tuple(r["cell"]): r["n"] for r in classes.select("vec").mapInArrow(cells, "cell array<int>").groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -174,7 +194,7 @@ def _links(classes: DataFrame, d: int, n: int, t: float, block: int) -> DataFram
 
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
-            q = unit(b.column(2).to_pylist()) @ axes[:, :k] if b.num_rows else np.zeros((0, k))
+            q = unit(matrix(b.column(2).to_pylist())) @ axes[:, :k] if b.num_rows else np.zeros((0, k))
             for i, (cid, p) in enumerate(zip(ids, q, strict=True)):
                 home = tuple(int(v) for v in np.floor(p / width))
                 mine = cid % blocks[home]
@@ -193,7 +213,7 @@ def _links(classes: DataFrame, d: int, n: int, t: float, block: int) -> DataFram
         same = t_["a"][0] == t_["b"][0] and t_["ai"][0] == t_["bi"][0]
         order = np.argsort(t_["cid"].to_numpy(), kind="stable")
         cid, m = t_["cid"].to_numpy()[order], t_["m"].to_numpy()[order]
-        x = unit(t_["vec"].take(order).to_pylist())
+        x = matrix(t_["vec"].take(order).to_pylist())
         left = np.flatnonzero(side[order] == 0)
         right = left if same else np.flatnonzero(side[order] == 1)
         if not len(left) or not len(right):
