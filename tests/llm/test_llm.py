@@ -424,3 +424,21 @@ def test_forest_goes_out_in_parts():
             f.link(b.column(0).to_numpy(), b.column(1).to_numpy())
         trees.append(f.parent)
     assert (trees[0] == trees[1]).all()
+
+
+def test_long_atoms_equal_the_library():
+    import tracemalloc
+
+    import sentencepiece
+
+    path = sentencepiece_lattice.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(11)
+    words = ["=" * 5000, "ab" * 3000, "a" * 4001, "日本" * 500, "".join(rng.choice(list("abcdefgh=-_é"), 6000))]
+    words += ["".join(rng.choice(list("etaoins"), int(rng.integers(1, 90)))) for _ in range(300)]
+    for w in words:
+        assert sentencepiece_lattice.encode_word("▁" + w, path) == sp.encode(w), w[:40]
+    tracemalloc.start()
+    sentencepiece_lattice.encode_word("=" * 400_000, path)
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
