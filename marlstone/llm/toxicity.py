@@ -3,14 +3,18 @@
 Learning: in how many labelled toxic and clean documents each token occurs (a bounded sample, PER_CLASS of each, equal
 texts once); tokens are words and word beginnings of PREFIXES letters, so that inflected forms add up. A token's score is
 its log-odds between the classes with an informative Dirichlet prior (pseudo-counts in proportion to the pooled
-frequencies, PRIOR_MASS in all); tokens whose log-odds lie over Z_LEAST standard errors above zero score that, all
-others cost GAP, so that the expected score is negative; a word scores the best of itself and its beginnings. Scan: one linear pass (Ruzzo and Tompa) finds all maximal
-scoring segments. Extreme values: on held-out clean documents the segments over a high quantile give the decay lambda
-and the constant K of E = K n exp(-lambda S); a document's evidence is the sum of -log E over its significant segments.
-A logistic curve on that evidence, fitted on the held-out half of the sample, gives a score from 0 to 1.
-
-Defined results: null, empty and wordless texts have no segment and get the score of no evidence; repeated rows are
-scored each; without labels of both classes every score is 0; other columns are never read.
+frequencies, PRIOR_MASS in all), above zero or below, if it lies over Z_LEAST standard errors from zero; all other tokens
+cost GAP, so that the expected score is negative. The model has at most MAX_TOKENS scores, those furthest from zero in
+standard errors. A word scores the best of itself and its beginnings if one is above zero, else the worst. Scan: one
+linear pass (Ruzzo and Tompa) finds all maximal scoring segments. Extreme values: on the clean documents of the sample's
+other half the segments over a high quantile give the decay lambda and the constant K of E = K n exp(-lambda S); a
+document's evidence is the sum of -log E over its significant segments. A logistic curve on that evidence, fitted on the
+same half, gives a score from 0 to 1.
+
+Defined results: null, empty and wordless texts have no segment and get the score of no evidence; equal texts with
+different labels count by the largest; a null id is scored and never learned from; repeated rows are scored each; very
+long texts are scanned whole; without labels of both classes every score is 0; an empty table gives no row; tokens with
+equal standing are taken in the order of their letters; other columns are never read.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ class Scores(dict):
 
 
 def word_scores(toks: list[str], scores: Scores) -> list[tuple[int, float]]:
-    """Places with a positive score, in order."""
+    """Places with a score of their own, in order."""
     heads = scores.heads
     best: dict[str, float] = {}
     hits = []
@@ -66,7 +70,9 @@ def word_scores(toks: list[str], scores: Scores) -> list[tuple[int, float]]:
         if w[:3] in heads:
             s = best.get(w)
             if s is None:
-                s = best[w] = max((scores[f] for f in forms(w) if f in scores), default=0.0)
+                own = [scores[f] for f in forms(w) if f in scores]
+                top = max(own, default=0.0)
+                s = best[w] = top if top >= 0 else min(own)
             if s:
                 hits.append((i, s))
     return hits
@@ -75,16 +81,19 @@ def word_scores(toks: list[str], scores: Scores) -> list[tuple[int, float]]:
 def segments(hits: list[tuple[int, float]], gap: float = GAP) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first place, last place, score), in linear time.
 
-    hits: places in order with positive scores; every place between two hits costs gap.
+    hits: places in order with their scores; every place between two hits costs gap.
     """
     kept: list[list[float]] = []  # first, last, cumulative score before, cumulative score after
     links: list[int] = []
     total, last = 0.0, -1
     for at, s in hits:
         total -= gap * (at - last - 1)
+        last = at
+        if s <= 0:
+            total += s
+            continue
         seg = [at, at, total, total + s]
         total += s
-        last = at
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= seg[2]:
@@ -133,7 +142,7 @@ def _sent(by, pa) -> Iterator:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> dict:
     """The model: {"scores": token -> score, "lam", "k", "bias", "slope"}; {} without both classes."""
-    sample = staged(labelled_sample(docs, labels, "toxic", learn, per_class).dropDuplicates(["text"]), "toxic-sample")
+    sample = staged(labelled_sample(docs, labels, "toxic", learn, per_class).groupBy("text").agg(F.max("y").alias("y")), "toxic-sample")
     half = F.xxhash64(F.col("text"), F.lit(7)) % 2 == 0
     counts = staged(sample.where(half).select("text", "y").mapInArrow(_counts, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
     m = counts.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).first()
@@ -144,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     p0, p1 = F.col("n0") + prior, F.col("n1") + prior
     odds = F.log(p1 / (m["b"] + PRIOR_MASS - p1)) - F.log(p0 / (m["a"] + PRIOR_MASS - p0))
     err = F.sqrt(1 / p0 + 1 / p1)
-    top = counts.select("token", odds.alias("s"), (odds / err).alias("z")).where(F.col("z") > Z_LEAST).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
+    top = counts.select("token", odds.alias("s"), (odds / err).alias("z")).where(F.abs("z") > Z_LEAST).orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()
     scores = {r["token"]: r["s"] for r in top}
     other = sample.where(~half).select("text", "y").mapInArrow(_scan(scores), "y int, n long, s array<double>").collect()
     clean = [(r["n"], r["s"]) for r in other if r["y"] == 0]

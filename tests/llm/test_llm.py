@@ -121,17 +121,66 @@ def test_quality_rules_together_stay_within_epsilon():
         assert bool(got) == (off == 100)
 
 
+def maximal_segments(score):
+    """All maximal scoring segments by their definition: the best subarray, then the same left and right of it."""
+    found = []
+
+    def split(lo, hi):
+        runs = [(sum(score[a:b]), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+        if runs and max(runs)[0] > 0:
+            best = max(r[0] for r in runs)
+            _, _, a, b = max((r for r in runs if r[0] == best), key=lambda r: r[1])  # the shortest, as ties end early
+            found.append((a, b - 1, best))
+            split(lo, a), split(b, hi)
+
+    split(0, len(score))
+    return sorted(found)
+
+
 def test_maximal_segments_equal_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        hits = sorted({int(i): float(rng.integers(1, 6)) for i in rng.integers(0, 40, 8)}.items())
-        got = toxicity.segments(hits, 1.0)
-        score = np.full(40, -1.0)
+    for _ in range(60):
+        hits = sorted({int(i): float(s) for i, s in zip(rng.integers(0, 30, 12), rng.normal(1, 3, 12))}.items())
+        score = [-0.7] * 30
         for i, s in hits:
             score[i] = s
-        best = max(score[a:b].sum() for a in range(40) for b in range(a + 1, 41))
-        assert max(s for *_, s in got) == pytest.approx(best)
-        assert all(a <= b for a, b, _ in got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        got = toxicity.segments(hits, 0.7)
+        want = maximal_segments(score)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_toxicity_finds_planted_passages(spark):
+    """Fit and scores against a plain version of the same formulas, and held-out accuracy."""
+    rng = np.random.default_rng(8)
+    plain, bad = [f"word{i}" for i in range(300)], [f"vile{chr(97 + i)}{chr(97 + i)}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(900):
+        w, y = list(rng.choice(plain, 60)), int(i % 3 == 0)
+        if y:
+            at = int(rng.integers(0, 50))
+            w[at : at + 8] = rng.choice(bad, 8)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, y))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, rows[0][1])]
+    labels += [(902, 1, 0), (902, 1, 1), (903, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, lab, toxicity.learn_rows())
+    assert all(model["scores"][b] > 0 for b in bad)
+    got = {(r["doc_id"], r["held_out"]): r for r in toxicity.score_documents(docs, lab, toxicity.learn_rows()).collect()}
+    assert len(got) == len(rows)
+    y = {i: t for i, _, t in labels[:900]}
+    held = [(i, r) for (i, h), r in got.items() if h and i in y]
+    assert len(held) > 200 and all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in got if i is not None)
+    assert all(r["predicted"] == y[i] for i, r in held) and all(r["predicted"] == (r["score"] >= 0.7) for r in got.values())
+    for (i, _), r in got.items():
+        text = dict(rows)[i]
+        toks = (text or "").split()
+        score = [max([model["scores"][f] for f in toxicity.forms(w) if f in model["scores"]], default=-toxicity.GAP) for w in toks]
+        x = [model["lam"] * s - math.log(model["k"] * max(len(toks), 1)) for *_, s in maximal_segments(score)]
+        x = [e for e in x if e >= -math.log(toxicity.E_MOST)]
+        want = 1 / (1 + math.exp(-(model["bias"] + model["slope"] * math.log1p(sum(x)))))
+        assert r["score"] == pytest.approx(want) and r["n_passages"] == len(x)
 
 
 def test_packing_round_trip(docs):
