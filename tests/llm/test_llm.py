@@ -92,33 +92,90 @@ def test_bayes_bound_keeps_pairs_at_the_threshold():
     assert all(m <= 0.8 * n for m, n in zip(need, range(16, 129, 16))) and need[-1] > 0.45 * 128
 
 
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, plainly."""
+    import re
+
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    three = list(zip(w, w[1:], w[2:]))
+    n = collections.Counter(three)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len({i + k for i, t in enumerate(three) if n[t] > 1 for k in range(3)})
+
+
 def test_base_quality_features(docs, labels):
     got = collections.defaultdict(list)
-    for r in quality_rules.score_documents(docs.drop("n_words"), labels).collect():
+    for r in quality_rules.score_documents(docs, labels).collect():
         got[r["doc_id"]].append(r)
     for i, text, *_ in ROWS:
-        w, r = (text or "").encode().split(), got[i][0]
-        tri = collections.Counter(zip(w, w[1:], w[2:]))
-        hit = {j + k for j, t in enumerate(zip(w, w[1:], w[2:])) if tri[t] > 1 for k in range(3)}
-        assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(hit), sum(len(x.decode()) for x in w))
-        assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
-        assert not (r["base_failed"] and r["kept"])
+        n, r = quality_counts(text), got[i][0]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+        assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and r["kept"] == (not r["base_failed"])
+    kept = quality_rules.keep_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for rows in got.values() for r in rows)
+
 
+def test_base_quality_features_of_odd_lines(spark):
+    rng = np.random.default_rng(5)
+    bits = ["a", "b c", "#", "a|b", "\n", "\n\n", " ", "\t", "ä é", "x\u00a0y", "$5%", "日本"]
+    rows = [(i, "".join(rng.choice(bits, int(rng.integers(0, 200)))), "en") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for r in quality_rules.score_documents(d, none).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == quality_counts(rows[r["doc_id"]][1])
 
-def test_exact_binomial_and_cutoffs():
+
+def test_exact_binomial():
     exact = sum(math.comb(300, i) * 0.01**i * 0.99 ** (300 - i) for i in range(3))
     assert quality_rules.binomial_at_most(2, 300, 0.01) == pytest.approx(exact, rel=1e-9)
-    few = {("en", "symbols"): {0: (20, 0), 150: (0, 9)}}
-    many = {("en", "symbols"): {0: (2000, 0), 150: (0, 9)}}
-    assert quality_rules.choose(few) == {} and quality_rules.choose(many) == {("en", "symbols"): 150}
+    assert quality_rules.binomial_at_most(0, 300, 0.01) == pytest.approx(0.99**300) and quality_rules.binomial_at_most(5, 5, 0.1) == 1.0
 
 
-def test_quality_rules_together_stay_within_epsilon():
-    n = 100_000
-    for off in (100, 800):  # good documents that each rule turns away, none of them twice
-        got = quality_rules.choose({("en", r): {0: (n - off, 0), 150: (off, 500)} for r in quality_rules.RULES})
-        assert sum(off for _ in got) <= quality_rules.EPSILON * n
-        assert bool(got) == (off == 100)
+def test_proposals_are_nested_and_within_their_allowance():
+    rng = np.random.default_rng(0)
+    counts = {r: {b: (int(rng.integers(0, 900) * 0.9**b), int(rng.integers(0, 50))) for b in range(quality_rules.BINS)} for r in quality_rules.RULES}
+    cuts, gains = quality_rules.propose(counts)
+    assert all(x >= y for a, b in zip(cuts, cuts[1:]) for x, y in zip(a, b)) and gains == sorted(gains)
+    for step, cut in enumerate(cuts):
+        for rule, c in zip(quality_rules.RULES, cut):
+            good = sum(g for g, _ in counts[rule].values())
+            assert sum(g for b, (g, _) in counts[rule].items() if b >= c) <= quality_rules.EPSILON * (step + 1) / quality_rules.STEPS / 5 * good
+
+
+def test_certified_steps_stay_within_epsilon():
+    gains = [0.1, 0.2, 0.3]
+    assert quality_rules.certify(gains, [(0, 5), (0, 5), (0, 5)], 298, 1) is None  # 0.99 ** 298 > 0.05
+    assert quality_rules.certify(gains, [(0, 5), (0, 5), (0, 5)], 299, 1) == 2
+    assert quality_rules.certify(gains, [(0, 5), (3, 5), (0, 5)], 299, 1) == 0  # the second step fails, the third isn't tried
+    assert quality_rules.certify(gains, [(0, 5), (0, 5), (0, 5)], 299, 4) is None
+    assert quality_rules.certify([0.1, 0.1, 0.0], [(0, 0)] * 3, 1000, 4) == 0
+
+
+def test_learned_rules_hold_and_count_copies_once(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(3000):
+        lang, good = ("en", "de")[i % 2], int(rng.random() < 0.8)
+        w = [f"w{rng.integers(0, 10**6)}" for _ in range(60)]
+        if not good:
+            w = [x + "#" * int(rng.integers(1, 4)) for x in w]
+        rows.append((i, " ".join(w), lang))
+        labels.append((i, good))
+    rows += [(3000 + i, f"only {i} " + "few labels here " * 4, "fr") for i in range(50)] + [(4000 + i, rows[1][1], "xx") for i in range(900)]
+    labels += [(3000 + i, 1) for i in range(50)] + [(4000 + i, 1) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    feats = quality_rules.with_features(d.withColumn("hash", F.xxhash64("text")))
+    cutoffs = quality_rules.calibrate(feats, lab, {k: k for k in quality_rules.FEATURES}, "doc_id", "lang", "hash")
+    assert set(cutoffs) == {"=en", "=de"}  # too few labels of fr; those of xx are of one text
+    got, y = {r["doc_id"]: r for r in quality_rules.score_documents(d, lab).collect()}, dict(labels)
+    assert not any(got[i]["kept"] for i in range(3000) if not y[i]) and all(got[i]["kept"] for i in range(4000, 4900))
+    assert sum(not got[i]["kept"] for i in range(3000) if y[i]) <= 0.01 * sum(y[i] for i in range(3000))
+    for i, t, lang in rows[:3000]:
+        words, chars, symbols, _, repeats = quality_counts(t)
+        bins = [math.floor(x * quality_rules.BINS) for x in (symbols / chars, repeats / words, 0, 0, chars / words / 50)]
+        assert got[i]["kept"] == (not any(b >= c for b, c in zip(bins, cutoffs["=" + lang])))
 
 
 def maximal_segments(score):
