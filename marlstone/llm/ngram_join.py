@@ -334,7 +334,7 @@ def _parts(classes: DataFrame, threshold: float, block: int) -> DataFrame:
         return pa.table({"u": pa.array(y[:, 0]), "v": pa.array(y[:, 1])})
 
     dealt = _blocks(members, "band", "n", block, bins).select("many", "task", "i", "j", "mine", "band", "cid", "low")
-    return components(dealt.groupBy("many", "task", "i", "j").applyInArrow(run, "u long, v long"), "ngram-part")
+    return components(staged(dealt.groupBy("many", "task", "i", "j").applyInArrow(run, "u long, v long"), "ngram-alike"), "ngram-part")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
