@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import answer_queries, corpus_queries, report_queries, retrieval_queries, text_queries
+from marlstone.plans import answer_queries, corpus_queries, report_queries, retrieval_queries, tariff_queries, text_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **corpus_queries.QUERIES, **answer_queries.QUERIES, **report_queries.QUERIES}
-ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **corpus_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL, **report_queries.ORACLE_SQL}
+_MODULES = (retrieval_queries, text_queries, corpus_queries, answer_queries, report_queries, tariff_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
