@@ -50,7 +50,7 @@ def length_stats(spark, d):
 
 
 def quality_audit(spark, d):
-    s = _t(spark, d, "documents").select("source", Q.chunk_score(F.col("text")).alias("s"))
+    s = Q.scored_chunks(_t(spark, d, "documents").select("source", "text")).select("source", F.col("score").alias("s"))
     g = s.groupBy("source", F.floor(F.col("s") * 10).alias("bin")).agg(F.count("*").alias("n"))
     return g.withColumn("grade", F.when(F.col("bin") >= 9, "A").when(F.col("bin") >= 7, "B").when(F.col("bin") >= 5, "C").otherwise("D"))
 
@@ -173,7 +173,7 @@ def inherit_intent(spark, d):
 
 QUERIES = {f.__name__: f for f in (content_signature_dups, first_by_signature, incremental_anti, keyed_upsert, manifest_counts, length_stats, quality_audit, coverage, page_title_links, html_structured, page_sections, crawl_frontier, change_detection, leaderboards, report_summary, gates, report_diff, failure_counts_zero_filled, latency_percentiles, hit_ratio, session_gap, trailing_6h_count, first_inflight, rate_limit_fold, ttl_cache_fold, telemetry, history_limit, last_assistant_turn, inherit_intent)}
 
-from marlstone.plans.text_queries import _LOWINFO, ORACLE_SQL as _TEXT, _clean  # noqa: E402
+from marlstone.plans.text_queries import _R, ORACLE_SQL as _TEXT, _clean  # noqa: E402
 
 _SIG = r"md5(array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N} ]', '', 'g'), ' '), lambda w: w <> '')), ' '))"
 _QT = r"list_filter(list_transform(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '')"
@@ -183,7 +183,7 @@ _VALUES = ", ".join(f"('{k}', '{n}', {b}::DOUBLE)" for k, n, b in BOUNDS)
 ORACLE_SQL = {
     "content_signature_dups": f"SELECT {_SIG} AS signature, count(*) AS n, min(doc_id) AS first_id, count(*) - 1 AS extra FROM documents GROUP BY 1 HAVING count(*) > 1",
     "first_by_signature": f"SELECT doc_id, source, lang, {_SIG} AS signature FROM documents QUALIFY row_number() OVER (PARTITION BY {_SIG} ORDER BY doc_id) = 1",
-    "incremental_anti": f"WITH t AS (SELECT doc_id, sha256({_clean('text')}) AS h, {_LOWINFO} AS low FROM documents) SELECT doc_id, h FROM t WHERE doc_id % 2 = 1 AND NOT low AND h NOT IN (SELECT h FROM t WHERE doc_id % 2 = 0)",
+    "incremental_anti": f"WITH t AS (SELECT doc_id, sha256({_clean('text')}) AS h, {_R['li']} AS low FROM documents) SELECT doc_id, h FROM t WHERE doc_id % 2 = 1 AND NOT low AND h NOT IN (SELECT h FROM t WHERE doc_id % 2 = 0)",
     "keyed_upsert": "SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN round(p_retailprice + 1, 2) ELSE p_retailprice END AS price FROM part",
     "manifest_counts": "SELECT 'lang' AS field, coalesce(lang, '') AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, ''), count(*) FROM documents GROUP BY ALL",
     "length_stats": "SELECT source, count(*) AS n, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.5), 6)::DOUBLE AS median, min(length(text))::INT AS shortest, max(length(text))::INT AS longest FROM documents GROUP BY source",
