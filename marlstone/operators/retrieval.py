@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Most query terms, and most query vectors, that are broadcast; more are joined by a shuffle.
+MOST_TERMS, MOST_VECTORS = 100_000, 2048
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,9 +24,20 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def term_idf(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, df, idf): Okapi's idf; a negative one becomes FLOOR times the mean."""
-    t = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
+def corpus_terms(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df, dl): the documents that hold each term; the row without term has their number and summed lengths.
+
+    One pass over the texts, counted where they are read."""
+    t = docs.select(T.index_tokens(F.col(text_col)).alias("t"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("dl")))
+    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("dl")))
+    return t.select(F.inline(F.concat(own, each))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+
+
+def term_idf(terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of corpus_terms: Okapi's idf; a negative one becomes FLOOR times the mean. One-row tables are broadcast."""
+    n = terms.where("term is null").select(F.col("df").alias("n"))
+    t = terms.where("term is not null").crossJoin(F.broadcast(n))
     t = t.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = t.agg(F.avg("raw").alias("mean"))
     return t.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -33,19 +46,34 @@ def term_idf(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", idf_cap: int | None = None) -> DataFrame:
     """(qid, id, score), rounded to 6 places, of every document that shares a term with the query.
 
-    One row of statistics (count and mean length) is broadcast; postings meet the queries' terms by a join on the term.
+    The texts are read twice: for the terms' statistics, and for the queries' terms, which alone are counted and
+    shuffled. Up to MOST_TERMS query terms are broadcast to filter where texts are read; more are joined.
     idf_cap keeps only so many terms of each query, those of the highest idf.
     """
-    posts = postings(docs, id_col, text_col)
-    stats = docs.select(F.size(T.index_tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = term_idf(posts, stats.select("n"))
-    terms = query_terms(queries, q_id, q_text).join(idf, "term")
+    corpus = corpus_terms(docs, text_col)
+    avgdl = corpus.where("term is null").select((F.col("dl") / F.col("df")).alias("avgdl"))
+    asked = query_terms(queries, q_id, q_text)
+    names = asked.select("term").distinct()
+    terms = asked.join(term_idf(corpus), "term")
     if idf_cap:
         w = Window.partitionBy("qid").orderBy(F.desc(F.round("idf", 9)), "term")
         terms = terms.withColumn("r", F.row_number().over(w)).where(F.col("r") <= idf_cap).drop("r")
-    hit = posts.join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    if names.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        names = F.broadcast(names)
+    d = docs.select(F.col(id_col).alias("id"), T.index_tokens(F.col(text_col)).alias("t"))
+    posts = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(names, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    hit = posts.join(terms, "term").crossJoin(F.broadcast(avgdl))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def padded(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", q_id: str = "item_id") -> DataFrame:
+    """scored with documents of score 0, those of the smallest ids, so that every query has k rows if there are so many.
+
+    The k smallest ids are enough for any query; they are one row, broadcast."""
+    first = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy("id").limit(k).agg(F.collect_list("id").alias("ids"))
+    more = queries.select(F.col(q_id).alias("qid")).distinct().crossJoin(F.broadcast(first)).select("qid", F.explode("ids").alias("id"))
+    return scored.unionByName(more.join(scored.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)))
 
 
 def ranked(scored: DataFrame, k: int, query: str = "qid", item: str = "id", score: str = "score") -> DataFrame:
@@ -66,17 +94,21 @@ def guarded(df: DataFrame, keep: Column, query: str = "qid") -> DataFrame:
     return df.withColumn("_any", F.max(keep.cast("int")).over(w)).where((F.col("_any") == 0) | keep).drop("_any")
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 256) -> DataFrame:
     """(qid, id, score, rank): each query vector's k nearest by cosine, rounded to 6 places, itself excepted.
 
-    A stated query set against all rows: vectors stay where they are read, the queries come to them in blocks and every
-    task keeps its k best before the shuffle.
+    A stated query set against all rows: vectors stay where they are read, up to MOST_VECTORS queries come to them as a
+    broadcast, more in blocks by a join, and every task keeps its k best before the shuffle.
     """
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     v = vectors.select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("qid"), unit(F.col("embedding")).alias("qv"), F.pmod("vec_id", F.lit(blocks)).alias("block"))
-    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = v.join(q, "block").where("id <> qid").select("qid", "id", F.round(F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+    q = queries.select(F.col("vec_id").alias("qid"), unit(F.col("embedding")).alias("qv"))
+    if queries.select("vec_id").limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
+        j = v.join(F.broadcast(q), F.col("id") != F.col("qid"))
+    else:
+        q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+        j = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").where("id <> qid")
+    s = j.select("qid", "id", F.round(F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
     return ranked(s, k)
 
 

@@ -31,7 +31,8 @@ def _meta(spark, d) -> DataFrame:
 
 
 def bm25_topk(spark, d):
-    return R.ranked(_scored(spark, d), 20)
+    """Lists of 20, with documents of score 0 where fewer match."""
+    return R.ranked(R.padded(_scored(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark"), 20), 20)
 
 
 def bm25_topk_source_cap(spark, d):
@@ -39,8 +40,7 @@ def bm25_topk_source_cap(spark, d):
 
 
 def term_stats(spark, d):
-    docs = _t(spark, d, "documents")
-    return R.term_idf(R.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_idf(R.corpus_terms(_t(spark, d, "documents"), "text")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def idf_capped_query_terms(spark, d):
@@ -145,7 +145,7 @@ idf{name} AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FR
 terms{name}x AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) GROUP BY ALL),
 terms0{name} AS (SELECT * FROM terms{name}x JOIN idf{name} USING (term)),
 terms{name} AS (SELECT * FROM {terms.replace('terms0', 'terms0' + name)}),
-scored{name} AS (SELECT qid, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posts{name} JOIN terms{name} USING (term), stats{name} GROUP BY qid, id HAVING round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0)"""
+scored{name} AS (SELECT qid, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posts{name} JOIN terms{name} USING (term), stats{name} GROUP BY qid, id)"""
 
 
 def _top(k: int, src: str = "scored") -> str:
@@ -158,9 +158,9 @@ _LATEST = "(SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY qid, fam
 _BOOST = "round(score + CASE WHEN NOT archived THEN 0.3 ELSE 0 END + CASE WHEN archived THEN -0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.05 ELSE 0 END + CASE WHEN n_chars > 4000 THEN -0.02 ELSE 0 END + CASE WHEN tier <= 3 THEN 0.12 ELSE 0 END, 6)"
 
 ORACLE_SQL = {
-    "bm25_topk": f"WITH {_bm25()} SELECT qid, id, score, rank::INT AS rank FROM {_top(20)}",
+    "bm25_topk": f"WITH {_bm25()}, pad AS (SELECT qid, id, 0.0::DOUBLE AS score FROM (SELECT item_id AS qid FROM benchmark GROUP BY 1) q, (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 20) d WHERE (qid, id) NOT IN (SELECT (qid, id) FROM scored)), filled AS (SELECT * FROM scored UNION ALL SELECT * FROM pad) SELECT qid, id, score, rank::INT AS rank FROM {_top(20, 'filled')}",
     "bm25_topk_source_cap": f"WITH {_bm25()}, c AS (SELECT s.*, source FROM scored s JOIN documents d ON d.doc_id = s.id QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, id) <= 2) SELECT qid, id, source, score, rank::INT AS rank FROM {_top(5, 'c')}",
-    "term_stats": f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "term_stats": r"WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM documents), f AS MATERIALIZED (SELECT term, count(*) AS df FROM t GROUP BY term), r AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM f) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r",
     "idf_capped_query_terms": f"WITH {_bm25(4)} SELECT qid, id, score, rank::INT AS rank FROM {_top(10)}",
     "cosine_topk": f"WITH scored AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) SELECT qid, id, score, rank::INT AS rank FROM {_top(10)}",
     "rrf_two_rankings": f"WITH {_bm25()}, {_bm25(4, 'b')}, f AS (SELECT qid, id, 0.4::DOUBLE / (60 + rank) AS p FROM {_top(20)} UNION ALL SELECT qid, id, 0.6::DOUBLE / (60 + rank) FROM {_top(20, 'scoredb')}), fused AS (SELECT qid, id, round(sum(p), 6) AS score FROM f GROUP BY qid, id) SELECT qid, id, score, rank::INT AS rank FROM {_top(5, 'fused')}",
