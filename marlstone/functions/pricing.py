@@ -34,7 +34,7 @@ VALUE_PATTERNS = (
 SUFFIXES = ("vedení jednoho běžného účtu měsíčně", "vedení jednoho běžného účtu", "vedení účtu měsíčně", "vedení účtu", "měsíčně", "v ceně", "cena")
 PRESERVED = ("ekonto smart", "ekonto výhody prémium", "ekonto vyhody premium", "aktivní účet", "aktivni ucet", "ekonto komplet")
 BLACKLIST = (
-    "správa služby", "správa každé", "telefonní bankovnictví", "telefonni bankovnictvi", "informuj mě", "informuj me", "sms", "rb klíč", "rb klic", "notifikace",
+    "správa služby", "správa každé", "telefonní bankovnictví", "telefonni bankovnictvi", "informuj mě", "informuj me", "sms", "notifikace",
     "multicurrency", "doplňkové služby", "doplnkove sluzby", "měnová složka", "menova slozka", "měnové složky", "menove slozky",
 )
 SUMMARIES = [
