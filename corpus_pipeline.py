@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import ngram_join, packing, quality_rules, toxicity
-from marlstone.llm.common import shared_dir, spare_name, table
+from marlstone.llm.common import spare_name, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +33,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("toxicity", clean), ("ngram_join", distinct), ("packing", packed)]
 #: No stage but the first's counts is a matter of SQL (learned thresholds and scores, exact binomial tests, tokenizers):
-#: the stages are tested against brute-force versions.
+#: tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder as Parquet and read again."""
+    """Applies the stages to documents, each written to the shared folder as Parquet and read again; the tables go when the
+    driver ends."""
     out = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, out, sf_dir).write.parquet(path)
-        out = spark.read.parquet(path)
+        out = staged(stage(spark, out, sf_dir), f"pipeline-{name}")
     return out
