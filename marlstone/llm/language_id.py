@@ -2,13 +2,16 @@
 
 A text is lower-cased, runs of other characters than letters become one space, and its 1- to 3-grams are hashed into
 SIZE places. Values are TF-IDF: an n-gram's share of the text's n-grams of its length, times its inverse document
-frequency, times SCALE. Weights come from follow-the-regularised-leader with elastic-net penalties on a sample of
-about PER_LANG documents of each language (by a hash of the id; MAX_SAMPLE in all); a temperature, chosen by likelihood
-on a fifth of the sample kept out of training, calibrates the probabilities.
+frequency among all learnable documents, times SCALE. Weights come from follow-the-regularised-leader with elastic-net
+penalties on a sample of about PER_LANG documents of each language, by a hash of the id; with many languages fewer of
+each, so that about MAX_SAMPLE in all come to the driver. A temperature, chosen by likelihood on a fifth of the sample
+kept out of training, calibrates the probabilities. Learned are the MAX_LANGS languages with the most documents (equal
+numbers in the order of their names).
 
 Defined results: a null text or one without a letter is `und` with score 0, and so is every text if nothing can be
-learned; ties go to the first language in order; repeated rows are judged each; only id, text and lang are read, and
-lang only of learnable rows.
+learned; with one language every text with a letter has it; ties go to the first language in order; null ids are never
+learned from; repeated rows are judged each; very long texts are read whole, in windows; an empty table gives no row;
+only id, text and lang are read, and lang only of learnable rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import id_bucket
 from marlstone.llm.ftrl import train
 
-PER_LANG, MAX_SAMPLE, SIZE, SCALE, EPOCHS, WINDOW = 600, 20_000, 1 << 16, 20.0, 4, 1 << 16
+PER_LANG, MAX_SAMPLE, MAX_LANGS, SIZE, SCALE, EPOCHS, WINDOW = 600, 20_000, 500, 1 << 16, 20.0, 4, 1 << 16
 NONE = "und"
 
 
@@ -87,25 +90,52 @@ def _examples(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))], names=["lang", "h", "idx", "val"])
 
 
+def _present(batches: Iterator) -> Iterator:
+    """(place, n): in how many texts each place occurs; place -1 counts the texts with a letter."""
+    import pyarrow as pa
+
+    n, texts, mark = np.zeros(SIZE, np.int64), 0, np.zeros(SIZE, bool)
+    for b in batches:
+        for t in b.column(0):
+            letter = False
+            for _, places, c in ngrams(t.as_py()):
+                mark[places] = True
+                letter = letter or bool((c != 32).any())
+            at = np.flatnonzero(mark)
+            mark[at] = False
+            if letter:
+                n[at] += 1
+                texts += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], texts))], names=["place", "n"])
+
+
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The texts with a letter, and of each place those that hold it. At most SIZE + 1 rows come to the driver."""
+    got = texts.mapInArrow(_present, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(SIZE + 1)
+    df[got["place"].to_numpy()] = got["n"].to_numpy()
+    return int(df[-1]), df[:-1]
+
+
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages in order and weights (SIZE + 1, languages), with IDF and temperature folded in, the bias last."""
     d = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn)
-    by = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by = {r["lang"]: r["n"] for r in d.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not by:
         return [], np.zeros((SIZE + 1, 0), np.float32)
-    # A row is taken if its hash lies under its language's share: about per_lang of each, and no more than MAX_SAMPLE.
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(by.items()) for x in (k, min(1.0, per_lang / n)))), F.col("lang"))
+    # A row is taken if its hash lies under its language's share.
+    each = min(per_lang, MAX_SAMPLE / len(by))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(by.items()) for x in (k, min(1.0, each / n)))), F.col("lang").cast("string"))
     h = F.xxhash64(F.col("doc_id"), F.lit(11))
-    taken = d.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).select("text", F.col("lang").cast("string").alias("lang"), h.alias("h")).limit(MAX_SAMPLE)
+    taken = d.where(F.pmod(h, F.lit(1 << 20)) < F.coalesce(share, F.lit(0.0)) * (1 << 20)).select("text", F.col("lang").cast("string").alias("lang"), h.alias("h"))
     got = taken.mapInArrow(_examples, "lang string, h long, idx array<int>, val array<float>").toArrow()
     rows = sorted(((h, g, np.asarray(i.values, np.int64), np.asarray(v.values, float)) for g, h, i, v in zip(got["lang"].to_pylist(), got["h"].to_pylist(), got["idx"], got["val"], strict=True) if len(i.values)), key=lambda r: (r[0], r[1], len(r[2])))
     langs = sorted({r[1] for r in rows})
     if not langs:
         return [], np.zeros((SIZE + 1, 0), np.float32)
-    df = np.zeros(SIZE)
-    for r in rows:
-        df[r[2]] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 0.1
+    n, df = document_frequencies(d.select("text"))
+    idf = np.log((1 + n) / (1 + df)) + 0.1
     ex = [(i, SCALE * v * idf[i], langs.index(g)) for _, g, i, v in rows]
     kept = [e for k, e in enumerate(ex) if k % 5 == 0]
     w = train([e for k, e in enumerate(ex) if k % 5] or ex, SIZE, len(langs), EPOCHS, alpha=0.3, l1=0.0005, l2=0.001) if len(langs) > 1 else np.zeros((SIZE + 1, 1))
