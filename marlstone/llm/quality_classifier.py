@@ -1,13 +1,16 @@
 """Quality by hashed word n-grams and logistic regression.
 
-Features: tokens are runs of letters, of digits or of one kind of other characters. Hashed into SIZE places: single
-tokens, pairs of neighbours, shapes (kind, capitals, length) and pairs of shapes, and whether a token repeats the one
-before. A feature's value is its share of the family's occurrences times SCALE, so a score is a sparse dot product:
-the sum over families of the mean weight. Weights are trained by follow-the-regularised-leader on at most PER_CLASS
-labelled documents of each class; the bias is moved to the classes' shares among all learnable labels.
-
-Defined results: null and empty texts get the score of the bias alone; repeated rows are scored each; without labels
-of both classes every score is the share of good labels (0.5 without labels); other columns are never read.
+Features: words are runs of letters, of digits or of one kind of other characters. Hashed into SIZE places: single words
+and pairs of neighbours; the same over the words' shapes (kind, capitals, length), which stand for the words that no
+training text holds; and whether a word repeats the one before. A feature's value is its share of the family's
+occurrences times SCALE, so a score is a sparse dot product: the sum over families of the mean weight. Weights are
+trained by follow-the-regularised-leader on at most PER_CLASS labelled documents of each class, in the order of a
+hash; the bias is moved to the classes' shares among all learnable labels.
+
+Defined results: null and empty texts get the score of the bias alone; several labels of an id count by the largest; a
+null id is scored and never learned from; equal texts have equal scores; repeated rows are scored each; very long texts
+are read whole, in windows; without labels of both classes every score is the share of good labels (0.5 without labels);
+an empty table gives no row; other columns are never read.
 """
 
 from __future__ import annotations
@@ -71,20 +74,21 @@ def _examples(batches: Iterator) -> Iterator:
             u, inv = np.unique(i, return_inverse=True)
             idx.append(u.astype(np.int32))
             val.append(np.bincount(inv, x, len(u)).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["y", "idx", "val"])
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), b.column(2)], names=["y", "idx", "val", "h"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> np.ndarray:
     """Weights (SIZE + 1) as float32, the bias last. At most 2 * per_class sparse examples come to the driver."""
     by = {r["y"]: r["n"] for r in labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("quality").alias("y")).groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (by.get(1, 0) + 0.5) / (sum(by.values()) + 1)
-    got = labelled_sample(docs, labels, "quality", learn, per_class).select("text", "y").mapInArrow(_examples, "y int, idx array<int>, val array<float>").toArrow()
+    got = labelled_sample(docs, labels, "quality", learn, per_class).select("text", "y", F.xxhash64("_id", "text").alias("h")).mapInArrow(_examples, "y int, idx array<int>, val array<float>, h long").toArrow()
     y = got["y"].to_pylist()
     if len(set(y)) < 2:
         w = np.zeros(SIZE + 1, np.float32)
         w[-1] = math.log(share / (1 - share))
         return w
-    ex = [(np.asarray(i.values, np.int64), np.asarray(v.values, float), t) for i, v, t in sorted(zip(got["idx"], got["val"], y, strict=True), key=lambda e: (e[2], len(e[0].values), e[0].values.to_pylist()[:20]))]
+    rows = sorted(zip(got["h"].to_pylist(), y, got["idx"], got["val"], strict=True), key=lambda e: e[:2])  # rows with equal keys are equal
+    ex = [(np.asarray(i.values, np.int64), np.asarray(v.values, float), t) for _, t, i, v in rows]
     w = train(ex, SIZE, epochs=EPOCHS)[:, 0]
     ones = sum(y)
     w[-1] += math.log(share / (1 - share)) - math.log(ones / (len(y) - ones))

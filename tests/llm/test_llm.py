@@ -548,3 +548,51 @@ def test_long_atoms_equal_the_library():
     sentencepiece_lattice.encode_word("=" * 400_000, path)
     assert tracemalloc.get_traced_memory()[1] < 80e6
     tracemalloc.stop()
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no test tables")
+def test_held_out_accuracy(spark):
+    """What the classifiers say of rows that they may not learn from."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    got = language_id.identify_documents(docs, language_id.learn_rows()).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r["lang_pred"] == r["lang"] for r in got) > 0.97 * len(got)
+    lab = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    got = quality_classifier.score_documents(docs, labels, quality_classifier.learn_rows()).join(lab, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and sum(r["predicted"] == r["y"] for r in got) > 0.95 * len(got)
+
+
+def test_language_frequencies_and_scores_equal_a_plain_version(spark):
+    texts = ["Der Hund läuft.", "the dog runs", "", None, "123 !?", "Ein Hund und eine Katze " * 40, "a dog and a cat " * 40, "Ab" * 40_000]
+    rows = [(i, texts[i % len(texts)], ("de", "en")[i % 2] if i % 7 else None) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n, df = language_id.document_frequencies(d.select("text"))
+    plain = collections.Counter()
+    for _, t, _ in rows:
+        low = (t or "").lower()
+        if any(c.isalpha() for c in low):
+            plain.update({p for _, places, _ in language_id.ngrams(t) for p in places.tolist()})
+    assert n == sum(any(c.isalpha() for c in t or "") for _, t, _ in rows) and {i: int(x) for i, x in enumerate(df) if x} == dict(plain)
+    langs, w = language_id.fit(d, language_id.learn_rows())
+    assert langs == ["de", "en"]
+    for r in language_id.identify_documents(d, language_id.learn_rows()).collect():
+        want = language_id.predict(rows[r["doc_id"]][1], langs, w)
+        assert (r["lang_pred"], r["held_out"]) == (want[0], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["score"] == pytest.approx(want[1])
+
+
+def test_quality_scores_equal_a_plain_version(spark, labels):
+    rows = [(i, f"good plain words number {i} " * 9 if i % 2 else f"BAD!! $$ {i} ## bad BAD " * 9) for i in range(40)] + [(100, ""), (101, None)]
+    d = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, y string, _id string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    w = quality_classifier.fit(d, lab, quality_classifier.learn_rows())
+    assert (quality_classifier.fit(d.repartition(3), lab, quality_classifier.learn_rows()) == w).all()
+    got = {r["doc_id"]: r for r in quality_classifier.score_documents(d, lab, quality_classifier.learn_rows()).collect()}
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        fams, _ = quality_classifier.hashed(data, np.array([0, len(data)]))
+        z = float(w[-1]) + sum(quality_classifier.SCALE * float(np.mean(w[f], dtype=np.float64)) for f in fams if len(f))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert all(got[i]["predicted"] == i % 2 for i in range(40))
