@@ -596,3 +596,22 @@ def test_quality_scores_equal_a_plain_version(spark, labels):
         assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))))
         assert got[i]["predicted"] == (got[i]["score"] >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
     assert all(got[i]["predicted"] == i % 2 for i in range(40))
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no test tables")
+def test_ngram_join_finds_every_link_of_the_tables(spark):
+    """All pairs of sf0.01's documents by brute force, through an inverted index of their shingles."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sets, holders = {}, collections.defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        w = tokens(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for s in sets[r["doc_id"]]:
+            holders[s].append(r["doc_id"])
+    common = collections.Counter(p for ids in holders.values() for p in itertools.combinations(ids, 2))
+    links = collections.Counter()
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links.update((a, b))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert sum(links.values()) > 50 and got == {i: links[i] for i in sets}
