@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
 
-CAPACITY, GROUP, END, CACHE = 2048, 8192, 1, 50_000
+CAPACITY, GROUP, END, CACHE = 2048, 8192, 1, 100_000
 #: Fixed value: the pattern that splits text before merges, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
