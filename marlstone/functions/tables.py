@@ -57,9 +57,10 @@ def markdown_headers(x: Column) -> Column:
     return F.when(F.size(lines) >= 3, _cells(F.get(lines, F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
 
-def markdown_rows(x: Column) -> Column:
-    """The other lines' cells, padded or cut to the headers' number; lines of rules are left out."""
-    lines, width = _lines(x), F.size(markdown_headers(x))
+def markdown_rows(x: Column, headers: Column) -> Column:
+    """The other lines' cells, padded or cut to the headers' number; lines of rules are left out. headers is best a column
+    of its own, made before, as it is used for every line."""
+    lines, width = _lines(x), F.size(headers)
     body = F.filter(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda s: ~s.rlike(r"^[:\-\s|]+$"))
     pad = lambda s: F.slice(F.concat(_cells(s), F.array_repeat(F.lit(""), width)), F.lit(1), width)
     return F.when(F.size(lines) >= 3, F.transform(body, pad)).otherwise(F.array().cast("array<array<string>>"))

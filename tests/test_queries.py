@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from marlstone.plans import registry
+from marlstone.plans import registry, tariff_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +44,12 @@ def test_quality_flags_read_whole_texts(spark, tmp_path):
     assert rows(got) == rows(con.sql(registry.ORACLE_SQL["quality_flags"]).df())
     flags = got.set_index("doc_id")
     assert flags.broken_marks[0] and flags.symbol_noise[1] and flags.low_alpha[2] and flags.navigation[3] and not flags.loc[4].any()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(tariff_queries.SLOW))
+def test_twin_of_slow_queries(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
+    query, sql = tariff_queries.SLOW[name]
+    assert rows(query(spark, DATA).toPandas()) == rows(con.sql(sql).df())
