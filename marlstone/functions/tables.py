@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.pricing import has_any
@@ -51,19 +51,18 @@ def _lines(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"\r\n|\n|\r"), lambda s: F.trim(s)), lambda s: F.contains(s, F.lit("|")))
 
 
-def markdown_headers(x: Column) -> Column:
-    """The cells of a markdown table's first line; none for a text with fewer than three lines that have a bar."""
-    lines = _lines(x)
-    return F.when(F.size(lines) >= 3, _cells(F.get(lines, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+def markdown_cells(tables: DataFrame, markdown: str) -> DataFrame:
+    """One row for each line of a markdown table after its first two, with `headers` (the first line's cells), `row_index`
+    and `cells`, padded or cut to the headers' number. Lines of rules are left out; a text with fewer than three lines
+    that have a bar gives no row. The other columns stay, but for the markdown.
 
-
-def markdown_rows(x: Column, headers: Column) -> Column:
-    """The other lines' cells, padded or cut to the headers' number; lines of rules are left out. headers is best a column
-    of its own, made before, as it is used for every line."""
-    lines, width = _lines(x), F.size(headers)
-    body = F.filter(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda s: ~s.rlike(r"^[:\-\s|]+$"))
-    pad = lambda s: F.slice(F.concat(_cells(s), F.array_repeat(F.lit(""), width)), F.lit(1), width)
-    return F.when(F.size(lines) >= 3, F.transform(body, pad)).otherwise(F.array().cast("array<array<string>>"))
+    Lines are exploded first, so that a line's cells are made by a plain expression on a row of its own."""
+    rest = [c for c in tables.columns if c != markdown]
+    d = tables.select(*rest, _lines(F.col(markdown)).alias("_lines")).where(F.size("_lines") >= 3)
+    body = F.filter(F.slice("_lines", F.lit(3), F.size("_lines") - 2), lambda s: ~s.rlike(r"^[:\-\s|]+$"))
+    d = d.select(*rest, _cells(F.get("_lines", F.lit(0))).alias("headers"), F.posexplode(body).alias("row_index", "_line"))
+    width = F.size("headers")
+    return d.select(*rest, "headers", "row_index", F.slice(F.concat(_cells(F.col("_line")), F.array_repeat(F.lit(""), width)), F.lit(1), width).alias("cells"))
 
 
 def filled(row: Column) -> Column:

@@ -53,10 +53,7 @@ def price_texts(spark, d):
 
 
 def _parsed(spark, d) -> DataFrame:
-    m = F.col("markdown")
-    # Parsing costs far more than the texts weigh, so they are spread anew.
-    t = _tables(spark, d).repartition(32).select("table_id", m, B.markdown_headers(m).alias("headers"))
-    return t.select("table_id", "headers", B.markdown_rows(m, F.col("headers")).alias("rows")).select("table_id", "headers", F.posexplode("rows").alias("row_index", "cells"))
+    return B.markdown_cells(_tables(spark, d), "markdown")
 
 
 def tariff_table_rows(spark, d):
@@ -179,5 +176,3 @@ s AS (SELECT order_id, string_agg(CASE WHEN n IN (2, 6) THEN r[1] ELSE array_to_
 o AS (SELECT DISTINCT l_orderkey AS order_id FROM lineitem)
 SELECT order_id, 'Položka | Cena | Četnost' || chr(10) || '--- | --- | ---' || coalesce(chr(10) || shown, '') || coalesce(chr(10) || chr(10) || notes, '') AS markdown FROM o LEFT JOIN s USING (order_id)""",
 }
-#: Right, but too slow yet in Spark on more than the smallest tables: tested there, not registered.
-SLOW = {name: (QUERIES.pop(name), ORACLE_SQL.pop(name)) for name in ("tariff_table_rows", "tariff_price_rows")}
