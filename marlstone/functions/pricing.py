@@ -42,6 +42,15 @@ SUMMARIES = [
     ("premium_tier", "v prémiovém tarifu / při splnění prémiových podmínek"),
 ]
 
+# Parts of fee names that aren't an account's own fee, and words that together are one.
+NOT_PRIMARY = (
+    "vedlejsi", "menove", "elektronicky", "elektronickeho", "mobilni", "investicni", "uhrada", "uhrady", "platba", "prikaz", "import", "hromadny",
+    "pronajem", "bezpecnostni", "vyzva", "dluh", "nestandardni", "vypis", "vypisu", "potvrzeni", "sprava", "spravy", "nastaveni", "notifikac", "telefon",
+    "sms", "informuj", "doplnkov", "doplnkove", "balicek sluzeb", "multicurrency",
+)
+PRIMARY_SETS = (("vedeni", "uctu"), ("vedeni", "bezneho", "uctu"), ("cena", "tarifu"), ("poplatek", "vedeni"), ("mesicni", "poplatek"))
+PRIMARY_ENGLISH = (("account", "maintenance"), ("monthly", "account", "fee"))
+
 
 def has_any(x: Column, terms: tuple[str, ...]) -> Column:
     out = F.lit(False)
@@ -173,3 +182,36 @@ def confident_row(chunk_type: Column, quality: Column, structured: Column, confi
     """Whether a price row may answer by itself; a missing rerank score doesn't count against it."""
     sure = ~F.coalesce(structured, F.lit(False)) | (F.coalesce(confidence, F.lit(0.0)) >= 0.70)
     return F.coalesce((chunk_type == "pricing_row") & (F.lower(F.coalesce(quality, F.lit("ok"))) != "bad_table_row") & sure & answerable & (rerank.isNull() | (rerank >= max(0.0, floor))), F.lit(False))
+
+
+def _words(folded: Column) -> Column:
+    return F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) > 1)
+
+
+def _has_all(x: Column, terms: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for t in terms:
+        out = out & F.contains(x, F.lit(t))
+    return out
+
+
+def primary_fee(fee: Column) -> Column:
+    """The fee is an account's own: no foreign part, and the words of one of PRIMARY_SETS or PRIMARY_ENGLISH. False for null."""
+    fee = F.coalesce(fee, F.lit(""))
+    folded = T.fold(fee)
+    have, low = _words(folded), F.lower(fee)
+    sets, english = F.lit(False), F.lit(False)
+    for s in PRIMARY_SETS:
+        sets = sets | (F.size(F.array_except(F.array(*map(F.lit, s)), have)) == 0)
+    for s in PRIMARY_ENGLISH:
+        english = english | _has_all(low, s)
+    return ~has_any(folded, NOT_PRIMARY) & (sets | english)
+
+
+def asks_primary_fee(query: Column) -> Column:
+    """The query asks for an account's own fee. False for null."""
+    query = F.coalesce(query, F.lit(""))
+    have, low = _words(T.fold(query)), F.lower(query)
+    w = lambda *ws: F.arrays_overlap(have, F.array(*map(F.lit, ws)))
+    czech = w("vedeni") | (w("stoji") & w("ucet")) | (w("stoji", "cena") & w("ekonto", "konto")) | (w("mesicni") & w("poplatek"))
+    return czech | _has_all(low, ("account", "maintenance")) | _has_all(low, ("monthly", "fee"))

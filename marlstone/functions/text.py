@@ -155,3 +155,53 @@ def has_segment(u: Column, want: tuple[str, ...], ban: tuple[str, ...]) -> Colum
     parts = F.split(F.lower(url_path(u)), "/")
     hit = lambda words: F.exists(parts, lambda s: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(s, w)))
     return hit(want) & ~hit(ban)
+
+
+def source_year(*fields: Column) -> Column:
+    """The first year from 1950 to 2050 of the first field that holds one; fields in order of trust."""
+    found = (F.regexp_extract(f.cast("string"), r"(?:^|[^\p{L}\p{N}_])(19[5-9]\d|20[0-4]\d|2050)(?:$|[^\p{L}\p{N}_])", 1) for f in fields)
+    return F.coalesce(*(F.nullif(y, F.lit("")).cast("int") for y in found))
+
+
+# Path parts that say nothing, and titles by category.
+PLAIN_PARTS = ("cs", "en", "attachments", "documents", "files", "download")
+CATEGORY_TITLES = [
+    ("retail", "Produktová stránka — Retail"), ("corporate", "Produktová stránka — Corporate"), ("business", "Produktová stránka — Business"),
+    ("investing", "Investiční dokument"), ("insurance", "Pojištění"),
+]
+
+
+def title_case(x: Column) -> Column:
+    """The first letter of each run of letters in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
+def looks_hashed(x: Column) -> Column:
+    """10 characters at least, more than three quarters of them hexadecimal digits in lower case."""
+    return (F.length(x) >= 10) & (F.length(F.regexp_replace(x, "[^0-9a-f]", "")) > 0.75 * F.length(x))
+
+
+def file_title(x: Column) -> Column:
+    """A file name without its ending and hashes, words apart, 80 characters at most."""
+    name = F.regexp_replace(F.regexp_replace(x, r"\.[^.]*$", ""), "_[a-f0-9]{8,}", "")
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(name, "[_-]", " "), r"[ \t\n\x0b\f\r]+", " ")), 1, 80)
+
+
+def human_title(title: Column, url: Column, file_name: Column, category: Column, chunk_type: Column) -> Column:
+    """A title to show: the title itself, else the end of the URL's path, else the file name, else the category or the
+    chunk type; hashes are passed over. Nulls count as empty."""
+    title, url, file_name, category, chunk_type = (F.trim(F.coalesce(c, F.lit(""))) for c in (title, url, file_name, category, chunk_type))
+    parts = F.filter(F.split(url_path(url), "/"), lambda p: (p != "") & ~p.isin(*PLAIN_PARTS))
+    last = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(3))
+    path = F.substring(F.array_join(F.transform(last, lambda p: title_case(F.trim(F.regexp_replace(p, "[-_]", " ")))), " — "), 1, 80)
+    plain = file_title(file_name)
+    by_category = F.coalesce(*(F.when(category == k, F.lit(v)) for k, v in CATEGORY_TITLES))
+    return F.coalesce(
+        F.when((F.length(title) > 5) & ~looks_hashed(title), file_title(title)),
+        F.when(path != "", path),
+        F.when((file_name != "") & ~looks_hashed(file_name) & (F.length(plain) > 3), plain),
+        by_category,
+        F.when(chunk_type != "", F.concat(F.lit("Dokument — "), title_case(F.replace(chunk_type, F.lit("_"), F.lit(" "))))),
+        F.lit("Dokument"),
+    )

@@ -127,3 +127,10 @@ def top_values(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     each = F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns)))
     w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     return df.select(each).groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def outside_boxes(blocks: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 5) -> DataFrame:
+    """The blocks (x0, y0, x1, y1) that lie in no box of their page, with so much slack on every side."""
+    b = boxes.select(F.col(page).alias("_page"), *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+    inside = (F.col("x0") >= F.col("_x0") - slack) & (F.col("y0") >= F.col("_y0") - slack) & (F.col("x1") <= F.col("_x1") + slack) & (F.col("y1") <= F.col("_y1") + slack)
+    return blocks.join(b, (F.col(page) == F.col("_page")) & inside, "left_anti")

@@ -112,8 +112,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 25
     return ranked(s, k)
 
 
-def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
-    """(qid, id, score): the sum of weight / (k + rank) over the rankings."""
+def rrf(rankings: list[tuple[DataFrame, float | Column]], k: int = 60) -> DataFrame:
+    """(qid, id, score): the sum of weight / (k + rank) over the rankings; a weight can be a column of its ranking."""
     out = None
     for df, w in rankings:
         part = df.select("qid", "id", (F.lit(w) / (k + F.col("rank"))).alias("p"))
@@ -121,6 +121,19 @@ def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     return out.groupBy("qid", "id").agg(F.round(F.sum("p"), 6).alias("score"))
 
 
+def prepended(first: DataFrame, rest: DataFrame) -> DataFrame:
+    """(qid, id, rank): the first ranking of each query, then the other one with its ranks after it. What is in both stays
+    twice, so that rrf adds up both places."""
+    n = first.groupBy("qid").agg(F.max("rank").alias("_n"))
+    moved = rest.join(n, "qid", "left").select("qid", "id", (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("rank"))
+    return first.select("qid", "id", "rank").unionByName(moved)
+
+
+def chosen_weight(given: Column, default: float, profile: Column) -> Column:
+    """The profile's weight where the caller left the default."""
+    return F.when(given == default, profile).otherwise(given)
+
+
 def boosted(df: DataFrame, rules: list[tuple[str, float, Column]]) -> DataFrame:
     """Adds the deltas of the rules that hold to score, and their names in order as reasons."""
     delta = sum((F.when(c, F.lit(d)).otherwise(F.lit(0.0)) for _, d, c in rules), F.lit(0.0))
