@@ -49,19 +49,39 @@ def _drop_staged() -> None:
 atexit.register(_drop_staged)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it again.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder as Parquet, in directories of the column `by` if given, and reads it again.
 
     This cuts the lineage: a lost executor costs no more than its own tasks, and what was computed in Python is
     computed once however often it is read. The tables go when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], to: str, name: str) -> DataFrame:
+    """df with `to`, each row's number from 0 in the given order, staged.
+
+    A range partitioning by the order takes the place of a window over all rows: each partition counts its own rows in
+    order, and the partitions' counts (as many as spark.sql.shuffle.partitions) are added up. Give an order that tells
+    the rows apart, or at least spreads a hot key: rows that are equal in it go to one partition.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = (1 << 33) - 1
+    at = staged(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(to, F.monotonically_increasing_id()), name)
+    counts = at.groupBy(F.shiftright(to, 33).alias("p")).count().orderBy("p").collect()
+    starts, n = [], 0
+    for r in counts:
+        starts.append((r["p"], n))
+        n += r["count"]
+    first = spark.createDataFrame(starts, "_part long, _first long")
+    return at.join(F.broadcast(first), F.shiftright(to, 33) == F.col("_part")).select(*df.columns, (F.col("_first") + F.col(to).bitwiseAND(low)).alias(to))
+
+
 def spare_name(df: DataFrame, wanted: str) -> str:
     """wanted, or wanted with underscores before it until df has no such column in any case."""
     have = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_lattice, suffix_tree, toxicity, warc_fixity
+from marlstone.llm import embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, schema_rewrite, sentencepiece_lattice, source_mixing, spelling_variants, suffix_tree, toxicity, warc_fixity
 from marlstone.llm.common import table
 
 
@@ -52,8 +52,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_classifier.learn_rows())
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite of a drill: clients as files whose schemas have drifted, in a new folder that stays."""
+    return schema_rewrite.drill(table(spark, sf_dir, "clients"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_warc_fixity, op4_embedding_dedup, op5_quality_rules, op6_language_id, op7_sentencepiece_lattice, op8_packing, op9_suffix_tree, op10_quality_classifier)
+    f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_warc_fixity, op4_embedding_dedup, op5_quality_rules, op6_language_id, op7_sentencepiece_lattice, op8_packing, op9_suffix_tree, op10_quality_classifier, op11_source_mixing, op12_spelling_variants, op13_schema_rewrite)
 }
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op3_warc_fixity": warc_fixity.DRILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_fixity": warc_fixity.DRILL_SQL, "op11_source_mixing": source_mixing.MIX_SQL}
