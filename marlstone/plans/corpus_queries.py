@@ -141,14 +141,6 @@ def first_inflight(spark, d):
     return e.groupBy("event_type", "slot").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("waiting"))
 
 
-def rate_limit_fold(spark, d):
-    return state.rate_limited(_t(spark, d, "events"), 3, 12 * 3600)
-
-
-def ttl_cache_fold(spark, d):
-    return state.ttl_cache(_t(spark, d, "events").withColumn("cache_key", F.concat_ws(":", "user_id", "event_type")), 48 * 3600)
-
-
 def telemetry(spark, d):
     return state.telemetry(_t(spark, d, "events")).select("event_id", "user_hash", "event_type")
 
@@ -171,7 +163,7 @@ def inherit_intent(spark, d):
     return c.select("conv_id", "turn", (F.col("n") <= 40).alias("follow_up"), F.last(topic, ignorenulls=True).over(w).alias("topic"))
 
 
-QUERIES = {f.__name__: f for f in (content_signature_dups, first_by_signature, incremental_anti, keyed_upsert, manifest_counts, length_stats, quality_audit, coverage, page_title_links, html_structured, page_sections, crawl_frontier, change_detection, leaderboards, report_summary, gates, report_diff, failure_counts_zero_filled, latency_percentiles, hit_ratio, session_gap, trailing_6h_count, first_inflight, rate_limit_fold, ttl_cache_fold, telemetry, history_limit, last_assistant_turn, inherit_intent)}
+QUERIES = {f.__name__: f for f in (content_signature_dups, first_by_signature, incremental_anti, keyed_upsert, manifest_counts, length_stats, quality_audit, coverage, page_title_links, html_structured, page_sections, crawl_frontier, change_detection, leaderboards, report_summary, gates, report_diff, failure_counts_zero_filled, latency_percentiles, hit_ratio, session_gap, trailing_6h_count, first_inflight, telemetry, history_limit, last_assistant_turn, inherit_intent)}
 
 from marlstone.plans.text_queries import _R, ORACLE_SQL as _TEXT, _clean  # noqa: E402
 
@@ -181,14 +173,6 @@ _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _VALUES = ", ".join(f"('{k}', '{n}', {b}::DOUBLE)" for k, n, b in BOUNDS)
 
 ORACLE_SQL = {
-    "rate_limit_fold": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-s AS (SELECT event_id, user_id, i, true AS allowed, [us] AS held FROM e WHERE i = 1 UNION ALL
-SELECT event_id, user_id, i, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END FROM (SELECT e.event_id, e.user_id, e.i, e.us, list_filter(s.held, lambda x: x > e.us - 43200000000) AS h FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
-SELECT user_id, event_id, allowed FROM s""",
-    "ttl_cache_fold": """WITH RECURSIVE e AS (SELECT event_id, concat_ws(':', user_id, event_type) AS cache_key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY cache_key ORDER BY ts, event_id) AS i FROM events),
-s AS (SELECT event_id, cache_key, i, false AS hit, us AS stored FROM e WHERE i = 1 UNION ALL
-SELECT e.event_id, e.cache_key, e.i, e.us - s.stored < 172800000000, CASE WHEN e.us - s.stored < 172800000000 THEN s.stored ELSE e.us END FROM s JOIN e ON e.cache_key = s.cache_key AND e.i = s.i + 1)
-SELECT cache_key, event_id, hit FROM s""",
     "content_signature_dups": f"SELECT {_SIG} AS signature, count(*) AS n, min(doc_id) AS first_id, count(*) - 1 AS extra FROM documents GROUP BY 1 HAVING count(*) > 1",
     "first_by_signature": f"SELECT doc_id, source, lang, {_SIG} AS signature FROM documents QUALIFY row_number() OVER (PARTITION BY {_SIG} ORDER BY doc_id) = 1",
     "incremental_anti": f"WITH t AS (SELECT doc_id, sha256({_clean('text')}) AS h, {_R['li']} AS low FROM documents) SELECT doc_id, h FROM t WHERE doc_id % 2 = 1 AND NOT low AND h NOT IN (SELECT h FROM t WHERE doc_id % 2 = 0)",

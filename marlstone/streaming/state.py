@@ -1,63 +1,11 @@
-"""Stateful operators: batch folds over keyed, ordered events, and their streaming twins on event time."""
+"""Streams of events on event time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """events with `allowed`: at most limit allowed ones of a key in any window of so many seconds; rejected ones don't count.
-
-    A key's events pass through a task in order, in Arrow batches sorted by key; the state is the last `limit` times.
-    """
-    d = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        held, now = [], object()
-        for b in batches:
-            out = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if k != now:
-                    held, now = [], k
-                held = [x for x in held if x > t - seconds * 1e6]
-                ok = len(held) < limit
-                if ok:
-                    held.append(t)
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=[key, order, "allowed"])
-
-    s = d.schema
-    return d.mapInArrow(run, f"{key} {s[key].dataType.simpleString()}, {order} {s[order].dataType.simpleString()}, allowed boolean")
-
-
-def ttl_cache(events: DataFrame, seconds: float, key: str = "cache_key", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """events with `hit`: the key was stored less than so many seconds ago; a miss stores it, a hit doesn't extend it."""
-    d = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        stored, now = None, object()
-        for b in batches:
-            out = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if k != now:
-                    stored, now = None, k
-                hit = stored is not None and t - stored < seconds * 1e6
-                if not hit:
-                    stored = t
-                out.append(hit)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=[key, order, "hit"])
-
-    s = d.schema
-    return d.mapInArrow(run, f"{key} {s[key].dataType.simpleString()}, {order} {s[order].dataType.simpleString()}, hit boolean")
-
-
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import chunk, dedup, governance, retrieval
 from marlstone.sources import files, html
-from marlstone.streaming import state
+from marlstone.streaming import keyed, state
 
 
 def test_recursive_split_bounds_and_coverage():
@@ -66,17 +66,17 @@ def events(spark):
 
 
 def test_rate_limit_ignores_rejected(events):
-    got = {r["event_id"]: r["allowed"] for r in state.rate_limited(events, 2, 60).collect()}
+    got = {r["event_id"]: r["allowed"] for r in keyed.folded(events, keyed.RateLimit(2, 60), "user_id", "event_id", "allowed").collect()}
     held = {0: [], 1: []}
     for i in range(40):
-        h = held[i % 2] = [x for x in held[i % 2] if x > 10 * i - 60]
+        h = held[i % 2] = [x for x in held[i % 2] if x >= 10 * i - 60]
         assert got[i] == (len(h) < 2)
         if len(h) < 2:
             h.append(10 * i)
 
 
 def test_ttl_hits_do_not_extend(events):
-    got = {r["event_id"]: r["hit"] for r in state.ttl_cache(events, 50, key="user_id").collect()}
+    got = {r["event_id"]: r["hit"] for r in keyed.folded(events, keyed.RouteCache(), "user_id", "event_id", "hit", F.lit(50).cast("long")).collect()}
     assert [got[i] for i in range(0, 16, 2)] == [False, True, True, False, True, True, False, True]
 
 
