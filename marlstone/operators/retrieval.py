@@ -28,7 +28,7 @@ def corpus_terms(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, dl): the documents that hold each term; the row without term has their number and summed lengths.
 
     One pass over the texts, counted where they are read."""
-    t = docs.select(T.index_tokens(F.col(text_col)).alias("t"))
+    t = docs.select(T.index_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("dl")))
     each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("dl")))
     return t.select(F.inline(F.concat(own, each))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
@@ -47,7 +47,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """(qid, id, score), rounded to 6 places, of every document that shares a term with the query.
 
     The texts are read twice: for the terms' statistics, and for the queries' terms, which alone are counted and
-    shuffled. Up to MOST_TERMS query terms are broadcast to filter where texts are read; more are joined.
+    shuffled. Up to MOST_TERMS query terms are broadcast, to filter where texts are read and to meet the counts; more
+    are joined by a shuffle.
     idf_cap keeps only so many terms of each query, those of the highest idf.
     """
     corpus = corpus_terms(docs, text_col)
@@ -62,7 +63,13 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
         names = F.broadcast(names)
     d = docs.select(F.col(id_col).alias("id"), T.index_tokens(F.col(text_col)).alias("t"))
     posts = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(names, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    hit = posts.join(terms, "term").crossJoin(F.broadcast(avgdl))
+    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
+    return summed(posts.join(terms, "term").crossJoin(F.broadcast(avgdl)))
+
+
+def summed(hit: DataFrame) -> DataFrame:
+    """(qid, id, score) of postings (id, tf, dl) that were hit by (qid, qtf, idf), with avgdl."""
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 

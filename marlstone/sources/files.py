@@ -44,11 +44,6 @@ def pdf_files(spark: SparkSession, path: str, most: int = 20 << 20) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).where(F.col("length") <= most)
 
 
-def write_postings(posts: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings partitioned by a hash of the term: a query reads only its terms' partitions."""
-    posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
 def manifest(docs: DataFrame, *columns: str) -> DataFrame:
     """(field, value, n) counts by each column, in one pass over the data."""
     parts = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns)))
