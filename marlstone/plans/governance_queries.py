@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from marlstone.functions import text as T
 from marlstone.operators import evaluate as E
 from marlstone.operators import governance as G
 from marlstone.operators import retrieval as R
+from marlstone.operators import second_pass as S
 from marlstone.plans.retrieval_queries import _bm25, _scored, _t, _top
 
 # Metadata of retrieved documents by numbers of theirs, in SQL that both engines read.
@@ -36,10 +39,10 @@ ITEMS = [
 ]
 
 
-def _meta(spark, d) -> DataFrame:
-    """The top 20 of each query with the metadata of a governed source."""
+def _meta(spark, d, top: DataFrame | None = None) -> DataFrame:
+    """The top 20 of each query, or the given ranking, with the metadata of a governed source."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    m = R.ranked(_scored(spark, d), 20).join(docs, "id").selectExpr("qid", "id", "score", "rank", "source", "lang", *(f"{e} AS {n}" for n, e in META))
+    m = (R.ranked(_scored(spark, d), 20) if top is None else top).join(docs, "id").selectExpr("qid", "id", "score", "rank", "source", "lang", *(f"{e} AS {n}" for n, e in META))
     return m.withColumn("tier", G.authority_tier(*(F.col(c) for c in ("url", "title", "file_name", "document_type", "category", "chunk_type"))))
 
 
@@ -62,6 +65,30 @@ def governance_summary(spark, d):
     return G.governed(_meta(spark, d))[1]
 
 
+LABELS = "CASE item_id % 3 WHEN 0 THEN 'pricing' WHEN 1 THEN 'cards' ELSE '' END"
+
+
+def _recovered(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The second search fuses BM25 with BM25 on the four rarest terms."""
+    docs = _t(spark, d, "documents")
+    sparse, dense = S.weights(0.4, 0.6)
+
+    def search(asked: DataFrame, k: int) -> DataFrame:
+        lists = [R.ranked(R.bm25(docs, asked, q_id="qid", idf_cap=cap), k) for cap in (None, 4)]
+        return _meta(spark, d, R.ranked(R.rrf(list(zip(lists, (sparse, dense)))), k))
+
+    queries = _t(spark, d, "benchmark").selectExpr("item_id AS qid", "text", f"array({LABELS}) AS labels")
+    return S.recovered(_meta(spark, d), queries, search)
+
+
+def governance_recovery(spark, d):
+    return _recovered(spark, d)[0].select("qid", "id", "tier", "recovery", F.col("final_rank").cast("int").alias("final_rank"))
+
+
+def governance_recovery_summary(spark, d):
+    return _recovered(spark, d)[1].select("qid", "n_in", "n_kept", "n_out", "collapsed", "n_added", "n_final", "strategy", "collapse_left")
+
+
 def _items(spark, d) -> DataFrame:
     c = _t(spark, d, "conversations").where("role = 'assistant'").selectExpr("conv_id", "turn", "text", "CAST(conv_id * 7 + turn AS BIGINT) AS n")
     end = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("n") % len(ENDINGS)).cast("int"))
@@ -87,7 +114,7 @@ def answer_summary(spark, d):
     return E.report_summary(E.item_metrics(_items(spark, d)), "category")
 
 
-QUERIES = {f.__name__: f for f in (authority_tiers, governance_suppression, governance_chain, governance_summary, answer_metrics, answer_summary)}
+QUERIES = {f.__name__: f for f in (authority_tiers, governance_suppression, governance_chain, governance_summary, governance_recovery, governance_recovery_summary, answer_metrics, answer_summary)}
 
 
 def _has(x, terms):
@@ -137,7 +164,31 @@ CASE WHEN max_chars IS NOT NULL OR forbid_json THEN NOT (coalesce(forbid_json AN
 items AS (SELECT *, CASE WHEN status_code >= 500 THEN 'api_error' WHEN ambiguity_right = false THEN 'ambiguity_miss' WHEN refusal_right = false THEN 'unsupported_answer' WHEN format_right = false THEN 'format_mismatch' WHEN behaviour = 'direct_answer' AND ((requires_sources AND NOT src) OR precision = 0.0) THEN 'missing_retrieval'
 WHEN unexpected <> '' AND regexp_matches(lower(unexpected), 'archiv|2020|2018') THEN 'stale_pricing' WHEN unexpected <> '' THEN 'wrong_product_routing' WHEN price_right = false AND subcategory = 'pricing' THEN 'stale_pricing' WHEN price_right = false THEN 'format_mismatch' WHEN hallucination THEN 'hallucination' WHEN grounding < least_grounding THEN 'missing_source' WHEN missing <> '' THEN 'format_mismatch' END AS failure FROM i4)"""
 
+_SUMMARY = """n AS (SELECT qid, count(*) AS n_in, count(suppressed_by) AS n_suppressed FROM sup GROUP BY 1), k AS (SELECT qid, count(*) AS n_kept FROM pri GROUP BY 1), o AS (SELECT qid, count(*) AS n_out FROM done GROUP BY 1), t AS (SELECT qid, n_in, n_suppressed, coalesce(n_kept, 0) AS n_kept, coalesce(n_out, 0) AS n_out FROM n LEFT JOIN k USING (qid) LEFT JOIN o USING (qid)), c AS (SELECT *, n_suppressed::DOUBLE / n_in > 0.5 OR n_kept < 3 OR n_out < 3 AS collapsed FROM t)"""
+
+
+def _again(sql: str) -> str:
+    """The governance tables once more, under names of the second search."""
+    return re.sub(r"\b(m0|m1|meta|firsts|sup|lin|pri|fold|done)\b(?!')", r"\g<1>2", sql)
+
+
+_WIDER = "trim(concat_ws(' ', text, array_to_string(list_filter(list_concat({base}, CASE l {cases} ELSE [] END), lambda t: NOT contains(lower(text), lower(t)))[1:8], ' ')))".format(base=[*S.BASE_TERMS], cases=" ".join(f"WHEN '{k}' THEN {[*v]}" for k, v in S.LABEL_TERMS.items()))
+_CTES = _CHAIN[len(_bm25()) + 2 :]
+_FUSED = f"(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(p), 6) AS score FROM (SELECT qid, id, 0.55::DOUBLE / (60 + rank) AS p FROM {_top(40, 'scoredc')} UNION ALL SELECT qid, id, 0.45::DOUBLE / (60 + rank) FROM {_top(40, 'scorede')}) GROUP BY qid, id) QUALIFY rank <= 40)"
+_SECOND = f"""{_CHAIN}, {_SUMMARY}, asked AS (SELECT item_id, {_WIDER} AS text FROM (SELECT item_id, text, {LABELS} AS l FROM benchmark) JOIN c ON c.qid = item_id WHERE collapsed),
+{_bm25(None, 'c').replace('benchmark', 'asked')}, {_bm25(4, 'e').replace('benchmark', 'asked')}, {_again(_CTES.replace(_top(20), _FUSED))},
+known AS (SELECT DISTINCT qid, family FROM (SELECT m.qid, m.family, m.archived FROM meta m WHERE m.rank <= 12 UNION ALL SELECT m.qid, m.family, m.archived FROM done d JOIN meta m USING (qid, id)) WHERE NOT archived AND coalesce(family, '') <> ''),
+p1 AS (SELECT d.qid, d.id, d.final_rank, m.family, m.document, m.tier, m.tier NOT IN {S.OLD_TIERS!r} AND NOT m.archived AS cur, EXISTS (SELECT 1 FROM known k WHERE k.qid = d.qid AND k.family = m.family) AS kn FROM done2 d JOIN meta2 m USING (qid, id)),
+p2 AS (SELECT * FROM p1 QUALIFY cur OR NOT bool_or(cur) OVER (PARTITION BY qid)), p3 AS (SELECT * FROM p2 QUALIFY kn OR NOT bool_or(kn) OVER (PARTITION BY qid)),
+p4 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_rank, id) AS nr FROM p3 WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.qid = p3.qid AND d.id = p3.id) QUALIFY nr <= 2),
+mer AS (SELECT d.qid, d.id, d.final_rank AS rank, m.document, m.family, m.tier, false AS recovery FROM done d JOIN meta m USING (qid, id) UNION ALL SELECT p4.qid, p4.id, coalesce((SELECT max(final_rank) FROM done d WHERE d.qid = p4.qid), 0) + nr, document, family, tier, true FROM p4),
+fold3 AS (SELECT qid, 0::BIGINT AS pos, []::BIGINT[] AS ids, []::VARCHAR[] AS docs, []::VARCHAR[] AS fams FROM (SELECT DISTINCT qid FROM mer JOIN c USING (qid) WHERE collapsed) UNION ALL SELECT qid, rank, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(docs, document) ELSE docs END, CASE WHEN ok THEN list_append(fams, family) ELSE fams END FROM (SELECT f.*, p.id, p.rank, p.document, p.family, len(f.ids) < 3 OR (len(list_filter(f.docs, lambda x: x = p.document)) < 2 AND len(list_filter(f.fams, lambda x: x = p.family)) < 3) AS ok FROM fold3 f JOIN mer p ON p.qid = f.qid AND p.rank = f.pos + 1)),
+fin AS (SELECT d.qid, d.id, d.final_rank FROM done d JOIN c USING (qid) WHERE NOT collapsed UNION ALL SELECT qid, unnest(ids), unnest(range(1, len(ids) + 1))::INT FROM (SELECT * FROM fold3 QUALIFY pos = max(pos) OVER (PARTITION BY qid))),
+sm AS (SELECT c.*, CASE WHEN collapsed THEN (SELECT count(*) FROM p4 WHERE p4.qid = c.qid) ELSE 0 END AS n_added, (SELECT count(*) FROM fin WHERE fin.qid = c.qid) AS n_final FROM c)"""
+
 ORACLE_SQL = {
+    "governance_recovery": f"WITH RECURSIVE {_SECOND} SELECT fin.qid, fin.id, mer.tier, mer.recovery, fin.final_rank FROM fin JOIN mer USING (qid, id)",
+    "governance_recovery_summary": f"WITH RECURSIVE {_SECOND} SELECT qid, n_in, n_kept, n_out, collapsed, n_added, n_final, CASE WHEN n_added > 0 THEN 'governance_recovery' WHEN collapsed THEN 'collapse_detected_no_recovery' WHEN n_out < n_kept THEN 'source_diversity_enforced' WHEN n_suppressed > 0 THEN 'governance_suppressed' ELSE 'normal_retrieval' END AS strategy, collapsed AND n_added = 0 AND n_final < 3 AS collapse_left FROM sm",
     "authority_tiers": f"WITH d AS (SELECT doc_id AS id, source, lang FROM documents), m AS (SELECT id, {', '.join(f'{e} AS {n}' for n, e in META[:6])} FROM d), t AS (SELECT *, {_TIER} AS tier FROM m) SELECT id, tier, round(least(0.30::DOUBLE, greatest(-0.30::DOUBLE, ({_case(G.AUTHORITY, 'tier')}::DOUBLE - 0.5) * 0.6::DOUBLE)), 4) AS boost, {_case(G.PRIORITY, 'tier')} AS priority, coalesce(nullif(trim(category), ''), nullif(trim(document_type), ''), nullif(trim(chunk_type), ''), tier) AS resilience_category FROM t",
     "governance_suppression": f"WITH {_GOV} SELECT qid, id, rank, tier, suppressed_by FROM sup",
     "governance_chain": f"WITH RECURSIVE {_CHAIN} SELECT done.qid, done.id, tier, final_rank FROM done JOIN meta USING (qid, id)",
