@@ -35,13 +35,3 @@ def incremental(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with new's rows in place of those with their keys: an idempotent keyed overwrite."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
-def frontier(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): breadth first over (src, dst), each node at its least depth; one anti-join a level."""
-    seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    level = seen
-    for d in range(1, depth + 1):
-        level = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(level)
-    return seen

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import quality as Q
 from marlstone.functions import text as T
+from marlstone.operators import crawl as C
 from marlstone.operators import dedup as D
 from marlstone.operators import evaluate as E
 from marlstone.sources import files, html
@@ -77,9 +78,11 @@ def page_sections(spark, d):
 
 
 def crawl_frontier(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("l"))
-    edges = p.select(F.concat(F.lit("p"), F.pmod("page_id", F.lit(40)).cast("string")).alias("src"), F.concat(F.lit("p"), F.pmod(F.length("l") * 7 + F.col("page_id"), F.lit(200)).cast("string")).alias("dst")).distinct()
-    return D.frontier(edges, spark.createDataFrame([("p0",)], "node string"), 3)
+    """From the first page of every host over the pages' own links."""
+    p = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("src"), F.explode(html.links(F.col("html"))).alias("l"))
+    edges = p.select("src", C.resolved(F.col("src"), F.col("l")).alias("dst")).where("dst IS NOT NULL").distinct()
+    seeds = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("url")).groupBy(T.url_host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    return C.frontier(edges, seeds, 3)
 
 
 def change_detection(spark, d):
@@ -170,6 +173,7 @@ from marlstone.plans.text_queries import _R, ORACLE_SQL as _TEXT, _clean  # noqa
 _SIG = r"md5(array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N} ]', '', 'g'), ' '), lambda w: w <> '')), ' '))"
 _QT = r"list_filter(list_transform(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '')"
 _LINKS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+_CANON = "(CASE WHEN trim({x}, '/') = '' THEN '/' ELSE rtrim(regexp_replace({x}, '/+', '/', 'g'), '/') END)"
 _VALUES = ", ".join(f"('{k}', '{n}', {b}::DOUBLE)" for k, n, b in BOUNDS)
 
 ORACLE_SQL = {
@@ -182,7 +186,12 @@ ORACLE_SQL = {
     "quality_audit": f"WITH s AS ({_TEXT['chunk_quality_score']}), g AS (SELECT source, floor(score * 10)::BIGINT AS bin, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY ALL) SELECT *, CASE WHEN bin >= 9 THEN 'A' WHEN bin >= 7 THEN 'B' WHEN bin >= 5 THEN 'C' ELSE 'D' END AS grade FROM g".replace("WITH s AS (WITH t AS", "WITH s AS (WITH t AS"),
     "coverage": "WITH a AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1), b AS (SELECT source, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT source, coalesce(docs, 0) AS docs, coalesce(labelled, 0) AS labelled, round(100 * coalesce(labelled, 0)::DOUBLE / docs, 2) AS percent FROM a FULL OUTER JOIN b USING (source)",
     "page_title_links": f"WITH l AS (SELECT page_id, html, {_LINKS} AS l FROM pages) SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(l)::INT AS n_links, md5(array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]), ' ')) AS links_md5 FROM l",
-    "crawl_frontier": f"WITH RECURSIVE e AS (SELECT DISTINCT 'p' || (page_id % 40)::VARCHAR AS src, 'p' || ((length(l) * 7 + page_id) % 200)::VARCHAR AS dst FROM (SELECT page_id, unnest({_LINKS}) AS l FROM pages)), f AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM f JOIN e ON e.src = f.node WHERE depth < 3) SELECT node, min(depth)::INT AS depth FROM f GROUP BY node",
+    "crawl_frontier": rf"""WITH RECURSIVE p AS (SELECT lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || {_CANON.format(x="regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")} AS src, unnest({_LINKS}) AS l FROM pages),
+a AS (SELECT DISTINCT lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || {_CANON.format(x="regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")} AS url FROM pages),
+e AS (SELECT DISTINCT src, regexp_extract(src, '^([a-z]+://[^/]*)', 1) || {_CANON.format(x="regexp_replace(l, '[?#].*$', '')")} AS dst FROM p WHERE l LIKE '/%' UNION
+  SELECT DISTINCT src, lower(regexp_extract(l, '^([a-zA-Z]+://[^/?#]*)', 1)) || {_CANON.format(x="regexp_extract(l, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")} FROM p WHERE regexp_matches(l, '^[a-zA-Z]+://.')),
+f AS (SELECT min(url) AS url, 0 AS depth FROM a GROUP BY regexp_extract(url, '^[a-z]+://([^/]*)', 1) UNION SELECT dst, depth + 1 FROM f JOIN e ON e.src = f.url WHERE depth < 3)
+SELECT url, min(depth)::INT AS depth FROM f GROUP BY url""",
     "change_detection": "WITH p AS (SELECT url, page_id, sha256(html) AS h FROM pages), o AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN '' ELSE h END AS old_h FROM p WHERE page_id % 11 <> 0) SELECT page_id, CASE WHEN old_h IS NULL THEN 'new' WHEN old_h = h THEN 'unchanged' ELSE 'changed' END AS state FROM p LEFT JOIN o USING (url)",
     "leaderboards": "SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS field, coalesce(lang, source) AS value, count(*) AS n, round(avg(quality), 6) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source))",
     "report_summary": "SELECT lang, count(*) AS n, round(avg(CASE WHEN quality IS NOT NULL THEN (quality = 1)::INT END), 6) AS pass_rate, round(avg(CASE WHEN quality IS NOT NULL THEN (toxic = 1)::INT END), 6) AS toxic_rate, round(avg(CASE WHEN length(text) > 500 THEN contains(text, chr(10))::INT END), 6) AS multiline_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",

@@ -68,6 +68,10 @@ def governance_summary(spark, d):
 LABELS = "CASE item_id % 3 WHEN 0 THEN 'pricing' WHEN 1 THEN 'cards' ELSE '' END"
 
 
+#: Candidates of the first search, so few that governance leaves some queries with too little.
+FIRST = 5
+
+
 def _recovered(spark, d) -> tuple[DataFrame, DataFrame]:
     """The second search fuses BM25 with BM25 on the four rarest terms."""
     docs = _t(spark, d, "documents")
@@ -78,7 +82,7 @@ def _recovered(spark, d) -> tuple[DataFrame, DataFrame]:
         return _meta(spark, d, R.ranked(R.rrf(list(zip(lists, (sparse, dense)))), k))
 
     queries = _t(spark, d, "benchmark").selectExpr("item_id AS qid", "text", f"array({LABELS}) AS labels")
-    return S.recovered(_meta(spark, d), queries, search)
+    return S.recovered(_meta(spark, d, R.ranked(_scored(spark, d), FIRST)), queries, search, FIRST)
 
 
 def governance_recovery(spark, d):
@@ -174,8 +178,8 @@ def _again(sql: str) -> str:
 
 _WIDER = "trim(concat_ws(' ', text, array_to_string(list_filter(list_concat({base}, CASE l {cases} ELSE [] END), lambda t: NOT contains(lower(text), lower(t)))[1:8], ' ')))".format(base=[*S.BASE_TERMS], cases=" ".join(f"WHEN '{k}' THEN {[*v]}" for k, v in S.LABEL_TERMS.items()))
 _CTES = _CHAIN[len(_bm25()) + 2 :]
-_FUSED = f"(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(p), 6) AS score FROM (SELECT qid, id, 0.55::DOUBLE / (60 + rank) AS p FROM {_top(40, 'scoredc')} UNION ALL SELECT qid, id, 0.45::DOUBLE / (60 + rank) FROM {_top(40, 'scorede')}) GROUP BY qid, id) QUALIFY rank <= 40)"
-_SECOND = f"""{_CHAIN}, {_SUMMARY}, asked AS (SELECT item_id, {_WIDER} AS text FROM (SELECT item_id, text, {LABELS} AS l FROM benchmark) JOIN c ON c.qid = item_id WHERE collapsed),
+_FUSED = f"(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(p), 6) AS score FROM (SELECT qid, id, 0.55::DOUBLE / (60 + rank) AS p FROM {_top(12, 'scoredc')} UNION ALL SELECT qid, id, 0.45::DOUBLE / (60 + rank) FROM {_top(12, 'scorede')}) GROUP BY qid, id) QUALIFY rank <= 12)"
+_SECOND = f"""{_CHAIN.replace(_top(20), _top(FIRST))}, {_SUMMARY}, asked AS (SELECT item_id, {_WIDER} AS text FROM (SELECT item_id, text, {LABELS} AS l FROM benchmark) JOIN c ON c.qid = item_id WHERE collapsed),
 {_bm25(None, 'c').replace('benchmark', 'asked')}, {_bm25(4, 'e').replace('benchmark', 'asked')}, {_again(_CTES.replace(_top(20), _FUSED))},
 known AS (SELECT DISTINCT qid, family FROM (SELECT m.qid, m.family, m.archived FROM meta m WHERE m.rank <= 12 UNION ALL SELECT m.qid, m.family, m.archived FROM done d JOIN meta m USING (qid, id)) WHERE NOT archived AND coalesce(family, '') <> ''),
 p1 AS (SELECT d.qid, d.id, d.final_rank, m.family, m.document, m.tier, m.tier NOT IN {S.OLD_TIERS!r} AND NOT m.archived AS cur, EXISTS (SELECT 1 FROM known k WHERE k.qid = d.qid AND k.family = m.family) AS kn FROM done2 d JOIN meta2 m USING (qid, id)),
