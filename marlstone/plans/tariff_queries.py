@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from marlstone.functions import pricing as P
 from marlstone.functions import tables as B
 from marlstone.functions import text as T
+from marlstone.functions import quality as Q
+from marlstone.operators import price_filter as X
 from marlstone.operators import tariffs as O
+from marlstone.plans import text_queries
+from marlstone.streaming.folders import new_folder
 
 # Texts of tariff rows by numbers of lineitem, in SQL that both engines read.
 _Q = "CAST(CAST(l_quantity AS INT) AS STRING)"
@@ -52,6 +56,33 @@ def price_texts(spark, d):
     return _rows(spark, d).select("order_id", "line", P.fee_label(c["fee"]).alias("label"), P.value_with_period(c["value"], c["period"]).alias("shown"), P.product_name(c["product"]).alias("product"), P.fee_value(line).alias("fee_value"), P.blacklisted(c["fee"], c["product"], c["conditions"]).alias("blacklisted"))
 
 
+# Price rows to be checked, by numbers of lineitem: values, headers and texts that each rule rejects are among them.
+CHECKED = [
+    ("order_id", "l_orderkey"), ("line", "l_linenumber"), ("part", "l_partkey"), ("product_name", "CASE l_partkey % 11 WHEN 0 THEN 'Sloupec 3' WHEN 1 THEN 'vedení účtu' WHEN 2 THEN CAST(NULL AS STRING) WHEN 3 THEN 'a b c d e f g h' ELSE concat('Aktivní účet ', CAST(l_partkey % 7 AS STRING)) END"),
+    ("fee_type", "CASE l_suppkey % 9 WHEN 0 THEN 'Poplatek' WHEN 1 THEN ' Vedení účtu ' WHEN 2 THEN 'ok' WHEN 3 THEN 'Výběr 25 Kč z bankomatu' WHEN 4 THEN 'PPoojjiiššttěěnníí kkaarrttyy' WHEN 5 THEN 'Příchozí platba' ELSE 'Expresní platba v eurech' END"),
+    ("fee_value", VALUE), ("currency", "CASE l_linenumber % 4 WHEN 0 THEN 'CZK' WHEN 1 THEN CAST(NULL AS STRING) ELSE '' END"), ("period", PERIOD), ("conditions", CONDITIONS), ("confidence", "CASE l_partkey % 13 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN CAST(NULL AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END"),
+]
+
+
+def _checked(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(*(f"{e} AS {n}" for n, e in CHECKED))
+
+
+def price_rows(spark, d):
+    return X.with_reason(_checked(spark, d)).select("order_id", "line", "part", "fee_value", "amount", "currency", "period", "reason")
+
+
+def price_row_counters(spark, d):
+    return X.with_reason(_checked(spark, d)).agg(*X.counters(F.col("reason")))
+
+
+def price_row_audit(spark, d):
+    """The rejected rows' file, read again; the counters were observed while writing."""
+    folder = new_folder(spark, "price-rows")
+    X.write_filtered(_checked(spark, d), folder)
+    return spark.read.schema("reason string, fee_type string, product_name string").json(f"{folder}/rejected").groupBy("reason", "fee_type", "product_name").count()
+
+
 def _parsed(spark, d) -> DataFrame:
     return B.markdown_cells(_tables(spark, d), "markdown")
 
@@ -76,7 +107,7 @@ def tables_to_markdown(spark, d):
     return t.select("order_id", B.table_markdown(cells).alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (price_normalize, price_conditional, price_texts, tariff_table_rows, tariff_price_rows, tables_to_markdown)}
+QUERIES = {f.__name__: f for f in (price_normalize, price_rows, price_row_counters, price_row_audit, price_conditional, price_texts, tariff_table_rows, tariff_price_rows, tables_to_markdown)}
 
 
 def _fold(x):
@@ -176,3 +207,25 @@ s AS (SELECT order_id, string_agg(CASE WHEN n IN (2, 6) THEN r[1] ELSE array_to_
 o AS (SELECT DISTINCT l_orderkey AS order_id FROM lineitem)
 SELECT order_id, 'Položka | Cena | Četnost' || chr(10) || '--- | --- | ---' || coalesce(chr(10) || shown, '') || coalesce(chr(10) || chr(10) || notes, '') AS markdown FROM o LEFT JOIN s USING (order_id)""",
 }
+
+_RULES = {k: text_queries._rules(k) for k in ("fee", "product", "every")}
+_SHARE = f"len(list_filter(list_distinct(regexp_extract_all(lower(fee || ' ' || product), '[\\p{{L}}\\p{{N}}_]+')), lambda w: list_contains({[*Q.VOCABULARY]}, w)))::DOUBLE / greatest(len(list_distinct(regexp_extract_all(lower(fee || ' ' || product), '[\\p{{L}}\\p{{N}}_]+'))), 1)"
+_p = lambda p: p.replace("(?iu)", "(?i)")
+_ANY = "(" + " OR ".join(f"contains(lower(line_text), '{t}')" for t in X.MONTHLY) + ")"
+_REASONS = f"""x0 AS (SELECT {', '.join(f'{e} AS {n}' for n, e in CHECKED)} FROM lineitem),
+x1 AS (SELECT *, trim(coalesce(fee_type, '')) AS fee, trim(coalesce(product_name, '')) AS product, trim(coalesce(fee_value, '')) AS value, coalesce(fee_value, '') || ' ' || coalesce(fee_type, '') || ' ' || coalesce(conditions, '') AS line_text FROM x0),
+x2 AS (SELECT * EXCLUDE (currency, period), fee || ' ' || product || ' ' || value AS every,
+  CASE WHEN regexp_matches(value, '{_p(X.INCLUDED)}') THEN '0' ELSE replace(regexp_extract(value, '{X.NUMBER}', 1), ' ', '') END AS amount,
+  coalesce(nullif(trim(coalesce(currency, '')), ''), CASE WHEN regexp_matches(value, '{_p(X.CROWNS)}') THEN 'CZK' WHEN regexp_matches(value, '{_p(X.EUROS)}') THEN 'EUR' ELSE '' END) AS currency,
+  CASE WHEN trim(coalesce(period, '')) <> '' THEN trim(period) WHEN regexp_matches(line_text, '{_p(X.PERIOD)}') THEN regexp_extract(line_text, '({_p(X.PERIOD)})', 1) WHEN {_ANY} THEN 'měsíčně' ELSE '' END AS period FROM x1),
+x AS (SELECT *, CASE WHEN regexp_matches(lower(fee), '{_p(X.HEADER)}') OR regexp_matches(lower(product), '{_p(X.COLUMN_ONLY)}') THEN 'header_artifact'
+  WHEN length(fee) < 3 OR length(product) < 3 OR coalesce(fee_value, '') = '' THEN 'missing_fields'
+  WHEN regexp_matches(fee, '{_p(X.PRICE)}') OR length(fee) > 100 OR regexp_matches(product, '{_p(X.COLUMN)}') THEN 'merged_column'
+  WHEN {_RULES['every']['marks']} THEN 'broken_unicode' WHEN {_RULES['fee']['garbage']} OR (length(product) > 12 AND {_RULES['product']['garbage']}) OR {_RULES['every']['garbage']} THEN 'garbage_text'
+  WHEN NOT regexp_matches(value, '{_p(X.PRICE)}') AND {_SHARE} < 0.05 THEN 'missing_pricing_value' WHEN coalesce(confidence, 0) < 0.70 THEN 'low_confidence'
+  WHEN product = '' OR regexp_matches(product, '{_p(X.GENERIC)}') OR lower(product) = lower(fee) OR starts_with(lower(product), 'sloupec ') THEN 'orphan_product_context'
+  WHEN amount = '' THEN 'missing_amount' WHEN lower(value) NOT IN {X.FREE!r} AND currency = '' THEN 'missing_currency' WHEN lower(value) NOT IN {X.FREE!r} AND period = '' THEN 'missing_period' END AS reason FROM x2)"""
+ORACLE_SQL |= {
+    "price_rows": f"WITH {_REASONS} SELECT order_id, line, part, fee_value, amount, currency, period, reason FROM x",
+    "price_row_counters": f"WITH {_REASONS} SELECT count(*) AS total_input, count(*) FILTER (reason IS NULL) AS valid_output, {', '.join(f'count(*) FILTER (reason IN {rs!r}) AS filtered_{n}' if len(rs) > 1 else f'count(*) FILTER (reason = {rs[0]!r}) AS filtered_{n}' for n, rs in X.COUNTERS.items())}, count(*) FILTER (reason NOT IN {tuple(r for rs in X.COUNTERS.values() for r in rs)!r}) AS filtered_other FROM x",
+}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import price as P
 from marlstone.functions import quality as Q
 from marlstone.functions import text as T
 from marlstone.operators import chunk as C
@@ -14,11 +13,6 @@ BAN, WANT = ("blog", "news", "en"), ("product", "th", "re")
 CATEGORIES = [("license", ("license", "copyright")), ("contact", ("@", "http")), ("code", ("</", "{", "| "))]
 VOCABULARY = ("the", "of", "and", "der", "und", "les", "que", "limit", "produkt")
 REPLACEMENTS = [("the", "th"), ("th", "t"), ("der", "die"), ("que", "k")]
-PRICES = [
-    ("Basic", "monthly maintenance", "free", "CZK", "monthly"), ("Basic", "withdrawal", "25 CZK", "CZK", ""), ("Plus", "annual fee", "1 200,50 Kč per year", "CZK", ""),
-    ("Plus", "transfer", "EUR 5", "EUR", "per_use"), ("", "transfer", "10 CZK", "CZK", ""), ("Gold", "fee", "value", "", ""), ("Gold", "management", "99 CZK monthly if balance under 500", "CZK", "monthly"),
-    ("Gold", "opening", "no charge", "", ""), ("Gold", "note", "see branch", "", ""), ("Gold", "", "12 CZK", "CZK", ""), ("Gold", "cash", "12.000 CZK", "CZK", "yearly"),
-]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -98,13 +92,7 @@ def url_normalize(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.url_host(u).alias("host"), T.normal_url(u).alias("plain"), T.normal_url(u, True).alias("with_query"), T.url_slug(u).alias("slug"), T.display_url(u).alias("display"), T.has_segment(u, WANT, BAN).alias("product_url"))
 
 
-def price_rows(spark, d):
-    df = spark.createDataFrame(PRICES, "product string, fee string, value string, unit string, per string")
-    conf = P.row_confidence(*(F.col(c) for c in ("product", "fee", "value", "unit", "per")))
-    return df.select("product", "fee", "value", P.amount(F.col("value")).alias("amount"), P.currency(F.col("value")).alias("currency"), P.period(F.col("value"), F.col("fee")).alias("period"), P.label(F.col("value")).alias("label"), conf.alias("confidence"), P.reject_reason(F.col("product"), F.col("fee"), F.col("value"), conf).alias("reason"))
-
-
-QUERIES = {f.__name__: f for f in (text_clean, cache_keys, tokenize, hash_ids, approx_tokens_limit, document_dates, quality_flags, chunk_quality_score, garbage_text, chunk_garbage, ocr_quality, categories, fixed_window_chunks, recursive_chunks, url_normalize, price_rows)}
+QUERIES = {f.__name__: f for f in (text_clean, cache_keys, tokenize, hash_ids, approx_tokens_limit, document_dates, quality_flags, chunk_quality_score, garbage_text, chunk_garbage, ocr_quality, categories, fixed_window_chunks, recursive_chunks, url_normalize)}
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')".replace(r"\t", "\t").replace(r"\n", "\n")
 _HYPHEN = "regexp_replace({x}, '([\\p{{L}}\\p{{N}}_]+)-\n([\\p{{L}}\\p{{N}}_]+)', '\\1\\2', 'g')"
@@ -194,10 +182,6 @@ def _date(p: str, y: int, m: int, d: int) -> str:
     return f"CASE WHEN {part(m)} BETWEEN 1 AND 12 AND {part(d)} BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02d', {part(y)}, {part(m)}, {part(d)}) END"
 
 
-_VALUES = ", ".join("(" + ", ".join("'" + c + "'" for c in r) + ")" for r in PRICES)
-_AMOUNT = f"CASE WHEN regexp_matches(value, '{P.FREE}') THEN 0.0 WHEN regexp_extract(value, '{P.NUMBER}', 1) <> '' THEN replace(regexp_replace(regexp_extract(value, '{P.NUMBER}', 1), '[ .]', '', 'g'), ',', '.')::DOUBLE END"
-_CUR = f"CASE WHEN regexp_matches(value, '(?i)czk|kč') OR regexp_matches(value, '{P.FREE}') THEN 'CZK' WHEN regexp_matches(value, '(?i)eur|€') THEN 'EUR' ELSE '' END"
-_CONF = "0.25 * (product <> '')::INT + 0.25 * (fee <> '')::INT + 0.25 * (value <> '')::INT + 0.15 * (unit <> '')::INT + 0.10 * (per <> '')::INT"
 
 ORACLE_SQL = {
     "text_clean": f"SELECT doc_id, md5({_clean('text')}) AS cleaned, md5({_HYPHEN.format(x='text')}) AS hyphens, md5({_clean(_boiler(_HYPHEN.format(x='text')))}) AS parsed, md5({_clean(_boiler('translate(text, chr(8203) || chr(173), ' + chr(39) * 2 + ')'))}) AS web, md5({_FOLD.format(x='text')}) AS folded FROM documents",
@@ -221,5 +205,4 @@ array_to_string(list_filter([CASE WHEN n = 0 THEN 'empty_file' END, CASE WHEN le
     "categories": "SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {t!r})' for t in terms)} THEN '{n}'" for n, terms in CATEGORIES) + " ELSE 'general' END AS category FROM documents",
     "fixed_window_chunks": "WITH t AS (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0)::INT))) AS i FROM documents) SELECT doc_id, i::INT AS chunk_index, length(substr(text, i::INT * 800 + 1, 1000))::INT AS n_chars, md5(substr(text, i::INT * 800 + 1, 1000)) AS chunk_md5 FROM t",
     "url_normalize": rf"SELECT page_id, {_HOST} AS host, {_NORMAL} AS plain, {_NORMAL} || regexp_extract(url, '(\?[^#]*)', 1) AS with_query, substr(regexp_replace(lower(regexp_replace(url, '^[a-zA-Z]+://', '')), '[^a-z0-9]+', '-', 'g'), 1, 120) || '-' || substr(sha256(url), 1, 10) AS slug, substr(array_to_string(list_concat([{_HOST}], list_slice({_PARTS}, greatest(1, len({_PARTS}) - 1), len({_PARTS}))), '/'), 1, 60) AS display, len(list_filter(string_split(lower({_PATH}), '/'), lambda s: {_any(WANT)})) > 0 AND len(list_filter(string_split(lower({_PATH}), '/'), lambda s: {_any(BAN)})) = 0 AS product_url FROM pages",
-    "price_rows": rf"WITH v(product, fee, value, unit, per) AS (VALUES {_VALUES}), t AS (SELECT *, {_AMOUNT} AS amount, {_CUR} AS currency, round(greatest(0.0, CASE WHEN {_CONF} < 0.5 THEN {_CONF} - 0.40 ELSE {_CONF} END), 4)::DOUBLE AS confidence FROM v) SELECT product, fee, value, amount, currency, CASE WHEN regexp_matches(value, '(?i)year|annual') THEN 'yearly' WHEN regexp_matches(value, '(?i)month') THEN 'monthly' WHEN regexp_matches(lower(fee), 'maintenance|management') THEN 'monthly' WHEN regexp_matches(lower(fee), 'withdrawal|payment|transfer') THEN 'per_use' ELSE '' END AS period, CASE WHEN regexp_matches(value, '(?i)\bif\b|provided|condition') THEN 'conditional' WHEN regexp_matches(value, '{P.FREE}') THEN 'free' WHEN regexp_extract(value, '{P.NUMBER}', 1) <> '' THEN 'amount' ELSE 'unknown' END AS label, confidence, CASE WHEN lower(fee) IN ('fee', 'price', 'item') AND lower(value) IN ('value', 'price', 'amount') THEN 'header_artifact' WHEN trim(fee) = '' OR trim(value) = '' THEN 'missing_fields' WHEN length(fee) > 160 THEN 'merged_column' WHEN NOT regexp_matches(value, '{P.FREE}') AND regexp_extract(value, '{P.NUMBER}', 1) = '' THEN 'missing_pricing_value' WHEN confidence < 0.70 THEN 'low_confidence' WHEN trim(product) = '' THEN 'orphan_product_context' WHEN amount IS NULL THEN 'missing_amount' WHEN currency = '' THEN 'missing_currency' END AS reason FROM t",
 }

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import price as P
 from marlstone.functions import quality as Q
 from marlstone.functions import text as T
+from marlstone.operators import price_filter as P
 
 
 def one(spark, fn, *values):
@@ -41,10 +41,28 @@ def test_urls(spark):
     assert one(spark, T.display_url, "https://ex.com/a/b/c") == ["ex.com/b/c"]
 
 
-def test_prices(spark):
-    assert one(spark, P.amount, "free", "1 200,50 Kč", "12.000 CZK", "see branch") == [0.0, 1200.5, 12000.0, None]
-    assert one(spark, P.currency, "free", "5 EUR", "none") == ["CZK", "EUR", ""]
-    assert one(spark, P.label, "free if active", "no charge", "25 CZK", "ask") == ["conditional", "free", "amount", "unknown"]
+ROW = {"product_name": "Aktivní účet", "fee_type": "Vedení účtu", "fee_value": "99 Kč", "currency": "CZK", "period": "měsíčně", "conditions": "", "confidence": 0.9}
+REASONS = [
+    ({}, None), ({"fee_type": "Název položky"}, "header_artifact"), ({"product_name": "Sloupec 2"}, "header_artifact"), ({"fee_type": ""}, "missing_fields"), ({"fee_value": None}, "missing_fields"),
+    ({"fee_type": "Výběr 25 Kč"}, "merged_column"), ({"fee_type": "x" * 101}, "merged_column"), ({"product_name": "sloupec 2 dále"}, "merged_column"), ({"product_name": "Aktivní \ue000 účet"}, "broken_unicode"),
+    ({"fee_type": "PPoojjiiššttěěnníí"}, "garbage_text"), ({"fee_type": "Odlišné jméno", "product_name": "Neznámý název", "fee_value": "viz tam"}, "missing_pricing_value"), ({"confidence": 0.69}, "low_confidence"), ({"confidence": None}, "low_confidence"),
+    ({"product_name": "vedení účtu"}, "orphan_product_context"), ({"fee_value": "viz pobočka"}, "missing_amount"), ({"fee_value": "5 %", "currency": ""}, "missing_currency"),
+    ({"fee_type": "Výběr z bankomatu", "period": ""}, "missing_period"), ({"fee_type": "Výběr z bankomatu", "period": None, "fee_value": "Zdarma", "currency": None}, None), ({"period": ""}, None), ({"fee_value": "1 200 EUR 5 %", "currency": " "}, None),
+]
+
+
+def test_price_rows_and_their_files(spark, tmp_path):
+    rows = [ROW | change for change, _ in REASONS]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "product_name string, fee_type string, fee_value string, currency string, period string, conditions string, confidence double").coalesce(1)
+    assert [r.reason for r in P.with_reason(df).collect()] == [x for _, x in REASONS]
+    n = P.write_filtered(df, str(tmp_path))
+    lost = [x for _, x in REASONS if x]
+    assert n["total_input"] == len(rows) and n["valid_output"] == len(rows) - len(lost) == spark.read.json(f"{tmp_path}/valid").count()
+    assert sorted(r.reason for r in spark.read.json(f"{tmp_path}/rejected").collect()) == sorted(lost)
+    named = {"garbage_ocr": ("garbage_text", "merged_column"), "header_artifact": ("header_artifact",), "broken_unicode": ("broken_unicode",), "low_confidence": ("low_confidence",)}
+    want = {k: sum(x in v for x in lost) for k, v in named.items()}
+    assert {k: n[f"filtered_{k}"] for k in want} == want and n["filtered_missing_fields"] == len(lost) - sum(want.values()) and len(n) == 13
+    assert n["filtered_other"] == n["filtered_scrambled"] == 0
 
 
 def test_noise(spark):
