@@ -124,9 +124,10 @@ def _present(named: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda r: r.isNotNull())
 
 
-def ocr_issues(x: Column) -> tuple[Column, Column]:
+def ocr_issues(x: Column, engine: Column | None = None) -> tuple[Column, Column]:
     """(score, issues) of text from a scan: 1 less 0.35 (short), 0.25 (ten equal characters in a row), 0.20 (few blanks),
-    0.30 (few letters and digits), 0.20 (many single characters); 0 and empty_output without text."""
+    0.30 (few letters and digits), 0.20 (many single characters) and 0.25 (a low confidence of the engine, if it gives
+    one); 0 and empty_output without text."""
     t = stripped(F.coalesce(x, F.lit("")))
     n, w = F.length(t), word_list(t)
     one = F.filter(w, lambda v: F.length(F.regexp_replace(v, r"^[.,;:()\[\]{}|]+|[.,;:()\[\]{}|]+$", "")) == 1)
@@ -134,6 +135,8 @@ def ocr_issues(x: Column) -> tuple[Column, Column]:
         ("too_short", n < SHORT_SCAN, 0.35), ("repeated_single_chars", t.rlike(r"(?iu)([^\n\r])\1{9,}"), 0.25), ("few_or_no_spaces", (_share(t, r"\s") < 0.03) & (n > 100), 0.20),
         ("mostly_non_alphanumeric", 1 - _share(t, r"[\p{L}\p{N}]") > 0.55, 0.30), ("many_single_character_tokens", (F.size(w) > 20) & (F.size(one) / F.greatest(F.size(w), F.lit(1)) > 0.35), 0.20),
     ]
+    if engine is not None:
+        rules.append(("low_engine_confidence", F.coalesce(engine < LEAST_OCR, F.lit(False)), 0.25))
     s = F.lit(1.0)
     for _, c, cost in rules:
         s = s - F.when(c, F.lit(cost)).otherwise(F.lit(0.0))

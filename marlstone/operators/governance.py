@@ -30,7 +30,7 @@ CURRENT = ("aktuáln", "současn", "soucasn", "nový ceník", "novy cenik", "202
 SUPPORT_CATEGORIES, PRODUCT_CATEGORIES = ("support", "faq", "help"), ("retail", "accounts", "cards", "payments", "mortgages", "investments")
 CURRENT_TIERS = ("product_page", "current_pricing", "faq_support_page", "current_pdf")
 BLOCKED_PARTS = ("/podnikatele/", "/firmy/", "/private-banking/")
-FAMILY_KEYS = ("file_name", "url", "title", "document_family")
+FAMILY_KEYS = ("file_name", "source_url", "url", "title", "document_family")
 
 
 def authority_tier(url: Column, title: Column, file_name: Column, document_type: Column, category: Column, chunk_type: Column) -> Column:

@@ -60,8 +60,9 @@ def archived(x: Column) -> Column:
 
 
 def answer_origin(strategy: Column) -> Column:
-    """Where an answer of that strategy comes from; an unknown strategy is a generated one."""
-    return F.coalesce(*(F.when(strategy.isin(*names), F.lit(o)) for o, names in ORIGINS), F.lit("llm_generated"))
+    """Where an answer of that strategy comes from; any direct overview is one, any other unknown strategy a generated one."""
+    named = (F.when(strategy.isin(*names), F.lit(o)) for o, names in ORIGINS)
+    return F.coalesce(*named, F.when(strategy.endswith("_overview_direct"), F.lit("overview_direct")), F.lit("llm_generated"))
 
 
 def confidence_bucket(origin: Column) -> Column:

@@ -22,7 +22,7 @@ META = [
     ("document_type", "CASE id % 4 WHEN 0 THEN 'pricing' WHEN 1 THEN 'document' WHEN 2 THEN '' ELSE CASE WHEN id % 12 = 3 THEN 'faq' ELSE 'terms' END END"),
     ("category", "CASE id % 6 WHEN 0 THEN 'retail' WHEN 1 THEN 'support' WHEN 2 THEN 'pricing_docs' WHEN 3 THEN '' ELSE lang END"),
     ("chunk_type", "CASE id % 9 WHEN 0 THEN 'table' WHEN 1 THEN 'faq' ELSE 'section_text' END"),
-    ("document_family", "CASE id % 3 WHEN 0 THEN source ELSE '' END"), ("product", "CASE id % 10 WHEN 0 THEN 'eKonto' WHEN 1 THEN 'eKonto Smart' ELSE '' END"),
+    ("source_url", "CASE id % 13 WHEN 0 THEN concat('https://example.org/', source) WHEN 1 THEN 'https://example.org' ELSE '' END"), ("document_family", "CASE id % 3 WHEN 0 THEN source ELSE '' END"), ("product", "CASE id % 10 WHEN 0 THEN 'eKonto' WHEN 1 THEN 'eKonto Smart' ELSE '' END"),
     ("archived", "id % 5 = 0"), ("generation", "id % 4"), ("year", "2018 + id % 9"), ("document", "concat(source, '/', CAST(id % 3 AS STRING))"), ("family", "concat(source, '-', CAST(id % 2 AS STRING))"),
 ]
 #: Answers of evaluated items: an assistant's turn and what follows it.

@@ -8,7 +8,7 @@ from marlstone.functions import text as T
 from marlstone.operators import records as R
 
 TITLES = ("Sazebník pro podnikatele", "Osobní účet eKonto", "Karta a výběr z bankomatu", "Hypotéka: odhad", "Všeobecné podmínky", "Časté dotazy", "Již nenabízené produkty", "Investice a fondy", "Vedení účtu zdarma", "Pojištění karet", "Výroční zpráva", "Archived notice")
-STRATEGIES = ("identity_direct", "pricing_row_direct", "generic_llm", "overview_fallback", "clarification_direct", "fallback_no_answer", "soft_guidance_direct", "card_overview_direct", "guided_flow_direct", "other")
+STRATEGIES = ("identity_direct", "pricing_row_direct", "generic_llm", "overview_fallback", "clarification_direct", "fallback_no_answer", "soft_guidance_direct", "card_overview_direct", "guided_flow_direct", "key_overview_direct", "other")
 KINDS = ("table", "pdf_table", "section_text", "pricing_row")
 
 
@@ -92,7 +92,7 @@ _FOLDED = lambda x: f"list_filter(regexp_split_to_array(translate(lower({x}), '{
 _CLEANED = r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 ORACLE_SQL = {
     "document_types": f"WITH t AS (SELECT doc_id, lower({_of(TITLES, 'doc_id')} || ' ' || source) AS x FROM documents) SELECT doc_id, coalesce({', '.join(f'CASE WHEN {_has(chr(120), _W[k])} THEN {n!r} END' for k, n in R.FIRST_CATEGORIES)}, {_first('x', R.CATEGORIES, 'unknown')}) AS category, {_first('x', R.PRICING_TYPES, 'generic_pricing')} AS pricing_type, {_first('x', R.DOCUMENT_TYPES, 'document')} AS document_type, {_has('x', R.ARCHIVED)} AS archived FROM t",
-    "answer_labels": f"WITH t AS (SELECT event_id, {_of(STRATEGIES, 'event_id')} AS given, {_of(KINDS, 'event_id')} AS kind FROM events), o AS (SELECT *, CASE {' '.join(f'WHEN given IN ({', '.join(repr(n) for n in names)}) THEN {k!r}' for k, names in R.ORIGINS)} ELSE 'llm_generated' END AS origin FROM t) SELECT event_id, given, origin, CASE WHEN origin IN {R.HIGH!r} THEN 'high' WHEN origin = 'unsupported' THEN 'low' ELSE 'medium' END AS bucket, given IN {R.DEGRADED!r} AS degraded, CASE WHEN event_id % 9 = 0 THEN 'pricing_row_direct' WHEN event_id % 3 > 0 AND event_id % 5 < 3 AND kind IN ('table', 'pdf_table') THEN 'pricing_table_llm' WHEN event_id % 3 > 0 AND event_id % 5 < 3 THEN 'pricing_section_llm' ELSE 'generic_llm' END AS strategy FROM o",
+    "answer_labels": f"WITH t AS (SELECT event_id, {_of(STRATEGIES, 'event_id')} AS given, {_of(KINDS, 'event_id')} AS kind FROM events), o AS (SELECT *, CASE {' '.join(f'WHEN given IN ({', '.join(repr(n) for n in names)}) THEN {k!r}' for k, names in R.ORIGINS)} WHEN ends_with(given, '_overview_direct') THEN 'overview_direct' ELSE 'llm_generated' END AS origin FROM t) SELECT event_id, given, origin, CASE WHEN origin IN {R.HIGH!r} THEN 'high' WHEN origin = 'unsupported' THEN 'low' ELSE 'medium' END AS bucket, given IN {R.DEGRADED!r} AS degraded, CASE WHEN event_id % 9 = 0 THEN 'pricing_row_direct' WHEN event_id % 3 > 0 AND event_id % 5 < 3 AND kind IN ('table', 'pdf_table') THEN 'pricing_table_llm' WHEN event_id % 3 > 0 AND event_id % 5 < 3 THEN 'pricing_section_llm' ELSE 'generic_llm' END AS strategy FROM o",
     "rewrite_guard": f"WITH t AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN text || '  ' WHEN 1 THEN text || ' ' || text WHEN 2 THEN 'zzz' ELSE 'x ' || text END AS r FROM conversations) SELECT conv_id, turn, md5(CASE WHEN coalesce(trim(r) = '' OR lower(trim(r)) = lower(trim(text)) OR length(r) > 1.5 * length(text) OR NOT list_has_any({_FOLDED('text')}, {_FOLDED('r')}), true) THEN text ELSE r END) AS query_md5 FROM t",
     "metadata_last_wins": "WITH m AS (SELECT * FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT c_custkey, event_id, event_type FROM customer LEFT JOIN m ON user_id = c_custkey",
     "new_downloads": f"WITH d AS (SELECT doc_id, printf('u/%08d', doc_id % 5000) AS url, sha256({_CLEANED}) AS digest FROM documents) SELECT min(url) AS url, digest FROM d WHERE doc_id % 3 <> 0 AND url NOT IN (SELECT url FROM d WHERE doc_id % 3 = 0) AND digest NOT IN (SELECT digest FROM d WHERE doc_id % 3 = 0) GROUP BY digest",

@@ -15,6 +15,10 @@ VOCABULARY = ("the", "of", "and", "der", "und", "les", "que", "limit", "produkt"
 REPLACEMENTS = [("the", "th"), ("th", "t"), ("der", "die"), ("que", "k")]
 
 
+#: The confidence of a text's OCR engine, by its number.
+ENGINE = "CASE doc_id % 4 WHEN 0 THEN CAST(0.2 AS DOUBLE) WHEN 1 THEN CAST(NULL AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END"
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -71,7 +75,7 @@ def chunk_garbage(spark, d):
 
 def ocr_quality(spark, d):
     x = F.col("text")
-    score, issues = Q.ocr_issues(x)
+    score, issues = Q.ocr_issues(x, F.expr(ENGINE))
     return _docs(spark, d).select("doc_id", score.alias("score"), F.array_join(issues, ",").alias("issues"), F.array_join(Q.file_issues(x), ",").alias("file_issues"))
 
 
@@ -198,9 +202,9 @@ SELECT doc_id, round(s, 3) AS score, round(noise, 3) AS ocr_noise, array_to_stri
     "garbage_text": f"SELECT doc_id, {_R['runs']}::INT AS runs, {_R['scr']} AS scrambled, {_R['ocr']} AS corrupted, {_R['garbage']} AS garbage FROM documents",
     "chunk_garbage": rf"WITH t AS (SELECT doc_id, text, array_to_string({_split('text')}[1:4], ' ') AS h, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS v FROM documents) SELECT doc_id, {_R['chunk']} AS whole, {_rules('h')['chunk']} AS head, round(len(list_intersect(v, {list(VOCABULARY)!r}))::DOUBLE / greatest(len(v), 1), 6) AS known_share FROM t",
     "ocr_quality": rf"""WITH t AS (SELECT doc_id, text, lower(text) AS low, {_strip('text')} AS s FROM documents), u AS (SELECT *, {_split('s')} AS ws, length({_strip('text')}) AS n, coalesce(length(regexp_replace(text, '[^0-9A-Za-zÀ-ɏ]', '', 'g')), 0) AS m FROM t),
-v AS (SELECT *, n < 50 AS a, len(list_filter(list_distinct(string_split(lower(s), '')), lambda c: c NOT IN (chr(10), chr(13)) AND contains(lower(s), repeat(c, 10)))) > 0 AS b, {_share(r'\s', 's')} < 0.03 AND n > 100 AS c, 1 - {_share(r'[\p{L}\p{N}]', 's')} > 0.55 AS d, len(ws) > 20 AND len(list_filter(ws, lambda w: length({_edge(r'.,;:()\[\]{}|')}) = 1))::DOUBLE / greatest(len(ws), 1) > 0.35 AS e FROM u),
-w AS (SELECT *, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN a THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN b THEN 0.25::DOUBLE ELSE 0 END - CASE WHEN c THEN 0.20::DOUBLE ELSE 0 END - CASE WHEN d THEN 0.30::DOUBLE ELSE 0 END - CASE WHEN e THEN 0.20::DOUBLE ELSE 0 END), 4) AS score FROM v)
-SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE score END AS score, CASE WHEN n = 0 THEN 'empty_output' ELSE array_to_string(list_filter([CASE WHEN a THEN 'too_short' END, CASE WHEN b THEN 'repeated_single_chars' END, CASE WHEN c THEN 'few_or_no_spaces' END, CASE WHEN d THEN 'mostly_non_alphanumeric' END, CASE WHEN e THEN 'many_single_character_tokens' END, CASE WHEN score < 0.3 THEN 'below_min_quality' END], lambda r: r IS NOT NULL), ',') END AS issues,
+v AS (SELECT *, n < 50 AS a, len(list_filter(list_distinct(string_split(lower(s), '')), lambda c: c NOT IN (chr(10), chr(13)) AND contains(lower(s), repeat(c, 10)))) > 0 AS b, {_share(r'\s', 's')} < 0.03 AND n > 100 AS c, 1 - {_share(r'[\p{L}\p{N}]', 's')} > 0.55 AS d, len(ws) > 20 AND len(list_filter(ws, lambda w: length({_edge(r'.,;:()\[\]{}|')}) = 1))::DOUBLE / greatest(len(ws), 1) > 0.35 AS e, coalesce({ENGINE} < 0.3, false) AS g FROM u),
+w AS (SELECT *, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN a THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN b THEN 0.25::DOUBLE ELSE 0 END - CASE WHEN c THEN 0.20::DOUBLE ELSE 0 END - CASE WHEN d THEN 0.30::DOUBLE ELSE 0 END - CASE WHEN e THEN 0.20::DOUBLE ELSE 0 END - CASE WHEN g THEN 0.25::DOUBLE ELSE 0 END), 4) AS score FROM v)
+SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE score END AS score, CASE WHEN n = 0 THEN 'empty_output' ELSE array_to_string(list_filter([CASE WHEN a THEN 'too_short' END, CASE WHEN b THEN 'repeated_single_chars' END, CASE WHEN c THEN 'few_or_no_spaces' END, CASE WHEN d THEN 'mostly_non_alphanumeric' END, CASE WHEN e THEN 'many_single_character_tokens' END, CASE WHEN g THEN 'low_engine_confidence' END, CASE WHEN score < 0.3 THEN 'below_min_quality' END], lambda r: r IS NOT NULL), ',') END AS issues,
 array_to_string(list_filter([CASE WHEN n = 0 THEN 'empty_file' END, CASE WHEN length(text) > 100 AND (20000 * (length(text) - m) + length(text)) // (2 * length(text)) > 7500 THEN 'ocr_garbage_suspected' END, CASE WHEN m < 200 THEN 'boilerplate_or_too_short' END, CASE WHEN {' + '.join(_n(w, 'low') for w in Q.NAV_WORDS)} >= 5 AND {' + '.join(_n(w, 'low') for w in Q.CONTENT_WORDS)} = 0 AND m < 800 THEN 'nav_only_page' END], lambda r: r IS NOT NULL), ',') AS file_issues FROM w""",
     "categories": "SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {t!r})' for t in terms)} THEN '{n}'" for n, terms in CATEGORIES) + " ELSE 'general' END AS category FROM documents",
     "fixed_window_chunks": "WITH t AS (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0)::INT))) AS i FROM documents) SELECT doc_id, i::INT AS chunk_index, length(substr(text, i::INT * 800 + 1, 1000))::INT AS n_chars, md5(substr(text, i::INT * 800 + 1, 1000)) AS chunk_md5 FROM t",
