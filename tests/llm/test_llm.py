@@ -322,7 +322,7 @@ def suffix_tree_scores(texts, learned):
                 gain += m * math.log((m + (rest + mu) * below) / (total + mu) / below)
             if gain > 0.5 * math.log(n) * len(explicit):
                 found[ctx] = (total, explicit, rest)
-        if not found:
+        if not any(len(ctx) >= level for ctx in follows):
             break
         kept |= found
     return [sum(math.log10(prob(w, tuple(t[:i]))) for i, w in enumerate([*t, None])) for t in texts], {len(c) for c in kept}
@@ -350,6 +350,16 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, word, alone):
     assert [got[i] for i, _ in rows] == pytest.approx(want)
 
 
+def test_suffix_tree_finds_contexts_beyond_a_level_that_keeps_none(spark):
+    """What follows depends on the third word before; two words before it tell nothing that one doesn't."""
+    rows = [(i, f"{'ab'[i % 2]} m1 m2 {'XY'[i % 2]}") for i in range(800)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    want, lengths = suffix_tree_scores([t.split() for _, t in rows], [t.split() for i, t in rows if not held(i)])
+    assert 3 in lengths and 2 not in lengths
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.learn_rows()).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want)
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 12))
