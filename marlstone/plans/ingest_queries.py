@@ -98,7 +98,6 @@ def bm25_stored(spark, d):
     """bm25_topk's scores from an index in files that got the documents in two increments."""
     folder = new_folder(spark, "index")
     docs = _t(spark, d, "documents")
-    index.create(spark, folder)
     index.add(docs.where("lang = 'en'"), folder)
     index.add(docs, folder)
     return R.ranked(index.answer(spark, folder, _t(spark, d, "benchmark")), 20)

@@ -1,13 +1,14 @@
 """An inverted index in files: built once, added to by increments, read for the terms that are asked for.
 
-Below its folder are `postings` (term, id, tf, dl) and `terms` (term, df), both in directories by a hash of the term, further
-`documents` (id, dl) and `statistics` (one row). An increment adds the documents whose ids aren't there, and writes only
-the directories that its terms fall in; Spark swaps those when the whole job has committed. `documents` is written after
-them, so an increment that was cut off is made up for by running it again. A query's terms decide which directories are
-read, and df comes from `terms`, so answering reads neither texts nor the statistics' base again. A frequent term's
-postings are spread over several files of its directory.
-
-Documents without id can't be ranked and aren't indexed; a null text has no terms and counts as a document of length 0.
+Each increment is a generation: below `postings/gen=` are (term, id, tf, dl) and below `terms/gen=` (term, df), both in
+directories by a hash of the term. An increment takes the documents whose ids aren't there yet and writes its own
+generation only, in the buckets its terms fall in; nothing that is there is read again but ids and the terms' counts, and
+nothing is rewritten. `statistics` (one row) is written last and names the last generation that counts, so an increment
+that was cut off leaves nothing to be seen and is overwritten when it runs again. A query's terms decide which
+directories are read. A frequent term's postings are spread over several files.
+
+The rows of bucket -1 are the documents (id, dl). Documents without id can't be ranked and aren't indexed; of several
+texts of an id one increment takes the smallest; a null text has no terms and counts as a document of length 0.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import retrieval as R
-from marlstone.streaming.folders import stored
+from marlstone.streaming.folders import exists
 
-BUCKETS, SPREAD = 64, 8
+BUCKETS, SPREAD, DOCUMENTS = 64, 8, -1
 #: Fixed words that are indexed with each price row.
 PRICE_ROW_WORDS = "pricing_row poplatek cena vedení účtu vedeni uctu"
 
@@ -34,61 +35,72 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _read(spark: SparkSession, folder: str, part: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/{part}")
+def _statistics(spark: SparkSession, folder: str):
+    """The row (gen, n, avgdl, mean), or None before the first increment."""
+    if not exists(spark, f"{folder}/statistics"):
+        return None
+    return spark.read.schema("gen int, n long, avgdl double, mean double").parquet(f"{folder}/statistics").first()
 
 
-def _postings(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "postings", "term string, id long, tf long, dl int, bucket int")
+def _read(spark: SparkSession, folder: str, part: str, schema: str, gen: int) -> DataFrame:
+    return spark.read.schema(f"{schema}, gen int, bucket int").parquet(f"{folder}/{part}").where(F.col("gen") <= gen)
 
 
-def _terms(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "terms", "term string, df long, bucket int")
+def _postings(spark: SparkSession, folder: str, gen: int) -> DataFrame:
+    return _read(spark, folder, "postings", "term string, id long, tf int, dl int", gen)
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "documents", "id long, dl int")
+def _terms(spark: SparkSession, folder: str, gen: int) -> DataFrame:
+    return _read(spark, folder, "terms", "term string, df long", gen)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, dl) of the documents that the index has."""
+    s = _statistics(spark, folder)
+    if s is None:
+        return spark.createDataFrame([], "id long, dl int")
+    return _postings(spark, folder, s.gen).where(F.col("bucket") == DOCUMENTS).select("id", "dl")
 
 
-def create(spark: SparkSession, folder: str) -> None:
-    """An empty index."""
-    for part, schema in (("postings", "term string, id long, tf long, dl int, bucket int"), ("terms", "term string, df long, bucket int")):
-        spark.createDataFrame([], schema).write.partitionBy("bucket").parquet(f"{folder}/{part}")
-    spark.createDataFrame([], "id long, dl int").write.parquet(f"{folder}/documents")
+def with_runs(d: DataFrame, tokens: str) -> DataFrame:
+    """d with `r`, an array of (term, tf) for each term of a row's tokens, and `dl`, their number, instead of the tokens: by
+    runs of the sorted tokens, so nothing is shuffled. Each step is a column of its own, as a lambda would compute it anew."""
+    rest = [c for c in d.columns if c != tokens]
+    d = d.select(*rest, F.array_sort(tokens).alias("_s")).withColumn("dl", F.size("_s"))
+    at = lambda i: F.element_at("_s", i)
+    some = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1)))))
+    d = d.withColumn("_at", F.when(F.col("dl") > 0, some).otherwise(F.array().cast("array<int>")))
+    each = F.transform("_at", lambda i, k: F.struct(at(i).alias("term"), (F.coalesce(F.get("_at", k + 1), F.col("dl") + 1) - i).cast("int").alias("tf")))
+    return d.select(*rest, "dl", each.alias("r"))
 
 
 def add(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
-    """Adds the documents whose ids the index doesn't have, the first text of an id; returns the buckets that were written."""
+    """Adds the documents whose ids the index doesn't have; returns the buckets that got postings."""
     spark = docs.sparkSession
+    s = _statistics(spark, folder)
+    gen = 0 if s is None else s.gen + 1
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    d = d.join(documents(spark, folder), "id", "left_anti").groupBy("id").agg(F.min("text").alias("text"))
-    t = d.select("id", T.index_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t")
-    # staged: what the increment is must not change when documents is written
-    t = t.select("id", "dl", F.explode_outer("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    new = stored(t, "increment")
-    known = new.where("term IS NOT NULL")
-    touched = sorted(r[0] for r in known.select("bucket").distinct().collect())  # at most as many as buckets
+    if s is not None:
+        d = d.join(documents(spark, folder), "id", "left_anti")
+    d = d.groupBy("id").agg(F.min("text").alias("text")) if d.groupBy("id").count().where("count > 1").limit(1).count() else d
+    t = with_runs(d.select("id", T.index_tokens(F.col("text")).alias("t")), "t")
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
+    rows = t.select("id", "dl", F.inline(F.concat(own, "r"))).select("term", "id", "tf", "dl", F.when(F.col("term").isNull(), DOCUMENTS).otherwise(bucket_of(F.col("term"), buckets)).alias("bucket"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if touched:
-        old = _postings(spark, folder).where(F.col("bucket").isin(touched)).join(known.select("id").distinct(), "id", "left_anti")
-        every = old.unionByName(known).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-        _write(every.select("term", "id", "tf", "dl", "bucket"), f"{folder}/postings")
-        df = _postings(spark, folder).where(F.col("bucket").isin(touched)).groupBy("bucket", "term").agg(F.count("*").alias("df"))
-        _write(df.select("term", "df", "bucket").repartition(parts, "bucket"), f"{folder}/terms")
-    new.select("id", "dl").distinct().write.mode("append").parquet(f"{folder}/documents")
-    _statistics(spark, folder)
-    return touched
+    rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/gen={gen}")
+    new = _postings(spark, folder, gen).where((F.col("gen") == gen) & (F.col("bucket") != DOCUMENTS))
+    df = new.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    df.select("term", "df", "bucket").repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/gen={gen}")
+    _commit(spark, folder, gen)
+    return sorted(r[0] for r in _terms(spark, folder, gen).where(F.col("gen") == gen).select("bucket").distinct().collect())  # at most as many as buckets
 
 
-def _statistics(spark: SparkSession, folder: str) -> None:
-    """(n, avgdl, mean): documents, their mean length, and the mean of the terms' raw idf."""
-    n = documents(spark, folder).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    mean = _terms(spark, folder).crossJoin(F.broadcast(n)).agg(F.avg(_raw(F.col("n"), F.col("df"))).alias("mean"))
-    n.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
+def _commit(spark: SparkSession, folder: str, gen: int) -> None:
+    """Writes the statistics up to gen: documents, their mean length, and the mean of the terms' raw idf."""
+    n = _postings(spark, folder, gen).where(F.col("bucket") == DOCUMENTS).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = _terms(spark, folder, gen).groupBy("term").agg(F.sum("df").alias("df"))
+    mean = df.crossJoin(F.broadcast(n)).agg(F.avg(_raw(F.col("n"), F.col("df"))).alias("mean"))
+    n.crossJoin(F.broadcast(mean)).select(F.lit(gen).alias("gen"), "n", "avgdl", "mean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
 def _raw(n: Column, df: Column) -> Column:
@@ -97,13 +109,12 @@ def _raw(n: Column, df: Column) -> Column:
 
 def answer(spark: SparkSession, folder: str, queries: DataFrame, q_id: str = "item_id", q_text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(qid, id, score) like retrieval.bm25, from the index; reads the directories of the queries' terms only."""
-    s = _read(spark, folder, "statistics", "n long, avgdl double, mean double").first()
+    s = _statistics(spark, folder)
     asked = R.query_terms(queries, q_id, q_text).withColumn("bucket", bucket_of(F.col("term"), buckets))
     need = F.col("bucket").isin([r[0] for r in asked.select("bucket").distinct().collect()])
+    few = asked.limit(R.MOST_TERMS + 1).count() <= R.MOST_TERMS
+    light = F.broadcast if few else lambda x: x
+    df = _terms(spark, folder, s.gen).where(need).join(light(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     raw = _raw(F.lit(s.n), F.col("df"))
-    idf = F.when(raw < 0, F.lit(R.FLOOR) * F.lit(s.mean)).otherwise(raw)
-    terms = asked.join(_terms(spark, folder).where(need), ["bucket", "term"]).select("qid", "term", "qtf", idf.alias("idf"))
-    if asked.limit(R.MOST_TERMS + 1).count() <= R.MOST_TERMS:
-        terms = F.broadcast(terms)
-    hit = _postings(spark, folder).where(need).join(terms, "term")
-    return R.summed(hit.withColumn("avgdl", F.lit(s.avgdl)))
+    terms = asked.join(df, "term").select("qid", "term", "qtf", F.when(raw < 0, F.lit(R.FLOOR) * F.lit(s.mean)).otherwise(raw).alias("idf"))
+    return R.summed(_postings(spark, folder, s.gen).where(need).join(light(terms), "term").withColumn("avgdl", F.lit(s.avgdl)))

@@ -28,12 +28,11 @@ def asked(spark):
 
 
 def files(folder, part):
-    return {os.path.basename(os.path.dirname(p)): p for p in glob.glob(f"{folder}/{part}/*/*.parquet")}
+    return set(glob.glob(f"{folder}/{part}/*/*/*.parquet"))
 
 
 def test_index_in_increments_equals_bm25(spark, asked, tmp_path):
     folder = str(tmp_path / "i")
-    index.create(spark, folder)
     index.add(docs(spark, DOCS[:15]), folder)
     index.add(docs(spark, DOCS[10:]), folder)
     want = scores(R.bm25(docs(spark, DOCS[:42]), asked))
@@ -45,43 +44,45 @@ def test_index_in_increments_equals_bm25(spark, asked, tmp_path):
 
 def test_an_increment_writes_its_own_buckets(spark, tmp_path):
     folder = str(tmp_path / "i")
-    index.create(spark, folder)
     index.add(docs(spark, DOCS), folder)
-    before = {part: sorted(glob.glob(f"{folder}/{part}/*/*.parquet")) for part in ("postings", "terms")}
+    before = {part: files(folder, part) for part in ("postings", "terms")}
     touched = index.add(docs(spark, [(900, "common rareword")]), folder)
     assert 1 <= len(touched) <= 2
     for part, old in before.items():
-        gone = set(old) - set(glob.glob(f"{folder}/{part}/*/*.parquet"))
-        assert {os.path.basename(os.path.dirname(p)) for p in gone} <= {f"bucket={b}" for b in touched}
+        new = files(folder, part)
+        own = {f"bucket={b}" for b in [*touched, index.DOCUMENTS]}
+        assert old <= new and {os.path.basename(os.path.dirname(p)) for p in new - old} <= own
 
 
 def test_an_increment_that_was_cut_off_is_made_up_for(spark, asked, tmp_path, monkeypatch):
     folder = str(tmp_path / "i")
-    index.create(spark, folder)
     index.add(docs(spark, DOCS[:20]), folder)
-    real, calls = index._write, []
+    first = scores(index.answer(spark, folder, asked))
 
-    def dies(df, path):
-        real(df, path)
-        calls.append(path)
-        if len(calls) == 1:
-            raise RuntimeError("killed")
+    def dies(*_):
+        raise RuntimeError("killed")
 
-    monkeypatch.setattr(index, "_write", dies)
-    with pytest.raises(RuntimeError):
-        index.add(docs(spark, DOCS), folder)
+    with monkeypatch.context() as m:
+        m.setattr(index, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            index.add(docs(spark, DOCS), folder)
+    assert scores(index.answer(spark, folder, asked)) == first and index.documents(spark, folder).count() == 20
     index.add(docs(spark, DOCS), folder)
     assert scores(index.answer(spark, folder, asked)) == pytest.approx(scores(R.bm25(docs(spark, DOCS[:42]), asked)))
 
 
+def test_terms_by_runs(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "t array<string>")
+    assert [[tuple(x) for x in r[0]] for r in index.with_runs(df, "t").select("r").collect()] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
+
+
 def test_only_the_buckets_of_the_terms_are_read(spark, tmp_path):
     folder = str(tmp_path / "i")
-    index.create(spark, folder)
     index.add(docs(spark, DOCS), folder)
     one = index.answer(spark, folder, spark.createDataFrame([(1, "common")], "item_id long, text string"))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
-    read = {r[0].split("/")[-2] for r in index._postings(spark, folder).where(F.col("bucket").isin([index_bucket(spark, "common")])).select(F.input_file_name()).distinct().collect()}
+    read = {r[0].split("/")[-2] for r in index._postings(spark, folder, 0).where(F.col("bucket").isin([index_bucket(spark, "common")])).select(F.input_file_name()).distinct().collect()}
     assert read == {f"bucket={index_bucket(spark, 'common')}"} and one.count() == 40
 
 
