@@ -205,3 +205,19 @@ def human_title(title: Column, url: Column, file_name: Column, category: Column,
         F.when(chunk_type != "", F.concat(F.lit("Dokument — "), title_case(F.replace(chunk_type, F.lit("_"), F.lit(" "))))),
         F.lit("Dokument"),
     )
+
+
+# Where a path starts that no page is taken from, and what must not occur in it.
+BLOCKED_STARTS = ("/pro-media/", "/tiskove-zpravy/", "/tiskové-zprávy/", "/novinky/", "/kariera/", "/kariéra/", "/blog/", "/media/", "/attachments/kariera")
+BLOCKED_WORDS = ("tisková zpráva", "tiskova zprava", "pro média", "pro media", "novinka", "kariera", "kariéra", "blog", "press release", "media relations", "pro novináře", "pro novinare")
+
+
+def blocked_section(url: Column) -> Column:
+    """Whether an address, or a bare path, is of a section that no page is taken from."""
+    path = F.lower(F.when(F.contains(url, F.lit("://")), url_path(url)).otherwise(url))
+    out = F.lit(False)
+    for s in BLOCKED_STARTS:
+        out = out | path.startswith(s)
+    for w in BLOCKED_WORDS:
+        out = out | F.contains(path, F.lit(w))
+    return out

@@ -17,12 +17,6 @@ def first_of(df: DataFrame, key: Column | str, *order: Column | str) -> DataFram
     return df.groupBy(k.alias("_k")).agg(best.alias("_b")).select("_b.*")
 
 
-def best_of(df: DataFrame, keys: list[str], *rank: Column) -> DataFrame:
-    """The row of each key that is highest by rank."""
-    w = Window.partitionBy(*keys).orderBy(*rank)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
 def duplicate_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """(key, n, first_id, extra) of each key with more than one row."""
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1").withColumn("extra", F.col("n") - 1)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import quality as Q
+from marlstone.functions import tables as B
 from marlstone.functions import text as T
 from marlstone.operators import crawl as C
 from marlstone.operators import dedup as D
 from marlstone.operators import evaluate as E
-from marlstone.sources import files, html
+from marlstone.sources import files, html, pages
 from marlstone.streaming import state
 
 BOUNDS = [("minimum", "pass_rate", 0.75), ("minimum", "toxic_rate", 0.0), ("maximum", "toxic_rate", 0.2), ("maximum", "mean_chars", 100000.0), ("minimum", "missing_metric", 1.0)]
@@ -77,6 +78,19 @@ def page_sections(spark, d):
     return s.select("page_id", F.inline("sections")).withColumn("key", F.substring("content", 1, 80)).withColumn("r", F.row_number().over(Window.partitionBy("page_id", "key").orderBy("ord"))).where("r = 1").drop("r", "key")
 
 
+def page_chunks(spark, d):
+    """HTML pages as structured pages, and those as chunks."""
+    h = html.structured_pages(_t(spark, d, "pages")).join(_t(spark, d, "pages").select("page_id", "url"), "page_id")
+    p = h.select(
+        F.col("page_id").cast("string").alias("file_name"), "url", "title", F.lit("").alias("content"), F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["content"].alias("content"))).alias("sections"),
+        F.transform("faq", lambda f: F.struct(f["question"].alias("question"), f["answer"].alias("answer"), F.lit("").alias("section_title"))).alias("faq"),
+        F.transform("tables", lambda t: F.struct(F.lit("").alias("caption"), F.lit("").alias("section_title"), B.table_markdown(t).alias("markdown"))).alias("tables"),
+        F.expr("cast(array() as array<struct<title:string,content:string>>)").alias("cards"), F.struct(F.lit("").alias("category"), F.lit("").alias("document_type")).alias("metadata"),
+    )
+    c = pages.page_chunks(p)
+    return c.select(F.col("file_name").cast("long").alias("page_id"), "chunk_index", "chunk_id", "chunk_type", "section_title", F.length("content").alias("n_chars"))
+
+
 def crawl_frontier(spark, d):
     """From the first page of every host over the pages' own links."""
     p = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("src"), F.explode(html.links(F.col("html"))).alias("l"))
@@ -166,7 +180,7 @@ def inherit_intent(spark, d):
     return c.select("conv_id", "turn", (F.col("n") <= 40).alias("follow_up"), F.last(topic, ignorenulls=True).over(w).alias("topic"))
 
 
-QUERIES = {f.__name__: f for f in (content_signature_dups, first_by_signature, incremental_anti, keyed_upsert, manifest_counts, length_stats, quality_audit, coverage, page_title_links, html_structured, page_sections, crawl_frontier, change_detection, leaderboards, report_summary, gates, report_diff, failure_counts_zero_filled, latency_percentiles, hit_ratio, session_gap, trailing_6h_count, first_inflight, telemetry, history_limit, last_assistant_turn, inherit_intent)}
+QUERIES = {f.__name__: f for f in (content_signature_dups, first_by_signature, incremental_anti, keyed_upsert, manifest_counts, length_stats, quality_audit, coverage, page_title_links, html_structured, page_sections, page_chunks, crawl_frontier, change_detection, leaderboards, report_summary, gates, report_diff, failure_counts_zero_filled, latency_percentiles, hit_ratio, session_gap, trailing_6h_count, first_inflight, telemetry, history_limit, last_assistant_turn, inherit_intent)}
 
 from marlstone.plans.text_queries import _R, ORACLE_SQL as _TEXT, _clean  # noqa: E402
 

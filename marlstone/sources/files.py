@@ -32,18 +32,6 @@ def seed_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(loc, lastmod, priority) of sitemap files."""
-    item = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)))
-    one = lambda tag: F.trim(F.regexp_extract("u", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
-    return spark.read.text(path, wholetext=True).select(item.alias("u")).select(one("loc").alias("loc"), one("lastmod").alias("lastmod"), one("priority").try_cast("double").alias("priority"))
-
-
-def pdf_files(spark: SparkSession, path: str, most: int = 20 << 20) -> DataFrame:
-    """Path, size and bytes of PDF files up to a size; text extraction is a plug-in (no PDF library is required)."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).where(F.col("length") <= most)
-
-
 def manifest(docs: DataFrame, *columns: str) -> DataFrame:
     """(field, value, n) counts by each column, in one pass over the data."""
     parts = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns)))

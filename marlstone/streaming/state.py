@@ -15,11 +15,6 @@ def first_in_flight(stream: DataFrame, keys: list[str], ts: str = "ts", wait: st
     return stream.withWatermark(ts, wait).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(stream: DataFrame, by: str, size: str = "1 hour", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """An extension: tumbling counts on event time; later events than `late` are dropped."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
-
-
 def telemetry(df: DataFrame, user: str = "user_id") -> DataFrame:
     """Events with a hashed user id in place of the id."""
     return df.withColumn("user_hash", F.substring(F.sha2(F.col(user).cast("string"), 256), 1, 16)).drop(user)

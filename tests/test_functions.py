@@ -69,3 +69,7 @@ def test_noise(spark):
     assert one(spark, Q.low_information, "", "12345 67890 12345 67890", "A sentence with enough letters in it.") == [True, True, False]
     assert one(spark, Q.scrambled, "a b c d e", "five words that are fine") == [True, False]
     assert one(spark, Q.letter_runs, "PPoojjii") == [4]
+
+
+def test_blocked_sections(spark):
+    assert one(spark, T.blocked_section, "https://ex.org/Novinky/a", "/kariera/x", "https://blog.ex.org/ucty", "https://ex.org/a/muj-blog", "https://ex.org/?q=blog") == [True, True, False, True, False]

@@ -58,6 +58,20 @@ def test_file_sources(spark, tmp_path):
     assert sorted(r["a"] for r in files.json_rows(spark, str(tmp_path / "rows.jsonl"), "a int").collect()) == [1, 2]
 
 
+def test_markdown_and_seeds(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Heading\nSource: http://x/a\n" + "word " * 30)
+    (tmp_path / "b.md").write_text("# Short\n")
+    got = files.markdown_pages(spark, str(tmp_path / "*.md")).collect()
+    assert [(r.title, r.source_url) for r in got] == [("Heading", "http://x/a")]
+    (tmp_path / "seeds.txt").write_text("# comment\nhttp://x/a\n\n http://x/b \n")
+    assert sorted(r.url for r in files.seed_urls(spark, str(tmp_path / "seeds.txt")).collect()) == ["http://x/a", "http://x/b"]
+
+
+def test_batches_by_budget(spark):
+    df = spark.createDataFrame([([5, 5, 5, 20, 1, 1, 1, 1],), ([],)], "s array<long>")
+    assert [r[0] for r in df.select(chunk.batches_by_budget(F.col("s"), 10, 3)).collect()] == [[0, 0, 1, 2, 3, 3, 3, 4], []]
+
+
 @pytest.fixture
 def events(spark):
     t0 = dt.datetime(2024, 1, 1)

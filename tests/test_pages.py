@@ -2,10 +2,15 @@
 
 import hashlib
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from marlstone.sources import pages
+from marlstone.plans import registry
+from marlstone.sources import html, pages
+
+DATA = "/root/testdata/sf0.001"
 
 TABLE = "| Položka | Cena |\n| --- | --- |\n| Vedení účtu | 99 Kč |\n| Poznámka | dle dohody |\n| Výběr z bankomatu | zdarma |"
 FULL = {
@@ -67,3 +72,17 @@ def test_site_maps(spark, tmp_path):
     got = sorted(map(tuple, pages.sitemap(spark, str(tmp_path / "s.xml"), rule).collect()))
     assert got == [("https://ex.org/a", "2024-01-01", "0.8", "general"), ("https://ex.org/ceniky/b", None, None, "ceniky")]
     assert sorted(r.url for r in pages.sitemaps_of(spark, str(tmp_path / "i.xml")).collect()) == ["https://ex.org/s.xml", "https://ex.org/t.xml"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_registered_pages_hold_their_sections(spark):
+    """Numbered without gaps, and together they hold every word of the pages' sections."""
+    got = registry.QUERIES["page_chunks"](spark, DATA).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.page_id, []).append(r)
+    assert all(sorted(r.chunk_index for r in some) == list(range(len(some))) and all(0 < r.n_chars <= 1100 for r in some) for some in of.values())
+    sections = html.structured_pages(spark.read.parquet(f"{DATA}/pages.parquet")).collect()
+    assert set(of) == {r.page_id for r in sections if any(x.content for x in r.sections)}
+    for r in sections[:20]:
+        assert sum(x.n_chars for x in of.get(r.page_id, [])) >= sum(len("".join(x.content.split())) for x in r.sections)
