@@ -92,10 +92,10 @@ def page_chunks(spark, d):
 
 
 def crawl_frontier(spark, d):
-    """From the first page of every host over the pages' own links."""
+    """From every page's address, as a site map would name them, over the pages' own links."""
     p = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("src"), F.explode(html.links(F.col("html"))).alias("l"))
     edges = p.select("src", C.resolved(F.col("src"), F.col("l")).alias("dst")).where("dst IS NOT NULL").distinct()
-    seeds = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("url")).groupBy(T.url_host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    seeds = _t(spark, d, "pages").select(C.resolved(F.col("url"), F.col("url")).alias("url"))
     return C.frontier(edges, seeds, 3)
 
 
@@ -204,7 +204,7 @@ ORACLE_SQL = {
 a AS (SELECT DISTINCT lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || {_CANON.format(x="regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")} AS url FROM pages),
 e AS (SELECT DISTINCT src, regexp_extract(src, '^([a-z]+://[^/]*)', 1) || {_CANON.format(x="regexp_replace(l, '[?#].*$', '')")} AS dst FROM p WHERE l LIKE '/%' UNION
   SELECT DISTINCT src, lower(regexp_extract(l, '^([a-zA-Z]+://[^/?#]*)', 1)) || {_CANON.format(x="regexp_extract(l, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)")} FROM p WHERE regexp_matches(l, '^[a-zA-Z]+://.')),
-f AS (SELECT min(url) AS url, 0 AS depth FROM a GROUP BY regexp_extract(url, '^[a-z]+://([^/]*)', 1) UNION SELECT dst, depth + 1 FROM f JOIN e ON e.src = f.url WHERE depth < 3)
+f AS (SELECT url, 0 AS depth FROM a UNION SELECT dst, depth + 1 FROM f JOIN e ON e.src = f.url WHERE depth < 3)
 SELECT url, min(depth)::INT AS depth FROM f GROUP BY url""",
     "change_detection": "WITH p AS (SELECT url, page_id, sha256(html) AS h FROM pages), o AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN '' ELSE h END AS old_h FROM p WHERE page_id % 11 <> 0) SELECT page_id, CASE WHEN old_h IS NULL THEN 'new' WHEN old_h = h THEN 'unchanged' ELSE 'changed' END AS state FROM p LEFT JOIN o USING (url)",
     "leaderboards": "SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS field, coalesce(lang, source) AS value, count(*) AS n, round(avg(quality), 6) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source))",
