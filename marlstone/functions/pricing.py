@@ -215,3 +215,35 @@ def asks_primary_fee(query: Column) -> Column:
     w = lambda *ws: F.arrays_overlap(have, F.array(*map(F.lit, ws)))
     czech = w("vedeni") | (w("stoji") & w("ucet")) | (w("stoji", "cena") & w("ekonto", "konto")) | (w("mesicni") & w("poplatek"))
     return czech | _has_all(low, ("account", "maintenance")) | _has_all(low, ("monthly", "fee"))
+
+
+# Words of the product groups, but for cards that bear names of their own; and of one account's kinds.
+GROUPS = {
+    "ekonto_podnikatelske": ("podnikatelske ekonto", "podnikatelsky ekonto", "podnikatelsk e konto"), "podnikatelsky_ucet": ("podnikatel", "podnikatelske", "business", "osvc"),
+    "firemni_ucet": ("firma", "firmy", "firemni", "corporate", "pravnicke", "pravnickych"), "kreditni_karta": ("kreditni karta", "kreditni karty", "credit card", "kreditka"),
+    "debetni_karta": ("debetni karta", "debitni karta", "debit card", "debetka"), "hypoteky": ("hypotek", "hypotec"), "pujcky": ("pujck", "uver", "spotrebitelsk"), "sporeni": ("sporic", "sporeni", "terminovan"),
+    "investice": ("investic", "fond", "dluhopis", "akci"), "osobni_ucet": ("osobni", "soukrome", "bezny ucet"),
+    "basic_payment_account": ("zakladni platebni ucet", "social account", "chraneny ucet", "vulnerable"),
+}
+EKONTO = ("ekonto", "e konto", "e-konto", "ekonta")
+PERSONAL, BUSINESS = ("osobni", "soukrome", "soukromy", "pro osobni", "retail"), ("podnikatel", "podnikatelske", "business", "osvc", "firma", "firemni")
+
+
+def product_groups(text: Column, category: Column) -> Column:
+    """The sorted groups that a price row is of, by its text and category.
+
+    An eKonto is of its business kind if the text says so, else of its personal kind if the text or a retail category
+    does, and of neither else; each brings the account's own group. A retail row without a business or company group is a
+    personal account's, a corporate or business one a company's."""
+    low, cat = T.fold(F.coalesce(text, F.lit(""))), T.fold(F.coalesce(category, F.lit("")))
+    ekonto = has_any(low, EKONTO)
+    business = ekonto & has_any(low, BUSINESS)
+    personal = ekonto & ~business & (has_any(low, PERSONAL) | (cat == "retail"))
+    own = {n: has_any(low, terms) for n, terms in GROUPS.items()}
+    own["podnikatelsky_ucet"] = own["podnikatelsky_ucet"] | business
+    own["ekonto_podnikatelske"] = business | (~ekonto & own["ekonto_podnikatelske"])
+    own["ekonto_osobni"] = personal
+    alone = (cat == "retail") & ~own["podnikatelsky_ucet"] & ~own["firemni_ucet"]
+    own["osobni_ucet"] = own["osobni_ucet"] | personal | alone
+    own["firemni_ucet"] = own["firemni_ucet"] | cat.isin("corporate", "business")
+    return F.filter(F.array(*(F.when(own[n], F.lit(n)) for n in sorted(own))), lambda g: g.isNotNull())

@@ -72,6 +72,15 @@ def price_rows(spark, d):
     return X.with_reason(_checked(spark, d)).select("order_id", "line", "part", "fee_value", "amount", "currency", "period", "reason")
 
 
+GROUP_TEXT = "CASE l_partkey % 12 WHEN 0 THEN 'Osobní eKonto' WHEN 1 THEN 'eKonto pro podnikatele' WHEN 2 THEN 'eKonto' WHEN 3 THEN 'Kreditní karta a úvěr' WHEN 4 THEN 'Firemní účet' WHEN 5 THEN 'Hypotéka' WHEN 6 THEN 'Základní platební účet' WHEN 7 THEN 'Spořicí účet a fondy' WHEN 8 THEN CAST(NULL AS STRING) WHEN 9 THEN 'Debetní karta' WHEN 10 THEN 'Běžný účet' ELSE 'Podnikatelské eKonto' END"
+GROUP_CATEGORY = "CASE l_suppkey % 5 WHEN 0 THEN 'retail' WHEN 1 THEN 'corporate' WHEN 2 THEN 'business' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'cards' END"
+
+
+def product_groups(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey AS order_id", "l_linenumber AS line", "l_partkey AS part", f"{GROUP_TEXT} AS text", f"{GROUP_CATEGORY} AS category")
+    return li.select("order_id", "line", "part", F.array_join(P.product_groups(F.col("text"), F.col("category")), ",").alias("groups"))
+
+
 def price_row_counters(spark, d):
     return X.with_reason(_checked(spark, d)).agg(*X.counters(F.col("reason")))
 
@@ -107,7 +116,7 @@ def tables_to_markdown(spark, d):
     return t.select("order_id", B.table_markdown(cells).alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (price_normalize, price_rows, price_row_counters, price_row_audit, price_conditional, price_texts, tariff_table_rows, tariff_price_rows, tables_to_markdown)}
+QUERIES = {f.__name__: f for f in (price_normalize, price_rows, product_groups, price_row_counters, price_row_audit, price_conditional, price_texts, tariff_table_rows, tariff_price_rows, tables_to_markdown)}
 
 
 def _fold(x):
@@ -229,3 +238,13 @@ ORACLE_SQL |= {
     "price_rows": f"WITH {_REASONS} SELECT order_id, line, part, fee_value, amount, currency, period, reason FROM x",
     "price_row_counters": f"WITH {_REASONS} SELECT count(*) AS total_input, count(*) FILTER (reason IS NULL) AS valid_output, {', '.join(f'count(*) FILTER (reason IN {rs!r}) AS filtered_{n}' if len(rs) > 1 else f'count(*) FILTER (reason = {rs[0]!r}) AS filtered_{n}' for n, rs in X.COUNTERS.items())}, count(*) FILTER (reason NOT IN {tuple(r for rs in X.COUNTERS.values() for r in rs)!r}) AS filtered_other FROM x",
 }
+
+_in = lambda terms: "(" + " OR ".join(f"contains(low, '{t}')" for t in terms) + ")"
+_OWN = {n: _in(terms) for n, terms in P.GROUPS.items()} | {
+    "podnikatelsky_ucet": f"({_in(P.GROUPS['podnikatelsky_ucet'])} OR business)", "ekonto_podnikatelske": f"(business OR (NOT ekonto AND {_in(P.GROUPS['ekonto_podnikatelske'])}))", "ekonto_osobni": "personal",
+    "osobni_ucet": f"({_in(P.GROUPS['osobni_ucet'])} OR personal OR (cat = 'retail' AND NOT {_in(P.GROUPS['podnikatelsky_ucet'])} AND NOT business AND NOT {_in(P.GROUPS['firemni_ucet'])}))",
+    "firemni_ucet": f"({_in(P.GROUPS['firemni_ucet'])} OR cat IN ('corporate', 'business'))",
+}
+ORACLE_SQL["product_groups"] = f"""WITH g0 AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, translate(lower(coalesce({GROUP_TEXT}, '')), '{T.MARKED}', '{T.PLAIN}') AS low, coalesce({GROUP_CATEGORY}, '') AS cat FROM lineitem),
+g1 AS (SELECT *, {_in(P.EKONTO)} AS ekonto, {_in(P.EKONTO)} AND {_in(P.BUSINESS)} AS business FROM g0), g2 AS (SELECT *, ekonto AND NOT business AND ({_in(P.PERSONAL)} OR cat = 'retail') AS personal FROM g1)
+SELECT order_id, line, part, array_to_string(list_filter([{', '.join(f"CASE WHEN {_OWN[n]} THEN '{n}' END" for n in sorted(_OWN))}], lambda x: x IS NOT NULL), ',') AS groups FROM g2"""
