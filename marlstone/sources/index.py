@@ -114,7 +114,10 @@ def answer(spark: SparkSession, folder: str, queries: DataFrame, q_id: str = "it
     need = F.col("bucket").isin([r[0] for r in asked.select("bucket").distinct().collect()])
     few = asked.limit(R.MOST_TERMS + 1).count() <= R.MOST_TERMS
     light = F.broadcast if few else lambda x: x
-    df = _terms(spark, folder, s.gen).where(need).join(light(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    names = light(asked.select("term").distinct())
+    df = _terms(spark, folder, s.gen).where(need).join(names, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     raw = _raw(F.lit(s.n), F.col("df"))
     terms = asked.join(df, "term").select("qid", "term", "qtf", F.when(raw < 0, F.lit(R.FLOOR) * F.lit(s.mean)).otherwise(raw).alias("idf"))
-    return R.summed(_postings(spark, folder, s.gen).where(need).join(light(terms), "term").withColumn("avgdl", F.lit(s.avgdl)))
+    # dealt by document before the queries multiply them, which is the partitioning that the sums need
+    hit = _postings(spark, folder, s.gen).where(need).join(names, "term", "left_semi").select("term", "id", "tf", "dl").repartition("id")
+    return R.summed(hit.join(light(terms), "term").withColumn("avgdl", F.lit(s.avgdl)))
