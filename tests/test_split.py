@@ -1,14 +1,16 @@
 """Splitters with limits against naive versions, and the ingest that is killed and started again."""
 
 import hashlib
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import split
+from marlstone.operators import chunk, split
 from marlstone.streaming import ingest
 
+DATA = "/root/testdata/sf0.001"
 COLUMNS = "chunk_id string, source_url string, page int, chunk_type string, section_title string, content string, extra int"
 
 
@@ -165,3 +167,23 @@ def test_ingest_killed_between_write_and_commit(spark, tmp_path, monkeypatch):
     more = ingest.stored_chunks(spark, folder)
     assert more.where("batch = 6").select("doc_id").distinct().collect() == [(500,)]
     assert more.count() == more.select("chunk_id").distinct().count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_recursive_chunks_are_parts_of_their_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    of = {}
+    for r in chunk.recursive_chunks(docs).collect():
+        of.setdefault(r.doc_id, []).append(r)
+    assert set(of) == {i for i, t in texts.items() if t and t.strip()}
+    for i, some in of.items():
+        some.sort(key=lambda r: r.chunk_index)
+        text, end = texts[i], 0
+        for k, r in enumerate(some):
+            assert r.chunk_index == k and len(r.chunk) <= 1000
+            reach = end + len(text[end:]) - len(text[end:].lstrip())
+            at = text.rfind(r.chunk, 0, reach + len(r.chunk))  # the furthest place that leaves nothing but white space out
+            assert at >= 0
+            end = max(end, at + len(r.chunk))
+        assert not texts[i][end:].strip()
