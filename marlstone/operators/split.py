@@ -23,13 +23,23 @@ from marlstone.operators.chunk import recursive_split
 #: Fixed limits, the size and the overlap of pieces, and what stands between parts.
 CHARS, TOKENS, SAFE, OVERLAP = 4000, 1500, 3500, 150
 SEPARATORS = ("\n\n", "\n", ". ", "; ", " ", "")
+#: Characters of pieces that a task holds before it passes them on.
+HELD = 1 << 20
 TABLE_KINDS = ("table", "pdf_table", "pricing")
 WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 RULE = re.compile(r"\|?\s*:?-{3,}")
 
 
+def words(text: str) -> int:
+    return len(WORD.findall(text))
+
+
+def within(chars: int, n_words: int) -> bool:
+    return chars <= CHARS and max(chars // 3, n_words) <= TOKENS
+
+
 def fits(text: str) -> bool:
-    return len(text) <= CHARS and max(len(text) // 3, len(WORD.findall(text))) <= TOKENS
+    return len(text) <= CHARS and within(len(text), words(text))
 
 
 def tidy(text: str) -> str:
@@ -56,18 +66,49 @@ def plain_pieces(text: str) -> list[str]:
     return by_force(recursive_split(text, SAFE, OVERLAP, SEPARATORS))
 
 
-def packed(parts: list[str], whole: Callable[[list[str]], str]) -> Iterator[list[str]]:
-    """parts in runs, each as long as whole(run) fits; a part that doesn't fit alone is a run of its own."""
+def packed(parts: list[str], grown: Callable) -> Iterator[list[str]]:
+    """parts in runs, each as long as the text of the run fits; a part that doesn't fit alone is a run of its own.
+
+    grown(size, part) adds a part to a run's size (characters and words; None before the first) and returns the new size
+    and that of the text that ends there. So each part is measured once or twice, however long its run is.
+    """
     held: list[str] = []
+    size = None
     for p in parts:
-        if held and not fits(whole([*held, p])):
+        new, ended = grown(size, p)
+        if held and not within(*ended):
             yield held
-            held = []
+            held, new = [], grown(None, p)[0]
         held.append(p)
+        size = new
     if held:
         yield held
 
 
+def rows_under(head: str, trim: bool) -> Callable:
+    """For packed: lines under head; with trim the text has no white space at its ends."""
+    head = head.lstrip() if trim else head
+    start = len(head), words(head)
+
+    def grown(size, row):
+        n, w = size or start
+        full = n + 1 + len(row), w + words(row)
+        end = row.rstrip() if trim else row
+        return full, full if len(end) == len(row) else (n + 1 + len(end), w + words(end))
+
+    return grown
+
+
+def paragraphs_in_a_row(size: tuple | None, p: str) -> tuple:
+    """For packed: paragraphs with nothing between them, where the first word may go on from the paragraph before; none has
+    white space at its end, and the text none at its start."""
+    if size is None:
+        p = p.lstrip()
+    n, w = size or (0, 0)
+    full = n + len(p), w + words(p) - (1 if size and WORD.match(p) else 0)
+    return full, full
+
+
 def _table(text: str) -> tuple[list[str], list[str]]:
     lines = [x for x in text.splitlines() if x.strip()]
     return [x for x in lines if "|" in x], [x for x in lines if "|" not in x]
@@ -89,7 +130,7 @@ def table_pieces(markdown: str) -> list[str]:
     body = lambda rows: "\n".join([*head, *rows])
     whole = lambda rows: tidy(f"{before}\n\n{body(rows)}" if before else body(rows))
     out = []
-    for rows in packed(table[2:], whole):
+    for rows in packed(table[2:], rows_under(f"{before}\n\n{body([])}" if before else body([]), True)):
         if len(rows) == 1 and not fits(body(rows)):
             out += [tidy(body([part])) for part in plain_pieces(rows[0])]
         else:
@@ -101,7 +142,7 @@ def guard_plain(text: str) -> list[str]:
     """Paragraphs packed, with nothing between them; those over the limits cut by force."""
     paragraphs = [p.rstrip() for p in re.split(r"\n\n+", text) if p.strip()]
     whole = lambda run: "".join(run).strip()
-    return by_force([whole(run) for run in packed(paragraphs, whole)])
+    return by_force([whole(run) for run in packed(paragraphs, paragraphs_in_a_row)])
 
 
 def guard_table(markdown: str) -> list[str]:
@@ -113,7 +154,7 @@ def guard_table(markdown: str) -> list[str]:
         return guard_plain(markdown)
     body = lambda rows: "\n".join([*table[:2], *rows])
     out = []
-    for rows in packed(table[2:], body):
+    for rows in packed(table[2:], rows_under(body([]), False)):
         p = body(rows)
         out += [p] if fits(p) else [x if "|" in x else body([x]) for x in guard_plain(p)]
     return out
@@ -130,17 +171,27 @@ def _split(chunks: DataFrame, pieces: dict[bool, Callable[[str], list[str]]], wh
         import pyarrow as pa
 
         at, kind = names.index("content"), names.index("_table")
+
+        def made(b, rows: list[tuple]):
+            index = pa.array([r[0] for r in rows], pa.int64())
+            columns = [pa.array([r[2] for r in rows], pa.string()) if j == at else c.take(index) for j, c in enumerate(b.columns)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=[*names, "sub", "dropped"])
+
         for b in batches:
-            for i, (text, is_table) in enumerate(zip(b.column(at).to_pylist(), b.column(kind).to_pylist(), strict=True)):
-                every = pieces[is_table](text)
+            rows, n = [], 0
+            for i, (text, is_table) in enumerate(zip(b.column(at), b.column(kind), strict=True)):
+                every = pieces[is_table.as_py()](text.as_py())
                 some = [(k, p) for k, p in enumerate(every) if whole or fits(p)]
                 lost = len(every) - len(some)
                 if not some:
                     some = [(None, None)]  # the row stands for what was dropped
-                row = b.slice(i, 1)
-                columns = [c.take(pa.array([0] * len(some))) for c in row.columns]
-                columns[at] = pa.array([p for _, p in some], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([k for k, _ in some], pa.int32()), pa.array([lost] + [0] * (len(some) - 1), pa.int32())], names=[*names, "sub", "dropped"])
+                rows += [(i, k, p, lost if j == 0 else 0) for j, (k, p) in enumerate(some)]
+                n += sum(len(p or "") for _, p in some)
+                if n >= HELD:
+                    yield made(b, rows)
+                    rows, n = [], 0
+            if rows:
+                yield made(b, rows)
 
     schema = P.StructType([*rest.schema.fields, P.StructField("sub", P.IntegerType()), P.StructField("dropped", P.IntegerType())])
     cut = rest.mapInArrow(run, schema)

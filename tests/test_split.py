@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 
 import pytest
@@ -187,3 +188,35 @@ def test_recursive_chunks_are_parts_of_their_texts(spark):
             assert at >= 0
             end = max(end, at + len(r.chunk))
         assert not texts[i][end:].strip()
+
+
+def slowly_packed(parts, whole):
+    """Runs by measuring the whole text again with each part."""
+    held = []
+    for p in parts:
+        if held and not split.fits(whole([*held, p])):
+            yield held
+            held = []
+        held.append(p)
+    if held:
+        yield held
+
+
+def test_packing_measures_each_part_and_not_its_run_again(monkeypatch):
+    rnd = random.Random(5)
+    ends = ["", " ", " ", "\x0b", "  "]
+    odd = lambda most: rnd.choice(ends) + "".join(rnd.choice(["w", "ab ", "| ", " ", "x" * 30, "\x0b", "."]) for _ in range(rnd.randint(1, most))) + "z|" + rnd.choice(ends)
+    for _ in range(8):
+        head = ["h |" + rnd.choice(ends), "| --- |"]
+        rows = [r for r in "\n".join(odd(rnd.choice([8, 300])) for _ in range(rnd.randint(3, 400))).splitlines() if r.strip()]
+        body = lambda some: "\n".join([*head, *some])
+        assert list(split.packed(rows, split.rows_under(body([]), False))) == list(slowly_packed(rows[:], body))
+        rows = [split.tidy("x\n" + r + "\nx")[2:-2] for r in rows]
+        lead = split.tidy("x\n" + body([]) + "\nx")[2:-2]
+        assert list(split.packed(rows, split.rows_under(lead, True))) == list(slowly_packed(rows, lambda some: split.tidy("\n".join([lead, *some]))))  # noqa: B023
+        paragraphs = [r.rstrip() for r in rows]
+        assert list(split.packed(paragraphs, split.paragraphs_in_a_row)) == list(slowly_packed(paragraphs, lambda some: "".join(some).strip()))
+    read = []
+    monkeypatch.setattr(split, "words", lambda t: read.append(len(t)) or len(split.WORD.findall(t)))
+    text = table(20_000, 3)
+    assert len(split.table_pieces(text)) > 50 and sum(read) < 4 * len(text)
