@@ -29,9 +29,8 @@ def corpus_terms(docs: DataFrame, text_col: str) -> DataFrame:
 
     One pass over the texts, counted where they are read."""
     t = docs.select(T.index_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("dl")))
-    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("dl")))
-    return t.select(F.inline(F.concat(own, each))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    each = t.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl")).otherwise(0)).alias("dl"))
 
 
 def term_idf(terms: DataFrame) -> DataFrame:
@@ -46,9 +45,10 @@ def term_idf(terms: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", idf_cap: int | None = None) -> DataFrame:
     """(qid, id, score), rounded to 6 places, of every document that shares a term with the query.
 
-    The texts are read twice: for the terms' statistics, and for the queries' terms, which alone are counted and
-    shuffled. Up to MOST_TERMS query terms are broadcast, to filter where texts are read and to meet the counts; more
-    are joined by a shuffle.
+    The texts are read twice: for the terms' statistics, and for the queries' terms. For these they are dealt by document
+    first, which is the partitioning that the counts, the sums and a list's k best all need: only the texts are shuffled,
+    never postings, nor postings multiplied by queries. Up to MOST_TERMS query terms are broadcast, to filter and to meet
+    the counts; more are joined by a shuffle.
     idf_cap keeps only so many terms of each query, those of the highest idf.
     """
     corpus = corpus_terms(docs, text_col)
@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
         terms = terms.withColumn("r", F.row_number().over(w)).where(F.col("r") <= idf_cap).drop("r")
     if names.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
         names = F.broadcast(names)
-    d = docs.select(F.col(id_col).alias("id"), T.index_tokens(F.col(text_col)).alias("t"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", T.index_tokens(F.col("text")).alias("t"))
     posts = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(names, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
         terms = F.broadcast(terms)
@@ -77,10 +77,13 @@ def summed(hit: DataFrame) -> DataFrame:
 def padded(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", q_id: str = "item_id") -> DataFrame:
     """scored with documents of score 0, those of the smallest ids, so that every query has k rows if there are so many.
 
-    The k smallest ids are enough for any query; they are one row, broadcast."""
-    first = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy("id").limit(k).agg(F.collect_list("id").alias("ids"))
-    more = queries.select(F.col(q_id).alias("qid")).distinct().crossJoin(F.broadcast(first)).select("qid", F.explode("ids").alias("id"))
-    return scored.unionByName(more.join(scored.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)))
+    The k smallest ids are enough for any query, and all that the driver gets; so the documents that are scored once more,
+    to see which of them have a score, are at most k."""
+    ids = [r[0] for r in docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy("id").limit(k).collect()]
+    first = F.array(*map(F.lit, ids)).cast(f"array<{scored.schema['id'].dataType.simpleString()}>")
+    more = queries.select(F.col(q_id).alias("qid")).distinct().select("qid", F.explode(first).alias("id"))
+    has = scored.where(F.col("id").isin(ids)).select("qid", "id")
+    return scored.unionByName(more.join(has, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)))
 
 
 def ranked(scored: DataFrame, k: int, query: str = "qid", item: str = "id", score: str = "score") -> DataFrame:

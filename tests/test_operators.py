@@ -100,3 +100,25 @@ def test_stream_equals_batch(spark, events, tmp_path):
     q = state.append_sink(state.telemetry(state.first_in_flight(s, ["event_id"], wait="1 day")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_bm25_deals_texts_and_no_postings(spark):
+    from marlstone.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b c"), (2, "b c"), (3, None), (None, "a a"), (4, "d d a"), (5, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "b a"), (11, "z"), (12, "d b b")], "item_id long, text string")
+    scored = R.bm25(docs, asked)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert any("hashpartitioning(id#" in x for x in dealt) and not any("hashpartitioning(qid#" in x and ", id#" in x or "hashpartitioning(term#" in x and ", id#" in x for x in dealt)
+    got = {(r.qid, r.id): r.score for r in scored.collect()}
+    assert set(got) == {(10, 1), (10, 2), (10, None), (10, 4), (12, 1), (12, 2), (12, 4)}
+    full = {(r.qid, r.id): r.score for r in R.padded(scored, docs, asked, 4).collect()}
+    assert full == {(q, i): 0.0 for q in (10, 11, 12) for i in (1, 2, 3)} | got
+
+
+def test_corpus_terms_count_documents_and_lengths(spark):
+    from marlstone.operators import retrieval as R
+
+    got = {r.term: (r.df, r.dl) for r in R.corpus_terms(spark.createDataFrame([("a b b",), (None,), ("",), ("b",)], "text string"), "text").collect()}
+    assert got == {None: (4, 4), "a": (1, 0), "b": (2, 0)}
