@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ NAV_WORDS, CONTENT_WORDS = ("menu", "navigace", "přihlášení", "kontakt", "vy
 SHORT_SCAN, LEAST_OCR = 50, 0.3
 
 
+def bound(x: Column, made: Callable[[Column], Column]) -> Column:
+    """made(x), with x computed once however often made has it."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def _count(x: Column, p: str) -> Column:
     return F.regexp_count(x, F.lit(p))
 
@@ -125,34 +132,44 @@ def _present(named: list[tuple[str, Column]]) -> Column:
 
 
 def ocr_issues(x: Column, engine: Column | None = None) -> tuple[Column, Column]:
-    """(score, issues) of text from a scan: 1 less 0.35 (short), 0.25 (ten equal characters in a row), 0.20 (few blanks),
-    0.30 (few letters and digits), 0.20 (many single characters) and 0.25 (a low confidence of the engine, if it gives
-    one); 0 and empty_output without text."""
-    t = stripped(F.coalesce(x, F.lit("")))
-    n, w = F.length(t), word_list(t)
-    one = F.filter(w, lambda v: F.length(F.regexp_replace(v, r"^[.,;:()\[\]{}|]+|[.,;:()\[\]{}|]+$", "")) == 1)
+    """The two fields of ocr_result."""
+    r = ocr_result(x, engine)
+    return r["score"], r["issues"]
+
+
+def ocr_result(x: Column, engine: Column | None = None) -> Column:
+    """struct(score, issues) of text from a scan: 1 less 0.35 (short), 0.25 (ten equal characters in a row), 0.20 (few
+    blanks), 0.30 (few letters and digits), 0.20 (many single characters) and 0.25 (a low confidence of the engine, if it
+    gives one); 0 and empty_output without text. The text is stripped once, and searched once for each rule."""
+    single = lambda v: F.filter(v, lambda t: t.rlike(r"^[.,;:()\[\]{}|]*[^.,;:()\[\]{}|][.,;:()\[\]{}|]*\z"))
     rules = [
-        ("too_short", n < SHORT_SCAN, 0.35), ("repeated_single_chars", t.rlike(r"(?iu)([^\n\r])\1{9,}"), 0.25), ("few_or_no_spaces", (_share(t, r"\s") < 0.03) & (n > 100), 0.20),
-        ("mostly_non_alphanumeric", 1 - _share(t, r"[\p{L}\p{N}]") > 0.55, 0.30), ("many_single_character_tokens", (F.size(w) > 20) & (F.size(one) / F.greatest(F.size(w), F.lit(1)) > 0.35), 0.20),
+        ("too_short", lambda t: F.length(t) < SHORT_SCAN, 0.35), ("repeated_single_chars", lambda t: t.rlike(r"(?iu)([^\n\r])\1{9,}"), 0.25),
+        ("few_or_no_spaces", lambda t: (F.length(t) > 100) & (_share(t, r"\s") < 0.03), 0.20), ("mostly_non_alphanumeric", lambda t: 1 - _share(t, r"[\p{L}\p{N}]") > 0.55, 0.30),
+        ("many_single_character_tokens", lambda t: bound(word_list(t), lambda w: (F.size(w) > 20) & (F.size(single(w)) / F.greatest(F.size(w), F.lit(1)) > 0.35)), 0.20),
     ]
     if engine is not None:
-        rules.append(("low_engine_confidence", F.coalesce(engine < LEAST_OCR, F.lit(False)), 0.25))
-    s = F.lit(1.0)
-    for _, c, cost in rules:
-        s = s - F.when(c, F.lit(cost)).otherwise(F.lit(0.0))
-    s = F.round(F.greatest(F.lit(0.0), s), 4)
-    issues = _present([*((name, c) for name, c, _ in rules), ("below_min_quality", s < LEAST_OCR)])
-    return F.when(n == 0, 0.0).otherwise(s), F.when(n == 0, F.array(F.lit("empty_output"))).otherwise(issues)
+        rules.append(("low_engine_confidence", lambda t: F.coalesce(engine < LEAST_OCR, F.lit(False)), 0.25))
+
+    def result(found: Column) -> Column:
+        s = F.lit(1.0)
+        for name, _, cost in rules:
+            s = s - F.when(found[name], F.lit(cost)).otherwise(F.lit(0.0))
+        s = F.round(F.greatest(F.lit(0.0), s), 4)
+        issues = _present([*((name, found[name]) for name, _, _ in rules), ("below_min_quality", s < LEAST_OCR)])
+        return F.struct(F.when(found["empty"], 0.0).otherwise(s).alias("score"), F.when(found["empty"], F.array(F.lit("empty_output"))).otherwise(issues).alias("issues"))
+
+    facts = lambda t: F.struct((F.length(t) == 0).alias("empty"), *(c(t).alias(name) for name, c, _ in rules))
+    return bound(bound(stripped(F.coalesce(x, F.lit(""))), facts), result)
 
 
 def file_issues(x: Column) -> Column:
     """What is wrong with a file's text, in order."""
-    low, m = F.lower(x), meaningful_length(x)
-    count = lambda terms: sum((_count(low, t) for t in terms), F.lit(0))
-    return _present([
-        ("empty_file", stripped(x) == ""), ("ocr_garbage_suspected", (ocr_garbage(x) > 0.75) & (F.length(x) > 100)), ("boilerplate_or_too_short", m < 200),
-        ("nav_only_page", (count(NAV_WORDS) >= 5) & (count(CONTENT_WORDS) == 0) & (m < 800)),
-    ])
+    count = lambda low, terms: sum((_count(low, t) for t in terms), F.lit(0))
+    only_nav = bound(F.lower(x), lambda low: (count(low, NAV_WORDS) >= 5) & (count(low, CONTENT_WORDS) == 0))
+    return bound(meaningful_length(x), lambda m: _present([
+        ("empty_file", stripped(x) == ""), ("ocr_garbage_suspected", (F.length(x) > 100) & (ocr_garbage(x, m) > 0.75)), ("boilerplate_or_too_short", m < 200),
+        ("nav_only_page", (m < 800) & only_nav),
+    ]))
 
 
 def first_rule(x: Column, rules: list[tuple[str, tuple[str, ...]]], other: str) -> Column:
@@ -171,8 +188,9 @@ def meaningful_length(x: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(x, "[^0-9A-Za-z\\u00C0-\\u024F]", "")), F.lit(0))
 
 
-def ocr_garbage(x: Column) -> Column:
+def ocr_garbage(x: Column, meaningful: Column | None = None) -> Column:
     """Share of other characters in ten-thousandths, halves up (in whole numbers, so exact); 1 for an empty or null text."""
     n = F.length(x).cast("long")
-    half_up = F.floor((F.lit(20000) * (n - meaningful_length(x)) + n).cast("decimal(38,0)") / (2 * n).cast("decimal(38,0)"))
+    m = meaningful_length(x) if meaningful is None else meaningful
+    half_up = F.floor((F.lit(20000) * (n - m) + n).cast("decimal(38,0)") / (2 * n).cast("decimal(38,0)"))
     return F.when(F.coalesce(n, F.lit(0)) == 0, 1.0).otherwise(half_up.cast("double") / 10000)

@@ -75,8 +75,8 @@ def chunk_garbage(spark, d):
 
 def ocr_quality(spark, d):
     x = F.col("text")
-    score, issues = Q.ocr_issues(x, F.expr(ENGINE))
-    return _docs(spark, d).select("doc_id", score.alias("score"), F.array_join(issues, ",").alias("issues"), F.array_join(Q.file_issues(x), ",").alias("file_issues"))
+    d = _docs(spark, d).select("doc_id", Q.ocr_result(x, F.expr(ENGINE)).alias("r"), F.array_join(Q.file_issues(x), ",").alias("file_issues"))
+    return d.select("doc_id", "r.score", F.array_join("r.issues", ",").alias("issues"), "file_issues")
 
 
 def categories(spark, d):

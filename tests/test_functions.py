@@ -73,3 +73,10 @@ def test_noise(spark):
 
 def test_blocked_sections(spark):
     assert one(spark, T.blocked_section, "https://ex.org/Novinky/a", "/kariera/x", "https://blog.ex.org/ucty", "https://ex.org/a/muj-blog", "https://ex.org/?q=blog") == [True, True, False, True, False]
+
+
+def test_scanned_texts_are_stripped_once(spark):
+    d = spark.createDataFrame([("  " + " a" * 30,), ("z" * 12 + " and plain words after it, more than fifty of them",), (" \n",), (None,)], "text string").coalesce(1)
+    r = d.select(Q.ocr_result(F.col("text")).alias("r")).select("r.score", "r.issues")
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [(x.score, list(x.issues)) for x in r.collect()] == [(0.8, ["many_single_character_tokens"]), (0.75, ["repeated_single_chars"]), (0.0, ["empty_output"]), (0.0, ["empty_output"])]
