@@ -32,10 +32,21 @@ def document_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            found = [(i, k, p) for i, text in enumerate(b.column(2).to_pylist()) for k, p in enumerate(split.text_pieces(text or "", size, overlap))]
+        def made(b, found: list[tuple]):
             row = pa.array([x[0] for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())], names=["doc_id", "source_url", "chunk_index", "content"])
+            return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())], names=["doc_id", "source_url", "chunk_index", "content"])
+
+        for b in batches:
+            found, n = [], 0
+            for i, text in enumerate(b.column(2)):
+                for k, p in enumerate(split.text_pieces(text.as_py() or "", size, overlap)):
+                    found.append((i, k, p))
+                    n += len(p)
+                if n >= split.HELD:
+                    yield made(b, found)
+                    found, n = [], 0
+            if found:
+                yield made(b, found)
 
     schema = P.StructType([d.schema["doc_id"], d.schema["source_url"], P.StructField("chunk_index", P.IntegerType()), P.StructField("content", P.StringType())])
     c = d.mapInArrow(run, schema).withColumns({"page": F.lit(None).cast("int"), "chunk_type": F.lit(KIND), "section_title": F.lit("")})

@@ -220,3 +220,19 @@ def test_packing_measures_each_part_and_not_its_run_again(monkeypatch):
     monkeypatch.setattr(split, "words", lambda t: read.append(len(t)) or len(split.WORD.findall(t)))
     text = table(20_000, 3)
     assert len(split.table_pieces(text)) > 50 and sum(read) < 4 * len(text)
+
+
+def test_ingest_holds_few_pieces_at_a_time(spark, monkeypatch):
+    held = []
+    runs = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: runs.append(f) or spark.createDataFrame([], schema))
+    ingest.document_chunks(spark.createDataFrame([(1, "x", "s")], ingest.DOCUMENTS))
+    import pyarrow as pa
+
+    texts = ["one two three. " * 2000] * 200 + [None, ""]
+    b = pa.RecordBatch.from_arrays([pa.array(range(202), pa.int64()), pa.array(["s"] * 202), pa.array(texts)], names=["doc_id", "source_url", "content"])
+    out = list(runs[0](iter([b])))
+    held = [sum(map(len, x.column(3).to_pylist())) for x in out]
+    assert max(held) < split.HELD + 2 * len(texts[0]) and len(out) > 3
+    got = [t for x in out for t in zip(*(x.column(i).to_pylist() for i in (0, 2, 3)))]
+    assert got == [(i, k, p) for i, t in enumerate(texts) for k, p in enumerate(split.text_pieces(t or "", 1100, 150))]
