@@ -47,22 +47,38 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
 
 
-def _lines(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, r"\r\n|\n|\r"), lambda s: F.trim(s)), lambda s: F.contains(s, F.lit("|")))
+def _padded(line: str) -> Column:
+    width = F.size("headers")
+    return F.slice(F.concat(_cells(F.col(line)), F.array_repeat(F.lit(""), width)), F.lit(1), width)
 
 
-def markdown_cells(tables: DataFrame, markdown: str) -> DataFrame:
-    """One row for each line of a markdown table after its first two, with `headers` (the first line's cells), `row_index`
-    and `cells`, padded or cut to the headers' number. Lines of rules are left out; a text with fewer than three lines
-    that have a bar gives no row. The other columns stay, but for the markdown.
+def _lines(x: Column) -> Column:
+    """The trimmed lines that have a bar; one character to split at spares a search by pattern."""
+    plain = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.transform(F.filter(F.split(plain, "\n"), lambda s: F.contains(s, F.lit("|"))), lambda s: F.trim(s))
+
 
-    Lines are exploded first, so that a line's cells are made by a plain expression on a row of its own."""
+def markdown_lines(tables: DataFrame, markdown: str) -> DataFrame:
+    """One row for each line of a markdown table after its first two, with `head` (the first line), `row_index` and `line`.
+    Lines of rules are left out; a text with fewer than three lines that have a bar gives no row. The other columns stay,
+    but for the markdown."""
     rest = [c for c in tables.columns if c != markdown]
-    d = tables.select(*rest, _lines(F.col(markdown)).alias("_lines")).where(F.size("_lines") >= 3)
+    # a generator's row, so that the lines are found once and not again in the filter
+    d = tables.select(*rest, F.explode(F.array(_lines(F.col(markdown)))).alias("_lines")).where(F.size("_lines") >= 3)
     body = F.filter(F.slice("_lines", F.lit(3), F.size("_lines") - 2), lambda s: ~s.rlike(r"^[:\-\s|]+$"))
-    d = d.select(*rest, _cells(F.get("_lines", F.lit(0))).alias("headers"), F.posexplode(body).alias("row_index", "_line"))
-    width = F.size("headers")
-    return d.select(*rest, "headers", "row_index", F.slice(F.concat(_cells(F.col("_line")), F.array_repeat(F.lit(""), width)), F.lit(1), width).alias("cells"))
+    return d.select(*rest, F.get("_lines", F.lit(0)).alias("head"), F.posexplode(body).alias("row_index", "line"))
+
+
+def line_cells(lines: DataFrame) -> DataFrame:
+    """head and line with `headers` (the head's cells) and `cells`, padded or cut to the headers' number."""
+    return lines.select("head", "line", _cells(F.col("head")).alias("headers")).select("*", _padded("line").alias("cells"))
+
+
+def markdown_cells(tables: DataFrame, markdown: str) -> DataFrame:
+    """markdown_lines with headers and cells in place of head and line, each line by itself."""
+    d = markdown_lines(tables, markdown)
+    rest = [c for c in d.columns if c not in ("head", "line", "row_index")]
+    return d.select(*rest, _cells(F.col("head")).alias("headers"), "row_index", "line").select(*rest, "headers", "row_index", _padded("line").alias("cells"))
 
 
 def filled(row: Column) -> Column:

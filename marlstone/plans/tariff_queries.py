@@ -92,19 +92,19 @@ def price_row_audit(spark, d):
     return spark.read.schema("reason string, fee_type string, product_name string").json(f"{folder}/rejected").groupBy("reason", "fee_type", "product_name").count()
 
 
-def _parsed(spark, d) -> DataFrame:
-    return B.markdown_cells(_tables(spark, d), "markdown")
-
-
 def tariff_table_rows(spark, d):
     h, c = F.col("headers"), F.col("cells")
-    df = _parsed(spark, d).where(B.is_pricing_text(F.concat_ws(" ", F.array_join(c, " "), F.array_join(h, " "))))
-    df = df.select("table_id", "row_index", "cells", B.row_fields(h, c).alias("f"), B.row_text(F.lit("Sazebník"), F.lit("Ceny"), F.lit("https://example.org/cenik"), h, c).alias("text"))
-    return df.select("table_id", "row_index", F.array_join(c, "/").alias("cells"), "f.product_name", "f.fee_type", "f.fee_value", F.md5("text").alias("text_md5"), B.bad_table_row(F.col("text")).alias("bad_row"))
+
+    def made(df: DataFrame) -> DataFrame:
+        df = df.where(B.is_pricing_text(F.concat_ws(" ", F.array_join(c, " "), F.array_join(h, " "))))
+        df = df.select("head", "line", "cells", B.row_fields(h, c).alias("f"), B.row_text(F.lit("Sazebník"), F.lit("Ceny"), F.lit("https://example.org/cenik"), h, c).alias("text"))
+        return df.select("head", "line", F.array_join(c, "/").alias("cells"), "f.product_name", "f.fee_type", "f.fee_value", F.md5("text").alias("text_md5"), B.bad_table_row(F.col("text")).alias("bad_row"))
+
+    return O.repeated_cells(_tables(spark, d), "markdown", made)
 
 
 def tariff_price_rows(spark, d):
-    return O.price_rows(_parsed(spark, d))
+    return O.price_rows(O.repeated_cells(_tables(spark, d), "markdown"))
 
 
 def tables_to_markdown(spark, d):
