@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
 from marlstone.functions import text as T
+from marlstone.streaming.folders import stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Most query terms, and most query vectors, that are broadcast; more are joined by a shuffle.
 MOST_TERMS, MOST_VECTORS = 100_000, 2048
+#: Most sums that a task adds up at once.
+SUMS = 1 << 21
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,12 +30,23 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+def split_tokens(x: Column) -> Column:
+    """T.index_tokens by a split, which is faster; an empty text can be at each end."""
+    return F.split(F.lower(x), r"[^\p{L}\p{N}_]+")
+
+
+def n_tokens(t: str) -> Column:
+    """The number of split_tokens' tokens."""
+    first, last = F.get(t, F.lit(0)) == "", (F.size(t) > 1) & (F.get(t, F.size(t) - 1) == "")
+    return F.size(t) - first.cast("int") - last.cast("int")
+
+
 def corpus_terms(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, dl): the documents that hold each term; the row without term has their number and summed lengths.
 
     One pass over the texts, counted where they are read."""
-    t = docs.select(T.index_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    each = t.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    t = docs.select(split_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    each = t.select(n_tokens("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term")).where("term IS NULL OR term <> ''")
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl")).otherwise(0)).alias("dl"))
 
 
@@ -42,36 +59,126 @@ def term_idf(terms: DataFrame) -> DataFrame:
     return t.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", idf_cap: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", idf_cap: int | None = None, best: int | None = None) -> DataFrame:
     """(qid, id, score), rounded to 6 places, of every document that shares a term with the query.
+    idf_cap keeps only so many terms of each query, those of the highest idf. best: see hits_scored."""
+    return bm25_lists(docs, queries, (idf_cap,), id_col, text_col, q_id, q_text, best).drop("list")
+
 
-    The texts are read twice: for the terms' statistics, and for the queries' terms. For these they are dealt by document
-    first, which is the partitioning that the counts, the sums and a list's k best all need: only the texts are shuffled,
-    never postings, nor postings multiplied by queries. Up to MOST_TERMS query terms are broadcast, to filter and to meet
-    the counts; more are joined by a shuffle.
-    idf_cap keeps only so many terms of each query, those of the highest idf.
+def bm25_lists(docs: DataFrame, queries: DataFrame, caps: tuple[int | None, ...], id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", best: int | None = None) -> DataFrame:
+    """(list, qid, id, score) of bm25 with each of caps, whose place is the list's number.
+
+    The texts are read twice, however many caps there are: for the terms' statistics, and for the queries' terms. For these
+    they are dealt by document first, which is the partitioning that the counts, the sums and a list's k best all need:
+    only the texts are shuffled, never postings, nor postings multiplied by queries. Up to MOST_TERMS query terms are
+    added up where the documents are (see hits_scored); more are joined by a shuffle.
     """
     corpus = corpus_terms(docs, text_col)
     avgdl = corpus.where("term is null").select((F.col("dl") / F.col("df")).alias("avgdl"))
-    asked = query_terms(queries, q_id, q_text)
-    names = asked.select("term").distinct()
-    terms = asked.join(term_idf(corpus), "term")
-    if idf_cap:
-        w = Window.partitionBy("qid").orderBy(F.desc(F.round("idf", 9)), "term")
-        terms = terms.withColumn("r", F.row_number().over(w)).where(F.col("r") <= idf_cap).drop("r")
-    if names.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        names = F.broadcast(names)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", T.index_tokens(F.col("text")).alias("t"))
-    posts = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(names, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        terms = F.broadcast(terms)
-    return summed(posts.join(terms, "term").crossJoin(F.broadcast(avgdl)))
-
-
-def summed(hit: DataFrame) -> DataFrame:
-    """(qid, id, score) of postings (id, tf, dl) that were hit by (qid, qtf, idf), with avgdl."""
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    base = stored(query_terms(queries, q_id, q_text).join(term_idf(corpus), "term").crossJoin(F.broadcast(avgdl)), "query-terms")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("idf", 9)), "term")
+    terms = None
+    for i, cap in enumerate(caps):
+        own = base.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r") if cap else base
+        own = own.select(F.lit(i).alias("list"), "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
+        terms = own if terms is None else terms.unionByName(own)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", split_tokens(F.col("text")).alias("t"))
+    d = d.select("id", n_tokens("t").alias("dl"), F.explode("t").alias("term"))
+    return hits_scored(d, terms, None, best)
+
+
+def hits_scored(tokens: DataFrame, terms: DataFrame, tf: str | None, best: int | None = None) -> DataFrame:
+    """(list, qid, id, score): the sums over what terms (list, qid, term, weight, avgdl) hit of tokens (id, dl, term), which are
+    dealt by id; tf is their column of counts, or each row counts once.
+
+    Up to MOST_TERMS terms come to every task as arrays: it sorts its hits by document and adds up the documents one after
+    another, so that it holds few sums at a time, and a hit isn't multiplied by its queries in rows. More are joined and
+    grouped. best: only a list's best so many are wanted; documents that a task knows to be behind as many others, ties of
+    the rounded score left aside, can be missing then, and the rest still has to be ranked.
+    """
+    spark, kinds = tokens.sparkSession, tokens.schema
+    count = F.sum(tf) if tf else F.count("*")
+    asked = terms.limit(MOST_TERMS + 1).collect()
+    if len(asked) > MOST_TERMS:
+        posts = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(count.alias("tf"))
+        return summed(posts.join(terms, "term"), "list")
+    numbers = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
+    queries = {q: i for i, q in enumerate(dict.fromkeys((r.list, r.qid) for r in asked))}
+    names = spark.createDataFrame(list(numbers.items()), "term string, no int")
+    hits = tokens.join(F.broadcast(names), "term").groupBy("id", "dl", "no").agg(count.cast("long").alias("tf"))
+    asked.sort(key=lambda r: numbers[r.term])
+    of = [numbers[r.term] for r in asked]
+    add = _adder(of, [queries[r.list, r.qid] for r in asked], [r.weight for r in asked], len(numbers), len(queries), asked[0].avgdl if asked else None, best)
+    got = hits.sortWithinPartitions("id").mapInArrow(add, P.StructType([P.StructField("q", P.IntegerType()), P.StructField("id", kinds["id"].dataType), P.StructField("s", P.DoubleType())]))
+    back = spark.createDataFrame([(i, n, q) for (n, q), i in queries.items()], P.StructType([P.StructField("q", P.IntegerType()), P.StructField("list", P.IntegerType()), P.StructField("qid", terms.schema["qid"].dataType)]))
+    return got.join(F.broadcast(back), "q").select("list", "qid", "id", F.round("s", 6).alias("score"))
+
+
+def _adder(of: list[int], query: list[int], weight: list[float], n_terms: int, n_queries: int, avgdl: float | None, best: int | None):
+    """Batches of hits (id, dl, no, tf), sorted by id, to (q, id, s); of, query and weight are the terms' parts in the terms' order."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        start = np.searchsorted(np.array(of, np.int64), np.arange(n_terms + 1))
+        q, w = np.array(query, np.int64), np.array(weight, np.float64)
+        top = np.full((best, n_queries), -np.inf) if best and best * n_queries <= SUMS else None
+
+        def wanted(sums, hit):
+            """Of the places hit those that can be among the best: not 2e-6 under the least of as many seen before."""
+            seen = np.full(len(sums), -np.inf)
+            seen[hit] = sums[hit]
+            top[:] = np.partition(np.concatenate([top, seen.reshape(-1, n_queries)]), -best, axis=0)[-best:]
+            return hit[sums[hit] >= top.min(axis=0)[hit % n_queries] - 2e-6]
+
+        def added(b):
+            """Sums of whole documents."""
+            code = b.column("id").dictionary_encode(null_encoding="encode")
+            doc = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            no, tf, dl = (b.column(c).to_numpy(zero_copy_only=False) for c in ("no", "tf", "dl"))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            each = start[no + 1] - start[no]
+            ends = np.cumsum(each)
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # where a document starts
+            most = max(1, SUMS // n_queries)
+            i = 0
+            while i < len(first):
+                j = i + 1
+                while j < len(first) and j - i < most and ends[(first[j + 1] if j + 1 < len(first) else len(doc)) - 1] - (ends[first[i] - 1] if first[i] else 0) <= SUMS:
+                    j += 1
+                rows = slice(first[i], first[j] if j < len(first) else len(doc))
+                n = each[rows]
+                of_row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(of_row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[no[rows]], n)
+                key = (doc[rows][of_row] - doc[first[i]]) * n_queries + q[at]
+                size = (j - i) * n_queries
+                sums, hit = np.bincount(key, w[at] * part[rows][of_row], size), np.flatnonzero(np.bincount(key, minlength=size))
+                hit = hit if top is None else wanted(sums, hit)
+                ids = code.dictionary.take(pa.array(doc[first[i]] + hit // n_queries))
+                yield pa.RecordBatch.from_arrays([pa.array(hit % n_queries, pa.int32()), ids, pa.array(sums[hit])], names=["q", "id", "s"])
+                i = j
+
+        held = None
+        for b in batches:
+            b = b if held is None else pa.concat_batches([held, b])
+            if not len(b):
+                continue
+            code = b.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(code == code[-1])[0])  # the last document may go on in the next batch
+            if cut:
+                yield from added(b.slice(0, cut))
+            held = b.slice(cut)
+        if held is not None and len(held):
+            yield from added(held)
+
+    return run
+
+
+def summed(hit: DataFrame, *by: str) -> DataFrame:
+    """(*by, qid, id, score) of postings (id, tf, dl) that were hit by (qid, weight), with avgdl."""
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hit.groupBy(*by, "qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def padded(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", q_id: str = "item_id") -> DataFrame:

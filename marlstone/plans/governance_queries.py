@@ -13,6 +13,7 @@ from marlstone.operators import governance as G
 from marlstone.operators import retrieval as R
 from marlstone.operators import second_pass as S
 from marlstone.plans.retrieval_queries import _bm25, _scored, _t, _top
+from marlstone.streaming.folders import stored
 
 # Metadata of retrieved documents by numbers of theirs, in SQL that both engines read.
 META = [
@@ -42,7 +43,7 @@ ITEMS = [
 def _meta(spark, d, top: DataFrame | None = None) -> DataFrame:
     """The top 20 of each query, or the given ranking, with the metadata of a governed source."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    m = (R.ranked(_scored(spark, d), 20) if top is None else top).join(docs, "id").selectExpr("qid", "id", "score", "rank", "source", "lang", *(f"{e} AS {n}" for n, e in META))
+    m = stored(R.ranked(_scored(spark, d, best=20), 20) if top is None else top, "top").join(docs, "id").selectExpr("qid", "id", "score", "rank", "source", "lang", *(f"{e} AS {n}" for n, e in META))
     return m.withColumn("tier", G.authority_tier(*(F.col(c) for c in ("url", "title", "file_name", "document_type", "category", "chunk_type"))))
 
 
@@ -78,11 +79,11 @@ def _recovered(spark, d) -> tuple[DataFrame, DataFrame]:
     sparse, dense = S.weights(0.4, 0.6)
 
     def search(asked: DataFrame, k: int) -> DataFrame:
-        lists = [R.ranked(R.bm25(docs, asked, q_id="qid", idf_cap=cap), k) for cap in (None, 4)]
+        lists = [R.ranked(R.bm25(docs, asked, q_id="qid", idf_cap=cap, best=k), k) for cap in (None, 4)]
         return _meta(spark, d, R.ranked(R.rrf(list(zip(lists, (sparse, dense)))), k))
 
     queries = _t(spark, d, "benchmark").selectExpr("item_id AS qid", "text", f"array({LABELS}) AS labels")
-    return S.recovered(_meta(spark, d, R.ranked(_scored(spark, d), FIRST)), queries, search, FIRST)
+    return S.recovered(_meta(spark, d, R.ranked(_scored(spark, d, best=FIRST), FIRST)), queries, search, FIRST)
 
 
 def governance_recovery(spark, d):

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import evaluate as E
 from marlstone.operators import governance as G
 from marlstone.operators import retrieval as R
+from marlstone.streaming.folders import stored
 
 
 def _t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _scored(spark, d, cap=None) -> DataFrame:
-    return R.bm25(_t(spark, d, "documents"), _t(spark, d, "benchmark"), idf_cap=cap)
+def _scored(spark, d, cap=None, best=None) -> DataFrame:
+    return R.bm25(_t(spark, d, "documents"), _t(spark, d, "benchmark"), idf_cap=cap, best=best)
 
 
 def _with_docs(spark, d, scored: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def _with_docs(spark, d, scored: DataFrame) -> DataFrame:
 
 def _meta(spark, d) -> DataFrame:
     """The top 20 of each query as governed documents: family = source, generation, year, archived and tier from columns."""
-    top = R.ranked(_scored(spark, d), 20)
+    top = stored(R.ranked(_scored(spark, d, best=20), 20), "top")  # read more than once by some, and small
     m = _with_docs(spark, d, top)
     return m.select("qid", "id", "score", "rank", F.col("source").alias("family"), F.concat("source", F.lit("/"), (F.col("id") % 3).cast("string")).alias("document"), (F.col("id") % 4).alias("generation"), (2018 + F.col("id") % 9).alias("year"), (F.col("id") % 5 == 0).alias("archived"), (1 + F.col("id") % 10).alias("tier"), "lang", "n_chars")
 
@@ -44,7 +45,7 @@ def term_stats(spark, d):
 
 
 def idf_capped_query_terms(spark, d):
-    return R.ranked(_scored(spark, d, 4), 10)
+    return R.ranked(_scored(spark, d, 4, 10), 10)
 
 
 def cosine_topk(spark, d):
@@ -53,7 +54,10 @@ def cosine_topk(spark, d):
 
 
 def rrf_two_rankings(spark, d):
-    a, b = R.ranked(_scored(spark, d), 20), R.ranked(_scored(spark, d, 4), 20)
+    both = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    w = Window.partitionBy("list", "qid").orderBy(F.desc("score"), "id")
+    top = stored(R.bm25_lists(*both, (None, 4), best=20).withColumn("rank", F.row_number().over(w)).where("rank <= 20"), "top")
+    a, b = top.where("list = 0"), top.where("list = 1")
     return R.ranked(R.rrf([(a, 0.4), (b, 0.6)]), 5)
 
 
@@ -72,7 +76,7 @@ def rerank_lexical(spark, d):
     """The first 10 candidates by the share of the query's tokens that the document holds: the stand-in for a model."""
     from marlstone.functions import text as T
 
-    top = R.ranked(_scored(spark, d), 10)
+    top = R.ranked(_scored(spark, d, best=10), 10)
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(T.index_tokens(F.col("text"))).alias("q"))
     t = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.index_tokens(F.col("text"))).alias("t"))
     s = top.select("qid", "id").join(q, "qid").join(t, "id").select("qid", "id", F.round(F.size(F.array_intersect("q", "t")) / F.size("q"), 4).alias("score"))
@@ -121,11 +125,13 @@ def query_expansion(spark, d):
 
 def precision_at_3(spark, d):
     lab = _t(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return E.precision_at(R.ranked(_scored(spark, d), 3).join(lab, "id", "left"), F.col("quality") == 1, 3)
+    return E.precision_at(R.ranked(_scored(spark, d, best=3), 3).join(lab, "id", "left"), F.col("quality") == 1, 3)
 
 
 def stage_trace(spark, d):
-    scored = _with_docs(spark, d, _scored(spark, d))
+    w = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "id")
+    best = _with_docs(spark, d, _scored(spark, d)).withColumn("_r", F.row_number().over(w)).where("_r <= 5").drop("_r")
+    scored = stored(best, "top")  # both lists are of each source's first 5; read twice
     a = R.ranked(scored, 5).select(F.lit("sparse").alias("stage"), "qid", "id", "rank")
     b = R.capped(scored, "source", 2, 5).select(F.lit("capped").alias("stage"), "qid", "id", "rank")
     return a.unionByName(b)

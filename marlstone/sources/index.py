@@ -107,7 +107,7 @@ def _raw(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def answer(spark: SparkSession, folder: str, queries: DataFrame, q_id: str = "item_id", q_text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def answer(spark: SparkSession, folder: str, queries: DataFrame, q_id: str = "item_id", q_text: str = "text", buckets: int = BUCKETS, best: int | None = None) -> DataFrame:
     """(qid, id, score) like retrieval.bm25, from the index; reads the directories of the queries' terms only."""
     s = _statistics(spark, folder)
     asked = R.query_terms(queries, q_id, q_text).withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -117,7 +117,8 @@ def answer(spark: SparkSession, folder: str, queries: DataFrame, q_id: str = "it
     names = light(asked.select("term").distinct())
     df = _terms(spark, folder, s.gen).where(need).join(names, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     raw = _raw(F.lit(s.n), F.col("df"))
-    terms = asked.join(df, "term").select("qid", "term", "qtf", F.when(raw < 0, F.lit(R.FLOOR) * F.lit(s.mean)).otherwise(raw).alias("idf"))
+    idf = F.when(raw < 0, F.lit(R.FLOOR) * F.lit(s.mean)).otherwise(raw)
+    terms = asked.join(df, "term").select(F.lit(0).alias("list"), "qid", "term", (F.col("qtf") * idf).alias("weight"), F.lit(s.avgdl).alias("avgdl"))
     # dealt by document before the queries multiply them, which is the partitioning that the sums need
     hit = _postings(spark, folder, s.gen).where(need).join(names, "term", "left_semi").select("term", "id", "tf", "dl").repartition("id")
-    return R.summed(hit.join(light(terms), "term").withColumn("avgdl", F.lit(s.avgdl)))
+    return R.hits_scored(hit, terms, "tf", best).drop("list")
