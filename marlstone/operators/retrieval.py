@@ -215,13 +215,15 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 25
     """(qid, id, score, rank): each query vector's k nearest by cosine, rounded to 6 places, itself excepted.
 
     A stated query set against all rows: vectors stay where they are read, up to MOST_VECTORS queries come to them as a
-    broadcast, more in blocks by a join, and every task keeps its k best before the shuffle.
+    broadcast, more in blocks by a join, and every task keeps its k best before the shuffle. Where they are broadcast, a
+    product of matrices tells which pairs can be among a task's best, and only these are folded.
     """
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     v = vectors.select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("v"))
     q = queries.select(F.col("vec_id").alias("qid"), unit(F.col("embedding")).alias("qv"))
     if queries.select("vec_id").limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
-        j = v.join(F.broadcast(q), F.col("id") != F.col("qid"))
+        near = _near(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")), queries, k)
+        j = near.select("id", unit(F.col("e")).alias("v"), F.explode("at").alias("n")).join(F.broadcast(_numbered(queries, unit)), "n").where("id <> qid")
     else:
         q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
         j = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").where("id <> qid")
@@ -229,6 +231,60 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 25
     return ranked(s, k)
 
 
+def _numbered(queries: DataFrame, unit) -> DataFrame:
+    """(n, qid, qv) of up to MOST_VECTORS queries, numbered in the order that the driver gets them in."""
+    got = [(i, r[0], r[1]) for i, r in enumerate(_asked(queries))]
+    kinds = queries.select("vec_id", "embedding").schema
+    d = queries.sparkSession.createDataFrame(got, P.StructType([P.StructField("n", P.IntegerType()), P.StructField("qid", kinds[0].dataType), P.StructField("e", kinds[1].dataType)]))
+    return d.select("n", "qid", unit(F.col("e")).alias("qv"))
+
+
+def _asked(queries: DataFrame) -> list:
+    return sorted(map(tuple, queries.select("vec_id", "embedding").collect()), key=repr)
+
+
+def _near(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors (id, e) with `at`, the numbers of the queries that each can be among the k nearest of: those not 2e-6 under the
+    least of k seen before in its task. Vectors with nulls, zero or non-finite ones, and those of other lengths are at all."""
+    asked = _asked(queries)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(vs, width):
+            out = np.zeros((len(vs), width))
+            for i, v in enumerate(vs):
+                if v is not None and len(v) == width and None not in v:
+                    out[i] = v
+            out[~np.isfinite(out).all(axis=1)] = 0
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            ok = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+            out[~ok] = 0
+            return out / np.where(ok[:, None], norm, 1), ok
+
+        width = max((len(e) for _, e in asked if e is not None), default=0)
+        q, q_ok = rows([e for _, e in asked], width)
+        own = {}
+        for n, (i, _) in enumerate(asked):
+            own.setdefault(i, []).append(n)
+        top = np.full((k, len(asked)), -np.inf)
+        for whole in batches:
+            for b in (whole.slice(a, 1024) for a in range(0, len(whole), 1024)):
+                v, ok = rows(b.column(1).to_pylist(), width)
+                s = v @ q.T
+                s[~ok] = -np.inf
+                for r, i in enumerate(b.column(0).to_pylist()):
+                    s[r, own.get(i, []) if i is not None else slice(None)] = -np.inf
+                top = np.partition(np.concatenate([top, s]), -k, axis=0)[-k:]
+                keep = (s >= top.min(axis=0) - 2e-6) | ~ok[:, None] | ~q_ok
+                n = keep.sum(axis=1)
+                at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.nonzero(keep)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, at], names=["id", "e", "at"])
+
+    return vectors.mapInArrow(run, P.StructType([*vectors.schema.fields, P.StructField("at", P.ArrayType(P.IntegerType()))]))
+
+
 def rrf(rankings: list[tuple[DataFrame, float | Column]], k: int = 60) -> DataFrame:
     """(qid, id, score): the sum of weight / (k + rank) over the rankings; a weight can be a column of its ranking."""
     out = None

@@ -26,3 +26,14 @@ def test_arrays_and_joins_agree(spark, monkeypatch, sums, kind):
     monkeypatch.setattr(R, "MOST_TERMS", 0)
     assert got == rows(R.bm25(docs, asked)) and lists == rows(R.bm25_lists(docs, asked, (None, 2))) and top == rows(R.ranked(R.bm25(docs, asked), 4))
     assert not R.bm25(docs.limit(0), asked).count() and not R.bm25(docs, asked.limit(0)).count()
+
+
+def test_cosine_by_matrices_and_by_joins_agree(spark, monkeypatch):
+    vectors = [(i, [float((i * (j + 3)) % 17 - 8) + 0.5 for j in range(6)]) for i in range(400)]
+    vectors += [(400, None), (401, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (402, [1.0, 2.0]), (3, [2.0] * 6), (None, [1.0] * 6), (450, [float("nan")] * 6)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 50 = 0")
+    got = R.cosine_topk(v, q, 5)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    monkeypatch.setattr(R, "MOST_VECTORS", 0)
+    assert repr(rows(got)) == repr(rows(R.cosine_topk(v, q, 5))) and got.count() == 50  # by repr, as NaN differs from itself
