@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,20 @@ FILLERS = ("the", "a", "an", "of", "to", "please", "is", "what", "how", "for")
 
 def clean(x: Column) -> Column:
     """Non-breaking space to space, runs of spaces and tabs to one, three or more newlines to two, trimmed."""
-    x = F.translate(x, "\u00a0", " ")
-    x = F.regexp_replace(x, r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    x = _where(F.replace(x, F.lit("\u00a0"), F.lit(" ")), lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), lambda t: F.regexp_replace(t, r"[ \t]+", " "))
+    x = _where(x, lambda t: F.contains(t, F.lit("\n\n\n")), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return stripped(x)
+
+
+def stripped(x: Column) -> Column:
+    """Without white space at the ends; the pattern is tried only on texts that begin or end with what it can take or end at."""
+    ends = lambda t: F.substring(t, 1, 1).isin(*" \t\n\x0b\f\r") | F.substring(t, -1, 1).isin(*" \t\n\x0b\f\r\x85\u2028\u2029")
+    return _where(x, ends, lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
+def _where(x: Column, some: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
+    """x, or what is made of it where `some` holds; x is computed once."""
+    return F.transform(F.array(x), lambda t: F.when(some(t), made(t)).otherwise(t))[0]
 
 
 def join_hyphens(x: Column) -> Column:
@@ -98,7 +111,9 @@ def approx_tokens(x: Column) -> Column:
 
 
 def within_embed_limit(x: Column, chars: int = 4000, tokens: int = 1500) -> Column:
-    return (F.length(x) <= chars) & (approx_tokens(x) <= tokens)
+    """Words are counted only where there can be too many: each takes a character and one between."""
+    n_words = F.size(F.regexp_extract_all(x, F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0)))
+    return (F.length(x) <= chars) & (F.floor(F.length(x) / 3) <= tokens) & ((F.length(x) <= 2 * tokens) | (n_words <= tokens))
 
 
 def years(x: Column, least: int = 2000, most: int = 2027) -> Column:

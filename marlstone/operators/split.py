@@ -1,8 +1,8 @@
 """Splitting chunks that are too long for an embedding model: by paragraphs, by table rows, and by force.
 
 Fixed limits: CHARS characters and TOKENS approximate tokens (a third of the characters, or the words, whichever is more).
-Rows within the limits pass natively; only the others go through Python, and each becomes its pieces with the id of its
-parent and a number. Two ways of splitting are offered, as two stages use them: `embed_limits` cuts plain text at the first
+Rows within the limits pass as they are; each of the others becomes its pieces with the id of its parent and a number, in the
+one pass over the chunks. Two ways of splitting are offered, as two stages use them: `embed_limits` cuts plain text at the first
 separator that helps and keeps all pieces; `guard` packs paragraphs and leaves out pieces that are still too long, which
 `dropped` counts. Tables are packed row by row under their repeated header.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
 from marlstone.functions import text as T
-from marlstone.functions.quality import stripped
 from marlstone.operators.chunk import recursive_split
 
 #: Fixed limits, the size and the overlap of pieces, and what stands between parts.
@@ -31,7 +30,8 @@ RULE = re.compile(r"\|?\s*:?-{3,}")
 
 
 def words(text: str) -> int:
-    return len(WORD.findall(text))
+    """The number of WORD's words: bytes are split at the same six characters, and faster."""
+    return len(text.encode().split())
 
 
 def within(chars: int, n_words: int) -> bool:
@@ -39,7 +39,8 @@ def within(chars: int, n_words: int) -> bool:
 
 
 def fits(text: str) -> bool:
-    return len(text) <= CHARS and within(len(text), words(text))
+    """Words are counted only where there can be too many."""
+    return len(text) <= CHARS and within(len(text), words(text) if len(text) > 2 * TOKENS else 0)
 
 
 def tidy(text: str) -> str:
@@ -163,21 +164,26 @@ def guard_table(markdown: str) -> list[str]:
 def _split(chunks: DataFrame, pieces: dict[bool, Callable[[str], list[str]]], whole: bool) -> DataFrame:
     """Rows over the limits as their pieces, with `parent` and `sub` and, if not whole, only the fitting pieces and `dropped`."""
     d = chunks.withColumn("_table", F.coalesce(F.col("chunk_type").isin(*TABLE_KINDS) & F.col("content").contains("|"), F.lit(False)))
-    ok = F.coalesce(T.within_embed_limit(F.col("content"), CHARS, TOKENS), F.lit(True))
-    rest = d.where(~ok).withColumn("parent", F.coalesce("chunk_id", F.substring(F.sha2("content", 256), 1, 16)))
-    names = rest.columns
+    d = d.withColumn("_ok", F.coalesce(T.within_embed_limit(F.col("content"), CHARS, TOKENS), F.lit(True)))
+    d = d.withColumn("parent", F.when(~F.col("_ok"), F.coalesce("chunk_id", F.substring(F.sha2("content", 256), 1, 16))))
+    names = d.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        at, kind = names.index("content"), names.index("_table")
+        at, kind, ok = names.index("content"), names.index("_table"), names.index("_ok")
 
         def made(b, rows: list[tuple]):
             index = pa.array([r[0] for r in rows], pa.int64())
             columns = [pa.array([r[2] for r in rows], pa.string()) if j == at else c.take(index) for j, c in enumerate(b.columns)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=[*names, "sub", "dropped"])
 
-        for b in batches:
+        for whole_batch in batches:
+            same = whole_batch.filter(whole_batch.column(ok))
+            if len(same):
+                yield pa.RecordBatch.from_arrays([*same.columns, pa.nulls(len(same), pa.int32()), pa.array([0] * len(same), pa.int32())], names=[*names, "sub", "dropped"])
+            b = whole_batch.filter(pc.invert(whole_batch.column(ok)))
             rows, n = [], 0
             for i, (text, is_table) in enumerate(zip(b.column(at), b.column(kind), strict=True)):
                 every = pieces[is_table.as_py()](text.as_py())
@@ -193,10 +199,8 @@ def _split(chunks: DataFrame, pieces: dict[bool, Callable[[str], list[str]]], wh
             if rows:
                 yield made(b, rows)
 
-    schema = P.StructType([*rest.schema.fields, P.StructField("sub", P.IntegerType()), P.StructField("dropped", P.IntegerType())])
-    cut = rest.mapInArrow(run, schema)
-    same = d.where(ok).withColumns({"sub": F.lit(None).cast("int"), "dropped": F.lit(0), "parent": F.lit(None).cast("string")})
-    return same.unionByName(cut).drop("_table")
+    schema = P.StructType([*d.schema.fields, P.StructField("sub", P.IntegerType()), P.StructField("dropped", P.IntegerType())])
+    return d.mapInArrow(run, schema).select(*chunks.columns, "sub", "dropped", "parent")
 
 
 def _hash16(x: Column) -> Column:
@@ -220,5 +224,5 @@ def guard(chunks: DataFrame) -> DataFrame:
     """Like embed_limits, by paragraphs, and nothing stays over the limits: `dropped` counts the pieces left out, on the first
     row of a chunk's pieces, or on a row without content where none is left."""
     d = _split(chunks, {True: guard_table, False: guard_plain}, False)
-    own = _hash16(F.concat_ws(":", "parent", F.lit("sub"), F.col("sub").cast("string"), _hash16(stripped(F.col("content")))))
+    own = _hash16(F.concat_ws(":", "parent", F.lit("sub"), F.col("sub").cast("string"), _hash16(T.stripped(F.col("content")))))
     return d.withColumn("chunk_id", F.when(F.col("sub").isNull(), F.when(F.col("parent").isNull(), F.col("chunk_id"))).otherwise(own))

@@ -30,8 +30,8 @@ def _files(d: str, name: str) -> str:
 def _supplier_tables(spark: SparkSession, d: str) -> DataFrame:
     """A markdown table of each supplier's lines; a supplier's lines are a bounded group at any size of the tables."""
     row = F.concat_ws(" ", F.lit("|"), F.col("l_partkey").cast("string"), F.lit("|"), F.col("l_quantity").cast("int").cast("string"), F.lit("|"), F.col("l_returnflag"), F.lit("|"))
-    t = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("row")))).alias("rows"))
-    return t.select("l_suppkey", F.concat_ws("\n", F.lit(_HEAD), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("content"))
+    t = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("row")))).alias("rows"))
+    return t.select("l_suppkey", F.concat_ws("\n", F.lit(_HEAD), F.array_join(F.col("rows")["row"], "\n")).alias("content"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import chunk, split
 from marlstone.streaming import ingest
 
@@ -106,6 +107,32 @@ def test_guard_counts_what_is_lost_whole(spark):
     assert [(x.content, x.sub, x.dropped, x.parent, x.chunk_id) for x in r] == [(None, None, 1, "c", None)]
 
 
+@pytest.mark.parametrize("cut", [split.guard, split.embed_limits])
+def test_chunks_are_read_and_measured_once(spark, tmp_path, cut):
+    """Rows within the limits and the others come from one pass."""
+    path = str(tmp_path / "chunks")
+    spark.createDataFrame([(k, None, None, kind, "s", text, 7) for k, (kind, text) in TEXTS.items()], COLUMNS).write.parquet(path)
+    d = cut(spark.read.parquet(path).withColumn("content", T.clean(F.col("content"))))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    assert d.select(F.count_distinct(F.coalesce("parent", "chunk_id"))).first()[0] == len(TEXTS)
+
+
+def test_cleaning_and_limits_agree_with_their_patterns(spark):
+    rnd = random.Random(8)
+    parts = ["w", "ab", "x" * 30, " ", "  ", "\t", "\n", "\n\n\n", "\u00a0", "\x0b", "\r", "\x85", "\u2028", "\u2029", "\U0001f600", "\x1c"]
+    texts = ["".join(rnd.choices(parts, k=n)) for n in range(9) for _ in range(150)] + ["a\u2028", "a \u2028", " \x85", "\u2029 ", None]
+    texts += [sep.join(["a"] * n) for n in (1499, 1500, 1501) for sep in (" ", "  ")] + ["é" * n for n in (3999, 4000, 4001)] + ["a " * 1500 + "b" * k for k in (1, 2)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    plain = strip(F.regexp_replace(F.regexp_replace(F.translate(t, "\u00a0", " "), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    pairs = [(T.clean(t), plain), (T.stripped(t), strip(t)), (T.within_embed_limit(t), (F.length(t) <= 4000) & (T.approx_tokens(t) <= 1500))]
+    assert [d.where(~a.eqNullSafe(b)).count() for a, b in pairs] == [0, 0, 0] and d.where(T.within_embed_limit(t)).count() < len(texts) - 3
+    for x in filter(None, texts):
+        assert split.words(x) == len(split.WORD.findall(x)) and split.fits(x) == (len(x) <= 4000 and split.within(len(x), len(split.WORD.findall(x))))
+
+
 def test_sizes_are_capped():
     text = "word " * 3000
     assert all(len(p) <= 4000 for p in split.text_pieces(text, 9000, 200)) and split.text_pieces("  ", 10, 3) == []
