@@ -14,8 +14,8 @@ from marlstone.streaming.folders import stored
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Most query terms, and most query vectors, that are broadcast; more are joined by a shuffle.
 MOST_TERMS, MOST_VECTORS = 100_000, 2048
-#: Most sums that a task adds up at once.
-SUMS = 1 << 21
+#: Most sums that a task adds up at once; how many tokens it counts at once, as far as texts can be parted; texts whose hits it merges at once.
+SUMS, TOKENS, ROWS = 1 << 21, 1 << 22, 2048
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,13 +41,50 @@ def n_tokens(t: str) -> Column:
     return F.size(t) - first.cast("int") - last.cast("int")
 
 
+def _flat(b, tokens: str) -> Iterator[tuple]:
+    """(first row, dl, row of each token, tokens) of slices of a batch with split_tokens' lists; the empty tokens are left out."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(tokens)), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1), len(b)]
+    for a, z in zip(cuts, cuts[1:]):
+        lists = b.column(tokens).slice(a, z - a)
+        row = pc.list_parent_indices(lists).to_numpy()
+        flat = pc.list_flatten(lists)
+        some = pc.greater(pc.binary_length(flat), 0)
+        row, flat = row[some.to_numpy(zero_copy_only=False)], flat.filter(some)
+        yield a, np.bincount(row, minlength=len(lists)), row, flat
+
+
+def _runs(row, no, n: int) -> tuple:
+    """(row, no, times) of the different pairs, in their order; no is below n."""
+    import numpy as np
+
+    key = np.sort(row.astype(np.int64) * n + no)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first] // n, key[first] % n, np.diff(np.r_[first, len(key)])
+
+
+def _counted(batches: Iterator) -> Iterator:
+    """Batches of lists of tokens to (term, df, dl) of each slice, where the row without term has the slice's documents and lengths."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        for a, dl, row, flat in _flat(b, "t"):
+            code = flat.dictionary_encode()
+            n = len(code.dictionary)
+            df = np.bincount(_runs(row, code.indices.to_numpy(), max(n, 1))[1], minlength=n)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([code.dictionary, pa.nulls(1, pa.string())]), pa.array(np.r_[df, len(dl)], pa.int64()), pa.array(np.r_[np.zeros(n, np.int64), dl.sum()], pa.int64())], names=["term", "df", "dl"])
+
+
 def corpus_terms(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, dl): the documents that hold each term; the row without term has their number and summed lengths.
 
-    One pass over the texts, counted where they are read."""
+    One pass over the texts, counted in arrays where they are read: a token is never a row."""
     t = docs.select(split_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    each = t.select(n_tokens("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term")).where("term IS NULL OR term <> ''")
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl")).otherwise(0)).alias("dl"))
+    return t.mapInArrow(_counted, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
 
 
 def term_idf(terms: DataFrame) -> DataFrame:
@@ -68,10 +105,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
 def bm25_lists(docs: DataFrame, queries: DataFrame, caps: tuple[int | None, ...], id_col: str = "doc_id", text_col: str = "text", q_id: str = "item_id", q_text: str = "text", best: int | None = None) -> DataFrame:
     """(list, qid, id, score) of bm25 with each of caps, whose place is the list's number.
 
-    The texts are read twice, however many caps there are: for the terms' statistics, and for the queries' terms. For these
-    they are dealt by document first, which is the partitioning that the counts, the sums and a list's k best all need:
-    only the texts are shuffled, never postings, nor postings multiplied by queries. Up to MOST_TERMS query terms are
-    added up where the documents are (see hits_scored); more are joined by a shuffle.
+    The texts are read twice, however many caps there are: for the terms' statistics, and for the queries' terms. Up to
+    MOST_TERMS query terms are found and counted in arrays where the texts are read (see texts_scored); for more, the texts
+    are dealt by document, and their tokens joined.
     """
     corpus = corpus_terms(docs, text_col)
     avgdl = corpus.where("term is null").select((F.col("dl") / F.col("df")).alias("avgdl"))
@@ -82,9 +118,39 @@ def bm25_lists(docs: DataFrame, queries: DataFrame, caps: tuple[int | None, ...]
         own = base.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r") if cap else base
         own = own.select(F.lit(i).alias("list"), "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
         terms = own if terms is None else terms.unionByName(own)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", split_tokens(F.col("text")).alias("t"))
-    d = d.select("id", n_tokens("t").alias("dl"), F.explode("t").alias("term"))
-    return hits_scored(d, terms, None, best)
+    return texts_scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), terms, best)
+
+
+def texts_scored(texts: DataFrame, terms: DataFrame, best: int | None = None) -> DataFrame:
+    """hits_scored of texts (id, text), with a row of each text that is hit, and its hits as arrays, instead of rows of tokens.
+    Only these are shuffled, by document, as an id may have several texts; the sums are made there."""
+    asked = terms.limit(MOST_TERMS + 1).collect()
+    if len(asked) > MOST_TERMS:
+        d = texts.repartition("id").select("id", split_tokens(F.col("text")).alias("t"))
+        return hits_scored(d.select("id", n_tokens("t").alias("dl"), F.explode("t").alias("term")), terms, None, best)
+    names = sorted({r.term for r in asked})
+
+    def found(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(names, pa.string())
+        for b in batches:
+            for a, dl, row, flat in _flat(b, "t"):
+                no = pc.index_in(flat, value_set=known)
+                hit = no.is_valid().to_numpy(zero_copy_only=False)
+                at, no, tf = _runs(row[hit], no.drop_null().to_numpy(), max(len(names), 1))
+                n = np.bincount(at, minlength=len(dl))
+                some = np.flatnonzero(n)
+                start = pa.array(np.r_[0, np.cumsum(n[some])], pa.int32())
+                lists = (pa.ListArray.from_arrays(start, pa.array(x, pa.int32())) for x in (no, tf))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(a + some)), pa.array(dl[some], pa.int32()), *lists], names=["id", "dl", "no", "tf"])
+
+    arrays = P.ArrayType(P.IntegerType())
+    fields = [texts.schema["id"], P.StructField("dl", P.IntegerType()), P.StructField("no", arrays), P.StructField("tf", arrays)]
+    hits = texts.select("id", split_tokens(F.col("text")).alias("t")).mapInArrow(found, P.StructType(fields))
+    return _added(hits.repartition("id"), asked, terms, names, best, True)
 
 
 def hits_scored(tokens: DataFrame, terms: DataFrame, tf: str | None, best: int | None = None) -> DataFrame:
@@ -96,24 +162,69 @@ def hits_scored(tokens: DataFrame, terms: DataFrame, tf: str | None, best: int |
     grouped. best: only a list's best so many are wanted; documents that a task knows to be behind as many others, ties of
     the rounded score left aside, can be missing then, and the rest still has to be ranked.
     """
-    spark, kinds = tokens.sparkSession, tokens.schema
+    spark = tokens.sparkSession
     count = F.sum(tf) if tf else F.count("*")
     asked = terms.limit(MOST_TERMS + 1).collect()
     if len(asked) > MOST_TERMS:
         posts = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(count.alias("tf"))
         return summed(posts.join(terms, "term"), "list")
-    numbers = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
+    names = sorted({r.term for r in asked})
+    known = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, no int")
+    hits = tokens.join(F.broadcast(known), "term").groupBy("id", "dl", "no").agg(count.cast("long").alias("tf"))
+    return _added(hits, asked, terms, names, best, False)
+
+
+def _added(hits: DataFrame, asked: list, terms: DataFrame, names: list[str], best: int | None, lists: bool) -> DataFrame:
+    """(list, qid, id, score) of hits (id, dl, no, tf), dealt by id; asked are the rows of terms, names the terms by their numbers."""
+    spark, numbers = hits.sparkSession, {t: i for i, t in enumerate(names)}
     queries = {q: i for i, q in enumerate(dict.fromkeys((r.list, r.qid) for r in asked))}
-    names = spark.createDataFrame(list(numbers.items()), "term string, no int")
-    hits = tokens.join(F.broadcast(names), "term").groupBy("id", "dl", "no").agg(count.cast("long").alias("tf"))
     asked.sort(key=lambda r: numbers[r.term])
     of = [numbers[r.term] for r in asked]
     add = _adder(of, [queries[r.list, r.qid] for r in asked], [r.weight for r in asked], len(numbers), len(queries), asked[0].avgdl if asked else None, best)
-    got = hits.sortWithinPartitions("id").mapInArrow(add, P.StructType([P.StructField("q", P.IntegerType()), P.StructField("id", kinds["id"].dataType), P.StructField("s", P.DoubleType())]))
+    run = (lambda batches: add(_unlisted(batches))) if lists else add
+    got = hits.sortWithinPartitions("id").mapInArrow(run, P.StructType([P.StructField("q", P.IntegerType()), P.StructField("id", hits.schema["id"].dataType), P.StructField("s", P.DoubleType())]))
     back = spark.createDataFrame([(i, n, q) for (n, q), i in queries.items()], P.StructType([P.StructField("q", P.IntegerType()), P.StructField("list", P.IntegerType()), P.StructField("qid", terms.schema["qid"].dataType)]))
     return got.join(F.broadcast(back), "q").select("list", "qid", "id", F.round("s", 6).alias("score"))
 
 
+def _whole(batches: Iterator) -> Iterator:
+    """The batches, sorted by id, cut so that all rows of an id are in one of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        b = b if held is None else pa.concat_batches([held, b])
+        if not len(b):
+            continue
+        code = b.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(code == code[-1])[0])  # the last document may go on in the next batch
+        if cut:
+            yield b.slice(0, cut)
+        held = b.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def _unlisted(batches: Iterator) -> Iterator:
+    """Batches (id, dl, no, tf) with no and tf as lists, sorted by id, to one row for each id, dl and no, with the summed tf."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in _whole(b.slice(a, ROWS) for b in batches for a in range(0, len(b), ROWS)):
+        row, no, tf = pc.list_parent_indices(whole.column("no")).to_numpy(), pc.list_flatten(whole.column("no")).to_numpy(), pc.list_flatten(whole.column("tf")).to_numpy()
+        doc = whole.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        dl = whole.column("dl").to_numpy()
+        if (doc[1:] == doc[:-1]).any():  # several texts of an id: those of one length count together
+            order = np.lexsort((no, dl[row], doc[row]))
+            row, no, tf = row[order], no[order], tf[order]
+            same = (no[1:] == no[:-1]) & (dl[row[1:]] == dl[row[:-1]]) & (doc[row[1:]] == doc[row[:-1]])
+            first = np.flatnonzero(np.r_[True, ~same])
+            row, no, tf = row[first], no[first], np.add.reduceat(tf, first)
+        yield pa.RecordBatch.from_arrays([whole.column("id").take(pa.array(row)), pa.array(dl[row]), pa.array(no), pa.array(tf.astype(np.int64))], names=["id", "dl", "no", "tf"])
+
+
 def _adder(of: list[int], query: list[int], weight: list[float], n_terms: int, n_queries: int, avgdl: float | None, best: int | None):
     """Batches of hits (id, dl, no, tf), sorted by id, to (q, id, s); of, query and weight are the terms' parts in the terms' order."""
 
@@ -159,18 +270,8 @@ def _adder(of: list[int], query: list[int], weight: list[float], n_terms: int, n
                 yield pa.RecordBatch.from_arrays([pa.array(hit % n_queries, pa.int32()), ids, pa.array(sums[hit])], names=["q", "id", "s"])
                 i = j
 
-        held = None
-        for b in batches:
-            b = b if held is None else pa.concat_batches([held, b])
-            if not len(b):
-                continue
-            code = b.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            cut = int(np.flatnonzero(code == code[-1])[0])  # the last document may go on in the next batch
-            if cut:
-                yield from added(b.slice(0, cut))
-            held = b.slice(cut)
-        if held is not None and len(held):
-            yield from added(held)
+        for b in _whole(batches):
+            yield from added(b)
 
     return run
 

@@ -37,3 +37,41 @@ def test_cosine_by_matrices_and_by_joins_agree(spark, monkeypatch):
     assert "MapInArrow" in got._jdf.queryExecution().toString()
     monkeypatch.setattr(R, "MOST_VECTORS", 0)
     assert repr(rows(got)) == repr(rows(R.cosine_topk(v, q, 5))) and got.count() == 50  # by repr, as NaN differs from itself
+
+
+def test_tokens_are_never_rows_and_texts_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "c b")], "item_id long, text string")
+    for d in (R.bm25(docs, asked), R.corpus_terms(docs, "text")):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan
+    assert [tuple(r) for r in R.bm25(docs, asked).select("qid", "id").sort("id").collect()] == [(1, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("tokens, rows", [(3, 1), (50, 7), (1 << 22, 2048)])
+def test_counting_in_slices(monkeypatch, tokens, rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "TOKENS", tokens)
+    monkeypatch.setattr(R, "ROWS", rows)
+    lists = [None if i % 11 == 4 else [""] if i % 7 == 3 else ["", *(f"w{(i * k) % 9}" for k in range(1, 1 + i % 6)), ""] for i in range(60)]
+    lists[9] = []
+    got, n = {}, 0
+    for b in R._counted(iter([pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.string()))], names=["t"]) for x in (lists[:25], lists[25:], [])])):
+        n += 1
+        for term, df, dl in zip(*(c.to_pylist() for c in b.columns)):
+            a = got.setdefault(term, [0, 0])
+            a[0] += df
+            a[1] += dl
+    words = [[w for w in x or [] if w] for x in lists]
+    want = {w: [sum(w in x for x in words), 0] for w in {w for x in words for w in x}} | {None: [len(words), sum(map(len, words))]}
+    assert got == want and n >= 2
+    hits = sorted(((i % 13 or None), i % 3, [1, 4, i % 4 + 5], [1, 2, i]) for i in range(1, 60) if i % 13) + [(None, 2, [7], [3]), (None, 2, [7], [4])]
+    want = {}
+    for i, dl, no, tf in hits:
+        for a, b in zip(no, tf):
+            want[i, dl, a] = want.get((i, dl, a), 0) + b
+    arrays = [pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+    b = pa.RecordBatch.from_arrays(arrays, names=["id", "dl", "no", "tf"])
+    out = [r for x in R._unlisted(iter([b.slice(0, 20), b.slice(20)])) for r in zip(*(c.to_pylist() for c in x.columns))]
+    assert len(out) == len(want) and {r[:3]: r[3] for r in out} == want
