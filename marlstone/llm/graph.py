@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
+from marlstone.llm.common import staged, unstaged
 
 HELD = 1 << 19
 
@@ -66,7 +66,8 @@ def components(links: DataFrame, name: str, rounds: int = 64) -> DataFrame:
     e = staged(links.select("u", "v").where("u <> v").mapInArrow(forest, "u long, v long"), f"{name}-links")
     seen = None
     for _ in range(rounds):
-        e = staged(_star(_star(e, small=False), small=True), f"{name}-star")
+        e, old = staged(_star(_star(e, small=False), small=True), f"{name}-star"), e
+        unstaged(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == seen:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm import bloom
 from marlstone.llm import vectext as V
-from marlstone.llm.common import spare_name, staged
+from marlstone.llm.common import spare_name, staged, unstaged
 from marlstone.llm.graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -334,26 +334,38 @@ def _parts(classes: DataFrame, threshold: float, block: int) -> DataFrame:
         return pa.table({"u": pa.array(y[:, 0]), "v": pa.array(y[:, 1])})
 
     dealt = _blocks(members, "band", "n", block, bins).select("many", "task", "i", "j", "mine", "band", "cid", "low")
-    return components(staged(dealt.groupBy("many", "task", "i", "j").applyInArrow(run, "u long, v long"), "ngram-alike"), "ngram-part")
+    pairs = staged(dealt.groupBy("many", "task", "i", "j").applyInArrow(run, "u long, v long"), "ngram-alike")
+    unstaged(members)
+    part = components(pairs, "ngram-part")
+    unstaged(pairs)
+    return part
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, known): rows are doc_id, k1 and k2 (a text's class, null without words) of every document; known has k1, k2, m (rows),
     component, class_id and n_links of every class with more than one document or with links."""
-    rows = staged(keyed(docs), "ngram-rows")
-    classes = rows.where("k1 is not null").groupBy("k1", "k2", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    signed = staged(keyed(docs), "ngram-rows")
+    classes = signed.where("k1 is not null").groupBy("k1", "k2", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     # Numbers are unique, and stay as they are once written.
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    rows = staged(signed.select("doc_id", "k1", "k2"), "ngram-keys")
+    unstaged(signed)  # signatures are most of these tables
     part = _parts(classes, threshold, block)
     active = staged(part.withColumnRenamed("node", "cid").join(classes.select("cid", "k1", "k2", "rep", "m", "sig"), "cid"), "ngram-active")
+    slim = staged(classes.select("cid", "k1", "k2", "rep", "m"), "ngram-slim")
+    unstaged(classes)
     links = staged(_compared(docs, active, threshold, block), "ngram-links")
+    unstaged(active)
     comp = components(links.where("v is not null and u <> v"), "ngram")
     counts = links.where("n > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
-    some = classes.select("cid", "k1", "k2", "rep", "m").join(counts, "cid", "left").where("m > 1 or n is not null")
+    some = slim.join(counts, "cid", "left").where("m > 1 or n is not null")
     known = some.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = staged(known.select("k1", "k2", "m", "component", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "ngram-known")
+    unstaged(slim, links)
     least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return rows.select("doc_id", "k1", "k2"), staged(known.join(least, "component").select("k1", "k2", "m", "component", "class_id", "n_links"), "ngram-final")
+    final = staged(known.join(least, "component").select("k1", "k2", "m", "component", "class_id", "n_links"), "ngram-final")
+    unstaged(known)
+    return rows, final
 
 
 def _compared(docs: DataFrame, active: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -383,8 +395,9 @@ def _compared(docs: DataFrame, active: DataFrame, threshold: float, block: int)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "k1", "k2", "shingles"])
 
     texts = d.mapInArrow(possible, f"id {kind}, k1 long, k2 long, shingles binary").where("k1 is not null")
-    ready = texts.join(active, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"])
-    dealt = _blocks(ready.join(sizes, "component"), "component", "size", block, bins).select("many", "task", "i", "j", "mine", "component", "cid", "m", "sig", "shingles")
+    # Shingles are shuffled twice, by key and by task: a key is a class, and its part's size is joined to it beforehand.
+    ready = texts.join(active.join(sizes, "component"), ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["k1", "k2"])
+    dealt = _blocks(ready, "component", "size", block, bins).select("many", "task", "i", "j", "mine", "component", "cid", "m", "sig", "shingles")
 
     def run(t):
         order = np.lexsort((t["cid"].to_numpy(), t["component"].to_numpy()))

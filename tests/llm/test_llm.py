@@ -625,3 +625,15 @@ def test_ngram_join_finds_every_link_of_the_tables(spark):
             links.update((a, b))
     got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs).collect()}
     assert sum(links.values()) > 50 and got == {i: links[i] for i in sets}
+
+
+def test_ngram_join_leaves_only_the_tables_that_its_results_read(spark):
+    """Signatures, bands and links go as soon as what reads them is written."""
+    from marlstone.llm import common
+
+    d = spark.createDataFrame([(i, f"a b c d e f g {i % 3} {'x ' * (i % 2)}") for i in range(40)], "doc_id long, text string")
+    before, setting = set(common._STAGED), spark.conf.get(common.CLEANUP, None)
+    rows, known = ngram_join.join(d)
+    assert sorted(p.split("marlstone-")[-1].rsplit("-", 1)[0] for p in set(common._STAGED) - before) == ["ngram-final", "ngram-keys", "ngram-part-star", "ngram-star"]
+    assert rows.count() == 40 and known.agg({"m": "sum"}).first()[0] == 40
+    assert spark.conf.get(common.CLEANUP, None) == setting
