@@ -637,3 +637,14 @@ def test_ngram_join_leaves_only_the_tables_that_its_results_read(spark):
     assert sorted(p.split("marlstone-")[-1].rsplit("-", 1)[0] for p in set(common._STAGED) - before) == ["ngram-final", "ngram-keys", "ngram-part-star", "ngram-star"]
     assert rows.count() == 40 and known.agg({"m": "sum"}).first()[0] == 40
     assert spark.conf.get(common.CLEANUP, None) == setting
+
+
+def test_suffix_tree_leaves_only_words_and_values(spark):
+    """The levels' tables and pairs go once the values are written."""
+    from marlstone.llm import common
+
+    d = spark.createDataFrame([(i, f"{'ab'[i % 2]} m1 m2 {'XY'[i % 2]}") for i in range(400)], "doc_id long, text string")
+    before = set(common._STAGED)
+    tree, counts = suffix_tree.fit(d, suffix_tree.learn_rows())
+    assert sorted(p.split("marlstone-")[-1].rsplit("-", 1)[0] for p in set(common._STAGED) - before) == ["lm-values", "lm-words"]
+    assert tree.values.count() > 0 and counts.count() == 6
