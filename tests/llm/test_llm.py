@@ -360,6 +360,20 @@ def test_suffix_tree_finds_contexts_beyond_a_level_that_keeps_none(spark):
     assert [got[i] for i, _ in rows] == pytest.approx(want)
 
 
+def test_suffix_tree_grows_many_levels_in_few_passes(spark, monkeypatch):
+    """What follows depends on a word 25 words before; the levels past the third have no tables of their own."""
+    names, staged = [], suffix_tree.staged
+    monkeypatch.setattr(suffix_tree, "staged", lambda df, name, *a: names.append(name) or staged(df, name, *a))
+    rows = [(i, f"{'ab'[i % 2]} {'m ' * 24}{'XY'[i % 2]}") for i in range(700)]
+    monkeypatch.setattr(suffix_tree, "BARREN", 40)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    want, lengths = suffix_tree_scores([t.split() for _, t in rows], [t.split() for i, t in rows if not held(i)])
+    assert max(lengths) > 19
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.learn_rows()).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want)
+    assert len(names) < 12  # words, pairs and level of three levels, two passes for the others, values, rows
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 12))
