@@ -6,12 +6,12 @@ import atexit
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.streaming.folders import CLEANUP, shuffles_dropped  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,7 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: dict[str, SparkSession] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -58,20 +57,6 @@ def _drop_staged() -> None:
 atexit.register(_drop_staged)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it a query's shuffle files go when it ends (Spark 4.1), not when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder as Parquet, in directories of the column `by` if given, and reads it again.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
 from marlstone.functions import text as T
-from marlstone.streaming.folders import stored
+from marlstone.streaming.folders import shuffles_dropped, stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Most query terms, and most query vectors, that are broadcast; more are joined by a shuffle.
@@ -312,24 +312,47 @@ def guarded(df: DataFrame, keep: Column, query: str = "qid") -> DataFrame:
     return df.withColumn("_any", F.max(keep.cast("int")).over(w)).where((F.col("_any") == 0) | keep).drop("_any")
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 256) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): each query vector's k nearest by cosine, rounded to 6 places, itself excepted.
 
-    A stated query set against all rows: vectors stay where they are read, up to MOST_VECTORS queries come to them as a
-    broadcast, more in blocks by a join, and every task keeps its k best before the shuffle. Where they are broadcast, a
-    product of matrices tells which pairs can be among a task's best, and only these are folded.
+    A stated query set against all rows: up to MOST_VECTORS queries come to the vectors, which stay where they are read,
+    as a broadcast, and more of them one such block after the other, so that no vector is ever shuffled. A product of
+    matrices tells which pairs can be among a task's best, only these are added up in order, in arrays (pairs with an odd
+    vector by Spark's functions), and a block's best are written before the next block starts.
     """
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    v = vectors.select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("qid"), unit(F.col("embedding")).alias("qv"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+
+    def nearest(asked: DataFrame) -> DataFrame:
+        j = _near(v, asked, k).select("id", "e", F.explode(F.arrays_zip("at", "s")).alias("n")).select("id", "e", "n.at", "n.s").join(F.broadcast(_numbered(asked, unit)), F.col("at") == F.col("n")).where("id <> qid")
+        folded = F.aggregate(F.zip_with(unit(F.col("e")), "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return j.select("qid", "id", F.round(F.coalesce("s", folded), 6).alias("score"))
+
     if queries.select("vec_id").limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
-        near = _near(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")), queries, k)
-        j = near.select("id", unit(F.col("e")).alias("v"), F.explode("at").alias("n")).join(F.broadcast(_numbered(queries, unit)), "n").where("id <> qid")
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        j = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block").where("id <> qid")
-    s = j.select("qid", "id", F.round(F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
-    return ranked(s, k)
+        return ranked(nearest(queries), k)
+    out = None
+    with shuffles_dropped(queries.sparkSession):
+        for asked in _blocks(queries.select("vec_id", "embedding"), max(1, MOST_VECTORS)):
+            best = stored(ranked(nearest(asked), k).drop("rank"), "nearest")
+            out = best if out is None else out.unionByName(best)
+    return ranked(out, k)  # once more, as rows of one query can be in two blocks
+
+
+def _blocks(rows: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The rows, stored once, in blocks of so many: runs of the places that they were written at."""
+    at = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "asked")
+    block, room = F.lit(False), most
+    for r in at.groupBy(F.shiftright("_at", 33).alias("part")).count().orderBy("part").collect():
+        first, left = r["part"] << 33, r["count"]
+        while left:
+            n = min(room, left)
+            block = block | F.col("_at").between(first, first + n - 1)
+            first, left, room = first + n, left - n, room - n
+            if not room:
+                yield at.where(block).drop("_at")
+                block, room = F.lit(False), most
+    if room < most:
+        yield at.where(block).drop("_at")
 
 
 def _numbered(queries: DataFrame, unit) -> DataFrame:
@@ -346,7 +369,8 @@ def _asked(queries: DataFrame) -> list:
 
 def _near(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors (id, e) with `at`, the numbers of the queries that each can be among the k nearest of: those not 2e-6 under the
-    least of k seen before in its task. Vectors with nulls, zero or non-finite ones, and those of other lengths are at all."""
+    least of k seen before in its task. Vectors with nulls, zero or non-finite ones, and those of other lengths are at all.
+    `s` has their cosines, added up component by component as Spark's functions do, and null where one of both is odd."""
     asked = _asked(queries)
 
     def run(batches: Iterator) -> Iterator:
@@ -359,13 +383,17 @@ def _near(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 if v is not None and len(v) == width and None not in v:
                     out[i] = v
             out[~np.isfinite(out).all(axis=1)] = 0
-            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            ok = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+            norm = np.zeros(len(out))
+            for x in out.T:
+                norm += x * x
+            norm = np.sqrt(norm)
+            ok = np.isfinite(norm) & (norm > 0)
             out[~ok] = 0
-            return out / np.where(ok[:, None], norm, 1), ok
+            return out / np.where(ok, norm, 1)[:, None], ok
 
         width = max((len(e) for _, e in asked if e is not None), default=0)
         q, q_ok = rows([e for _, e in asked], width)
+        q_columns = np.ascontiguousarray(q.T)
         own = {}
         for n, (i, _) in enumerate(asked):
             own.setdefault(i, []).append(n)
@@ -379,11 +407,15 @@ def _near(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     s[r, own.get(i, []) if i is not None else slice(None)] = -np.inf
                 top = np.partition(np.concatenate([top, s]), -k, axis=0)[-k:]
                 keep = (s >= top.min(axis=0) - 2e-6) | ~ok[:, None] | ~q_ok
-                n = keep.sum(axis=1)
-                at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.nonzero(keep)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, at], names=["id", "e", "at"])
-
-    return vectors.mapInArrow(run, P.StructType([*vectors.schema.fields, P.StructField("at", P.ArrayType(P.IntegerType()))]))
+                r, c = np.nonzero(keep)
+                cosine = np.zeros(len(r))
+                for x, y in zip(np.ascontiguousarray(v.T), q_columns):
+                    cosine += x[r] * y[c]
+                off = pa.array(np.r_[0, np.cumsum(keep.sum(axis=1))], pa.int32())
+                at, cosines = (pa.ListArray.from_arrays(off, x) for x in (pa.array(c, pa.int32()), pa.array(cosine, mask=~(ok[r] & q_ok[c]))))
+                yield pa.RecordBatch.from_arrays([*b.columns, at, cosines], names=["id", "e", "at", "s"])
+
+    return vectors.mapInArrow(run, P.StructType([*vectors.schema.fields, P.StructField("at", P.ArrayType(P.IntegerType())), P.StructField("s", P.ArrayType(P.DoubleType()))]))
 
 
 def rrf(rankings: list[tuple[DataFrame, float | Column]], k: int = 60) -> DataFrame:

@@ -39,6 +39,22 @@ def test_cosine_by_matrices_and_by_joins_agree(spark, monkeypatch):
     assert repr(rows(got)) == repr(rows(R.cosine_topk(v, q, 5))) and got.count() == 50  # by repr, as NaN differs from itself
 
 
+@pytest.mark.parametrize("most", [3, 4, 100])
+def test_cosine_of_many_queries_shuffles_no_vectors(spark, monkeypatch, most):
+    """Queries beyond a broadcast's worth go to the vectors block by block; no vector is copied to meet them."""
+    vectors = [(i, [float((i * (j + 3)) % 17 - 8) + 0.5 for j in range(6)]) for i in range(400)] + [(3, [2.0] * 6), (250, [1.0] * 6), (401, [1.0, 2.0])]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 50 = 0")
+    want = rows(R.cosine_topk(v, q, 5))
+    monkeypatch.setattr(R, "MOST_VECTORS", most)
+    got = R.cosine_topk(v, q, 5)
+    assert rows(got) == want and len(want) == 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert most > 9 or "Generate" not in plan and "Join" not in plan  # only the blocks' best are left to rank
+    blocks = [b.count() for b in R._blocks(q, most)]
+    assert sum(blocks) == 9 and max(blocks) <= most and all(n == most for n in blocks[:-1])
+
+
 def test_tokens_are_never_rows_and_texts_are_not_shuffled(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c c")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "c b")], "item_id long, text string")
